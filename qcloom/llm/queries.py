@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontaminate, langid, mixing, quality, tokencount, urlfilter
 
 QUERIES = {
     "op1_pareto_mix": mixing.query,
+    "op3_url_templates": urlfilter.query,
+    "op6_language_codes": langid.query,
+    "op7_suffix_automaton": decontaminate.query,
+    "op8_factorisation_quality": quality.query,
+    "op10_token_cache": tokencount.query,
 }
 
 SQL = {
     "op1_pareto_mix": mixing.SQL,
+    "op3_url_templates": urlfilter.SQL,
+    "op7_suffix_automaton": decontaminate.SQL,
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, quality, tokencount, urlfilter
+from . import decontaminate, langid, mixing, ngramjoin, quality, tokencount, urlfilter, vectors
 
 QUERIES = {
     "op1_pareto_mix": mixing.query,
+    "op2_ngram_jaccard": ngramjoin.query,
     "op3_url_templates": urlfilter.query,
+    "op5_subspace_pigeonhole": vectors.query,
     "op6_language_codes": langid.query,
     "op7_suffix_automaton": decontaminate.query,
     "op8_factorisation_quality": quality.query,
@@ -15,6 +17,8 @@ QUERIES = {
 
 SQL = {
     "op1_pareto_mix": mixing.SQL,
+    "op2_ngram_jaccard": ngramjoin.SQL,
     "op3_url_templates": urlfilter.SQL,
+    "op5_subspace_pigeonhole": vectors.SQL,
     "op7_suffix_automaton": decontaminate.SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, ngramjoin, quality, tokencount, urlfilter, vectors
+from . import decontaminate, langid, mixing, ngramjoin, quality, repeats, tokencount, urlfilter, vectors
 
 QUERIES = {
     "op1_pareto_mix": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_language_codes": langid.query,
     "op7_suffix_automaton": decontaminate.query,
     "op8_factorisation_quality": quality.query,
+    "op9_common_prefix_intervals": repeats.query,
     "op10_token_cache": tokencount.query,
 }
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, ngramjoin, quality, repeats, tokencount, urlfilter, vectors
+from . import decontaminate, htmltext, langid, mixing, ngramjoin, quality, repeats, tokencount, urlfilter, vectors
 
 QUERIES = {
     "op1_pareto_mix": mixing.query,
     "op2_ngram_jaccard": ngramjoin.query,
     "op3_url_templates": urlfilter.query,
+    "op4_page_differences": htmltext.query,
     "op5_subspace_pigeonhole": vectors.query,
     "op6_language_codes": langid.query,
     "op7_suffix_automaton": decontaminate.query,

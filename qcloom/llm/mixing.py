@@ -19,17 +19,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1024
 BROADCAST_SOURCES = 50_000  # a plan of so many sources at most is broadcast (a few MB); more are joined by shuffle
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row: str | None = None) -> DataFrame:
     return docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *([F.col(row).alias("row")] if row else []),
     )
 
 
@@ -53,8 +53,12 @@ def plan(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken (= copies x size)."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, whole_rows: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken (= copies x size).
+
+    With whole_rows, docs' own rows of which a copy or more is taken, with all their columns, and these:
+    size, source_size, target, copies, taken (with underscores behind where docs has such a name).
+    """
     sized = cut(sizes(docs, id_col, text_col, source_col))
     per = cut(plan(sized, weights, share, cap))
     small = per.count() <= BROADCAST_SOURCES
@@ -65,12 +69,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     draw = F.conv(F.substring(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256), 1, 13), 16, 10).cast("long")
     u = (draw.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
-    d = with_source(sized, per).withColumn("u", u)
     q = (F.col("u") / (F.lit(1.0) - F.col("u"))) / (F.col("odds") * (F.col("size") / (F.col("source_size") / F.col("n"))))
-    d = d.withColumn("q", F.when((F.col("size") > 0) & F.col("odds").isNotNull(), q))
-    d = d.withColumn("v", F.coalesce(F.col("q") / (F.lit(1.0) + F.col("q")), F.lit(1.0)))
-    d = d.withColumn("b1", F.floor(F.col("v") * BUCKETS).cast("int"))
-    d = d.withColumn("b2", F.floor((F.col("v") * BUCKETS - F.col("b1")) * BUCKETS).cast("int"))
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        d = with_source(rows, per).withColumn("u", u)
+        d = d.withColumn("q", F.when((F.col("size") > 0) & F.col("odds").isNotNull(), q))
+        d = d.withColumn("v", F.coalesce(F.col("q") / (F.lit(1.0) + F.col("q")), F.lit(1.0)))
+        d = d.withColumn("b1", F.floor(F.col("v") * BUCKETS).cast("int"))
+        return d.withColumn("b2", F.floor((F.col("v") * BUCKETS - F.col("b1")) * BUCKETS).cast("int"))
+
+    d = drawn(sized)
     live = d.where("q is not null")
 
     def crossing(rows: DataFrame, bucket: str, before: str) -> DataFrame:
@@ -87,13 +95,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumn("seen", F.coalesce(F.sum("size").over(line), F.lit(0)) + F.col("start2"))
     last = rows.where(F.col("seen") + F.col("size") / F.lit(2.0) <= F.col("left")).groupBy("source").agg(F.max(F.struct("v", F.col("doc_id").alias("i"))).alias("last"))
     ends = cut(two.join(last.withColumnRenamed("source", "_l"), F.col("source").eqNullSafe(F.col("_l")), "left").drop("_l"))
+    if whole_rows:
+        own = sizes(docs.withColumn(row := fresh(docs, "_row")[0], F.struct(*docs.columns)), id_col, text_col, source_col, row)
+        d = drawn(own)
     d = with_source(d, ends)
     in_line = F.struct(F.col("v"), F.col("doc_id").alias("i")) <= F.col("last")
     picked = F.col("q").isNotNull() & (
         F.col("c1").isNull() | (F.col("b1") < F.col("c1")) | ((F.col("b1") == F.col("c1")) & ((F.col("b2") < F.col("c2")) | ((F.col("b2") == F.col("c2")) & F.coalesce(in_line, F.lit(False)))))
     )
     copies = F.coalesce(F.col("whole"), F.lit(0)) + F.when(picked, F.lit(1)).otherwise(F.lit(0))
-    return d.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    taken = (copies * F.col("size")).cast("long")
+    if whole_rows:
+        names = fresh(docs, "size", "source_size", "target", "copies", "taken")
+        new = [F.col("size"), F.col("source_size"), F.col("target"), copies.cast("long"), taken]
+        return d.where(copies > 0).select(F.col("row.*"), *(c.alias(n) for c, n in zip(new, names)))
+    return d.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), taken.alias("taken"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,10 +9,10 @@ one key agree, so that readers take either.
 The content's normal form is the text itself with null read as empty: anything stronger (case, white space) would
 join texts that a tokenizer may count differently, such as those with special strings.
 
-Encoding a text: for a "tokenizers" file whose pre-tokenizer first splits with a regular expression, a text's count
-is the sum of the counts of its pieces, and pieces recur; so pieces are cut here, looked up in a bounded per-task
-memo, and only new pieces are encoded by the library. Texts with special strings, or with characters beyond the
-plain Latin ones where Unicode tables of two libraries might differ, are encoded whole by the library instead.
+Encoding a text: words recur, so for a "tokenizers" file that drops white space, a text's count is the sum of its words'
+counts. New words are encoded by the library, the others are in a bounded memo of the Python worker. Texts with special
+strings, or with characters beyond the plain Latin ones where Unicode tables of two libraries might differ, are
+encoded whole by the library instead, and so is everything for other kinds of files.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; very long texts are encoded whole; an empty table
 gives no rows; repeated rows each get their count; other columns, whatever their names, are ignored.
@@ -25,6 +25,7 @@ import json
 import os
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import cut, scratch
 
 LIMIT = 2048
-MEMO = 1_000_000  # pieces remembered by a task, then forgotten and begun anew
+MEMO = 500_000  # words that a worker remembers, then forgets to begin anew
 PLAIN = r"[\t\n\r -~¡-ÿŒœŠšŸŽž–—‘-„…€]*"  # texts whose pieces are cut here
 
 
@@ -57,18 +58,28 @@ class Counter:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        t = Tokenizer.from_buffer(data)
+        self.library = t = Tokenizer.from_buffer(data)
         self.whole = lambda texts: [len(x.ids) for x in t.encode_batch_fast(texts, add_special_tokens=False)]
         spec = json.loads(data)
-        pre = spec.get("pre_tokenizer") or {}
-        first, *rest = pre.get("pretokenizers", [])[:1] or [{}]
-        normal = spec.get("normalizer")
-        pattern = (first.get("pattern") or {}).get("Regex")
-        if first.get("type") == "Split" and pattern and first.get("behavior") == "Removed" and first.get("invert"):
+        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        pattern = (first.get("pattern") or {}).get("Regex") or ""
+        normal = (spec.get("normalizer") or {}).get("normalizers") or [spec.get("normalizer") or {}]
+        plain = [x.get("type") for x in normal if x != {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}]
+        cut_up = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
+        # words that white space parts are counted one by one if no piece holds white space and lower() is all that is normalised
+        if cut_up and plain == ["NFC", "Lowercase"] and not regex.search(pattern, " \t\n\r"):
             self.piece = regex.compile(pattern).findall
             self.plain = regex.compile(PLAIN).fullmatch
             self.special = regex.compile("|".join(regex.escape(x["content"]) for x in spec.get("added_tokens") or []) or r"(?!)").search
-            self.normal = t.normalizer.normalize_str if normal else (lambda s: s)
+
+    def learn(self, new: list[str]) -> None:
+        """Remember the counts of new words: their new pieces are encoded in one text, parted by spaces."""
+        memo, pieces = self.memo, [[w] if w.isalpha() else self.piece(w) for w in new]
+        fresh = list({p for ps in pieces for p in ps}.difference(memo))
+        if fresh:
+            counts = np.bincount(np.array(self.library.encode(" ".join(fresh), add_special_tokens=False).word_ids, np.int64), minlength=len(fresh))
+            memo.update(zip(fresh, counts.tolist() if len(counts) == len(fresh) else self.whole(fresh)))
+        memo.update(zip(new, [sum(map(memo.__getitem__, ps)) for ps in pieces]))
 
     def __call__(self, texts: list[str]) -> list[int]:
         if self.piece is None:
@@ -78,18 +89,29 @@ class Counter:
         for i, n in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = n
         rest = sorted(set(range(len(texts))) - set(odd))
-        cutup = [self.piece(self.normal(texts[i])) for i in rest]
+        cut_up = [texts[i].lower().split() for i in rest]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo = self.memo
-        new = list({p for ps in cutup for p in ps if p not in memo})
-        memo.update(zip(new, self.whole(new)))
-        get = memo.__getitem__
-        for i, ps in zip(rest, cutup):
-            out[i] = sum(map(get, ps))
+        new = list(set().union(*cut_up).difference(self.memo))
+        for lo in range(0, len(new), 10_000):
+            self.learn(new[lo : lo + 10_000])
+        get = self.memo.__getitem__
+        for i, ws in zip(rest, cut_up):
+            out[i] = sum(map(get, ws))
         return out
 
 
+_counters: dict[str, Counter] = {}
+
+
+def counter(version: str, path: str, data: bytes) -> Counter:
+    """This worker's counter for the tokenizer, with the words that it remembers from tasks before."""
+    if version not in _counters:
+        _counters.clear()
+        _counters[version] = Counter(path, data)
+    return _counters[version]
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit. New counts are appended to cache_path."""
     spark = docs.sparkSession
@@ -104,7 +126,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     misses = slim.select("digest").distinct().join(known, "digest", "left_anti")
     # one text of each missing digest: the texts themselves are dealt out once, packed by digest
     texts = rows.select("digest", "t").mapInArrow(_own_copies(), "digest binary, z binary").join(misses, "digest", "left_semi").dropDuplicates(["digest"])
-    fresh_counts = texts.mapInArrow(_encoder(tokenizer_path, file), "digest binary, n_tokens long")
+    fresh_counts = texts.mapInArrow(_encoder(version, tokenizer_path, file), "digest binary, n_tokens long")
     fresh_counts.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     stored = read_cache(spark, cache_path, schema).where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     return slim.join(stored, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
@@ -134,11 +156,11 @@ def _own_copies():
     return run
 
 
-def _encoder(path: str, file):
+def _encoder(version: str, path: str, file):
     def run(batches):
         import zstandard
 
-        count, unpack, seen = Counter(path, file.value), zstandard.ZstdDecompressor().decompress, set()
+        count, unpack, seen = counter(version, path, file.value), zstandard.ZstdDecompressor().decompress, set()
         for b in batches:
             d = b.column(0).to_pylist()
             z = b.column(1)

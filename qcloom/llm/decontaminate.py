@@ -12,8 +12,8 @@ The automaton is broadcast. Its size is checked: item words are counted first, a
 of them are split by item into several automata, each broadcast on its own, that the texts pass one after the
 other in one narrow chain (no shuffle). Results are then the same as with one.
 
-Defined cases: a null or empty text has no words and no hits; null or empty items are ignored; items that repeat
-an id count once; a null item id reads as the empty string; repeated documents are judged row by row; an empty
+Defined cases: a null or empty text has no words and no hits; null or empty items are ignored; the texts of
+an id that repeats all count for it; a null item id reads as the empty string; repeated documents are judged row by row; an empty
 table gives no rows; other columns, whatever their names, pass through clean() untouched.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LETTER_DIGIT, flat, fresh, steps, words
+from .common import LETTER_DIGIT, flat, fresh, small_batches, steps, words
 
 WINDOW = 10
 AUTOMATON_WORDS = 200_000
@@ -160,7 +160,7 @@ class Index:
 
 def merge(spans) -> list[list[int]]:
     out: list[list[int]] = []
-    for a, b in sorted(spans):
+    for a, b in sorted(map(tuple, spans)):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -171,7 +171,7 @@ def merge(spans) -> list[list[int]]:
 def _indexes(items: DataFrame, item_col: str, text_col: str, window: int, most: int):
     """One Index or more, none over `most` words but for a single longer item."""
     clean = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    clean = clean.groupBy("i").agg(F.min("t").alias("t")).withColumn("n", F.regexp_count(F.lower("t"), F.lit(WORD)))
+    clean = clean.distinct().withColumn("n", F.regexp_count(F.lower("t"), F.lit(WORD)))
     total = clean.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-2 * total // most) if total > most else 1)
     for k in range(shards):
@@ -185,6 +185,7 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "te
     schema = T.StructType([docs.schema[c] for c in keep])
     for name, kind in zip(names, (T.LongType(), T.LongType(), T.LongType(), T.BinaryType(), T.ArrayType(T.StringType()))):
         schema = schema.add(name, kind)
+    small_batches(docs.sparkSession)
     carry = list(dict.fromkeys([*keep, text_col]))
     df = docs.select(*carry)
     indexes = list(_indexes(items, item_col, item_text, window, automaton_words))

@@ -76,6 +76,7 @@ def channel_fields(title="title", description="description", keywords="channel_k
     return {"title": F.col(title), "description": F.col(description), "tags": F.col(keywords), "recent_titles": F.array_join(titles, " ")}
 
 
+# Fixed value: the line that follows a list of hits.
 ASK = "Address each hit in your brand_safety verdict: confirm it, or explain why it is a false positive in this context."
 
 

@@ -20,7 +20,7 @@ RESPONSE_TTL = 7 * DAY
 TEMPERATURES = (0.1, 0.3, 0.6)
 
 
-# ---- prompts
+# ---- prompts. The words in them are fixed values: a prompt is hashed into its response's key.
 
 
 def _fence(name: str, body: Column) -> Column:

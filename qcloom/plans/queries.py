@@ -857,3 +857,121 @@ def stress_stream(spark, sf):
     q = streams.stress_windows(src, "ts", "1 hour", "10 minutes", "7300 days").writeStream.outputMode("complete").format("memory").queryName(f"q{uuid.uuid4().hex}").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(q.name).select(F.unix_seconds("start").alias("start"), "level")
+
+
+# ---------------------------------------------------------------- more of extraction, prompts and records
+
+
+@query("likes_count", """
+SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_custkey * 1000 WHEN 1 THEN o_custkey ELSE 0 END::BIGINT AS likes, CASE WHEN o_orderkey % 3 = 2 THEN 'none' ELSE 'dom-aria' END AS provenance FROM orders
+""")
+def likes_count(spark, sf):
+    k, n = F.col("o_orderkey") % 3, F.col("o_custkey")
+    label = F.when(k == 0, F.concat(F.lit("like this along with "), n.cast("string"), F.lit("K other people"))).when(k == 1, F.concat(F.format_number(n, 0), F.lit(" likes"))).otherwise(F.lit("like"))
+    likes, where = X.likes_count(label)
+    return table(spark, sf, "orders").select("o_orderkey", likes.alias("likes"), where.alias("provenance"))
+
+
+@query("transcript_segments", """
+SELECT conv_id, count(*) FILTER (turn % 4 <> 3 AND trim(text) <> '') AS n, coalesce(sum(turn * 65) FILTER (turn % 4 <> 3 AND trim(text) <> ''), 0)::DOUBLE AS seconds FROM conversations GROUP BY conv_id
+""")
+def transcript_segments(spark, sf):
+    t = F.when(F.col("turn") % 4 == 3, F.lit(" ")).otherwise(S.mmss(F.col("turn") * 65.0))
+    d = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(t.alias("t"), F.col("text").alias("text"))).alias("segs"))
+    d = d.select("conv_id", X.transcript_segments(F.col("segs")).alias("s"))
+    return d.select("conv_id", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0.0), lambda a, x: a + x["start_s"]).alias("seconds"))
+
+
+@query("frame_times", _WINDOWS_SQL + """
+, f AS (SELECT doc_id, list(round((start_s + end_s) / 2, 4) ORDER BY g)[1:2] AS t FROM m GROUP BY doc_id)
+SELECT n.doc_id, CASE WHEN n.doc_id % 5 = 0 OR f.t IS NULL THEN 0 ELSE len(f.t) END AS frames, CASE WHEN n.doc_id % 5 = 0 THEN NULL ELSE f.t[1] END AS first FROM n LEFT JOIN f USING (doc_id)
+""")
+def frame_times(spark, sf):
+    w = T.merge_windows(T.plan_windows(F.col("n_chars").cast("double")))
+    d = table(spark, sf, "documents").select("doc_id", T.frame_times(w, 2, F.col("doc_id") % 5 == 0).alias("t"))
+    return d.select("doc_id", F.size("t").cast("long").alias("frames"), F.round(F.get("t", F.lit(0)), 4).alias("first"))
+
+
+@query("limit_items", "SELECT 'UC' || lpad((c_custkey % 500)::VARCHAR, 22, '0') AS id FROM (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_custkey % 500) AS f FROM customer) WHERE c_custkey = f ORDER BY c_custkey LIMIT 20")
+def limit_items(spark, sf):
+    key = F.lpad((F.col("c_custkey") % 500).cast("string"), 22, "0")
+    lines = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("line_no"), F.concat(F.lit("UC"), key).alias("line"))
+    return W.limit_items(W.parse_items(lines)[0], 20).select("id")
+
+
+@query("comments_block", """
+SELECT conv_id, sha256('== TOP COMMENTS (' || count(*) || ') ==' || chr(10) || string_agg('[' || turn || ' likes] ' || substr(replace(text, chr(10), ' '), 1, 300), chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id
+""")
+def comments_block(spark, sf):
+    each = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    d = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(each, lambda x: F.struct(x["text"].alias("text"), x["turn"].cast("string").alias("likes"))).alias("c"))
+    return d.select("conv_id", F.sha2(K.comments_block(F.col("c"), F.lit("")), 256).alias("digest"))
+
+
+@query("panel_facts", """
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '{"subscribers":"' || c_custkey || 'K"' || CASE WHEN c_custkey % 3 = 1 THEN ',"rank":"#' || c_nationkey || '"' ELSE '' END || '}' END AS facts FROM customer
+""")
+def panel_facts(spark, sf):
+    k, none = F.col("c_custkey"), F.lit("")
+    subs = F.when(k % 3 == 0, none).otherwise(F.concat(k.cast("string"), F.lit("K")))
+    rank = F.when(k % 3 == 1, F.concat(F.lit("#"), F.col("c_nationkey").cast("string"))).otherwise(none)
+    return table(spark, sf, "customer").select("c_custkey", K.panel_facts({"subscribers": subs, "rank": rank}).alias("facts"))
+
+
+@query("insight_trim", """
+SELECT doc_id, length(CASE WHEN lang = 'en' THEN substr(text, 1, 600) ELSE '' END) AS insight, CASE WHEN lang = 'en' THEN least(len(string_split(text, chr(10))), 5) ELSE 0 END AS signals FROM documents
+""")
+def insight_trim(spark, sf):
+    insight, signals = K.insight_trim(F.col("text"), F.split("text", "\n"), F.col("lang") == "en")
+    return table(spark, sf, "documents").select("doc_id", F.length(insight).cast("long").alias("insight"), F.size(signals).cast("long").alias("signals"))
+
+
+@query("prompt_parts", """
+SELECT doc_id, 'Title: ' || lang || chr(10) || 'Channel: ' || source || chr(10) || 'Images: image 1 = thumbnail; image 2 = frame (' || source || ')' AS vision,
+  sha256('## CONFLICT REPORT' || chr(10) || '[]' || chr(10) || chr(10) || '## CLOSED TIER_1 LIST' || chr(10) || """ + " || chr(10) || ".join("'- " + t + "'" for t in V.TIERS) + """ || chr(10) || chr(10) || '## CURRENT RECORD (fields under dispute may be revised)' || chr(10) || '{"tier_1":"Gaming","language":"' || lang || '"}') AS conflict FROM documents
+""")
+def prompt_parts(spark, sf):
+    none = F.array().cast(f"array<{C.CONFLICT}>")
+    vision = K.vision_prompt(F.col("lang"), F.col("source"), F.array(F.concat(F.lit("frame ("), "source", F.lit(")"))), F.lit(True))
+    conflict = K.conflict_prompt(none, {"tier_1": F.lit("Gaming"), "language": F.col("lang")})
+    return table(spark, sf, "documents").select("doc_id", vision.alias("vision"), F.sha2(conflict, 256).alias("conflict"))
+
+
+def _record_sql(kind: str) -> str:
+    silent = "CASE WHEN quiet THEN 0.15::DOUBLE ELSE 0 END" if kind == "video" else "0"
+    review = "quiet OR n_chars > 9000" if kind == "video" else "toxic <> 0 OR n_chars < 100 OR quiet"
+    short = "n_chars > 0 AND n_chars <= 180 AND lang <> 'fr'" if kind == "video" else "n_chars <= 300"
+    return f"""
+WITH d AS (SELECT d.doc_id, d.lang, d.n_chars, d.n_chars % 7 = 0 AS quiet, d.n_chars % 11 = 0 AS failed, l.doc_id IS NULL AS unscored, coalesce(l.toxic, 1) AS toxic, coalesce(l.quality, 0) AS quality, {lexicon_sql('d.text')} AS hits FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+r AS (SELECT *, CASE WHEN failed THEN 'extraction failed' WHEN unscored THEN 'validation: no valid output' ELSE '' END AS error, CASE WHEN toxic = 1 THEN ['Sensational & Shocking Content'] ELSE []::VARCHAR[] END AS cats FROM d),
+k AS (SELECT *, greatest(coalesce(list_max(list_transform(list_filter(hits, lambda h: list_contains(cats, h.category)), lambda h: {_RANK.format('h.min_risk')})), 0),
+  CASE WHEN len(list_filter(hits, lambda h: NOT list_contains(cats, h.category) AND h.min_risk IN ('medium', 'high'))) > 0 THEN 1 ELSE 0 END) AS rank FROM r),
+c AS (SELECT *, round(1.0::DOUBLE - {silent} - CASE WHEN toxic <> 0 THEN 0.10::DOUBLE ELSE 0 END - CASE WHEN quality = 0 THEN 0.10::DOUBLE ELSE 0 END - CASE WHEN toxic = 1 AND quality = 0 THEN 0.20::DOUBLE ELSE 0 END, 2) AS conf FROM k)
+SELECT doc_id AS id, CASE WHEN error = '' THEN 'OK' ELSE 'ERROR' END AS status, error, CASE WHEN error = '' THEN ['none', 'low', 'medium', 'high'][rank + 1] ELSE 'none' END AS risk, CASE WHEN error = '' THEN rank <= 1 END AS safe,
+  error = '' AND {short} AS is_shorts, CASE WHEN error = '' THEN conf ELSE 0 END AS confidence, error <> '' OR conf < 0.6 OR {review} AS needs_review FROM c
+"""
+
+
+def _record(spark, sf, kind: str) -> DataFrame:
+    d = G.scan(table(spark, sf, "documents"), {"title": F.col("text")}, LEXICON)
+    quiet, failed = F.col("n_chars") % 7 == 0, F.col("n_chars") % 11 == 0
+    base = [F.col("doc_id").alias("id"), (~failed).alias("ok"), F.lit(None).cast("string").alias("error"), "hits", F.col("source").alias("name")]
+    if kind == "video":
+        own = [F.when(quiet, "none").otherwise("panel").alias("transcript_source"), F.when(F.col("n_chars") > 9000, "none").otherwise("canvas").alias("frames_method"), F.col("n_chars").cast("double").alias("duration_s"), (F.col("lang") == "fr").alias("is_live")]
+    else:
+        own = [F.when(F.col("n_chars") < 100, 4).otherwise(9).alias("n_titles"), F.when(quiet, 0).otherwise(2).alias("n_grid_shots"), (F.col("n_chars") <= 300).alias("is_shorts_only")]
+    toxic, poor = F.col("toxic") == 1, F.col("quality") == 0
+    cats = F.when(toxic, F.array(F.lit("Sensational & Shocking Content"))).otherwise(F.array().cast("array<string>"))
+    valid = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.lit("none").alias("risk_level"), cats.alias("triggered_categories"), (toxic & poor).alias("judge_invoked"), poor.alias("tier_recovered"), (~toxic).alias("vision_ok"))
+    rec = R.assemble(d.select(*base, *own), valid, kind, "run")
+    return rec.select("id", "status", "error", F.col("brand_safety_risk_level").alias("risk"), F.col("brand_safety_is_safe").alias("safe"), "is_shorts", "confidence", "needs_review")
+
+
+@query("video_record", _record_sql("video"))
+def video_record(spark, sf):
+    return _record(spark, sf, "video")
+
+
+@query("channel_record", _record_sql("channel"))
+def channel_record(spark, sf):
+    return _record(spark, sf, "channel")

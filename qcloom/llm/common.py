@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 def scratch(spark: SparkSession) -> None:
     """Make checkpoint() usable: the cluster's shared folder, or a folder of our own where none is named."""
+    small_batches(spark)
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -24,6 +25,14 @@ def scratch(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-qcloom-"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python workers by the thousand, unless the session says otherwise: with Spark's
+    default of ten thousand the Arrow buffers on both sides take hundreds of MB where texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder once and go on from what was written."""
     scratch(df.sparkSession)
@@ -55,7 +64,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 # --------------------------------------------------------------------------- bytes and words
 
-CHUNK = 1 << 20  # bytes of text that one vectorised step handles; longer single texts are a step of their own
+CHUNK = 1 << 18  # bytes of text that one vectorised step handles; longer single texts are a step of their own
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

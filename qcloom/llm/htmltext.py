@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_parts
+from .common import cut, shuffle_parts, small_batches
 from .urlfilter import split_url
 
 BROADCAST_ROWS = 100_000  # deletions of so many pages at most are broadcast (some MB); more are joined by shuffle
@@ -295,6 +295,7 @@ def _with_key(batches):
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
+    small_batches(pages.sparkSession)
     gone = cut(template_lines(pages, url_col, html_col))
     kind = pages.schema[id_col].dataType.simpleString()
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("h"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, steps
+from .common import fresh, small_batches, steps
 
 BUCKETS = 1 << 13
 LANGUAGES = 4096  # most languages learned, in order of rows; the table of sums has LANGUAGES x BUCKETS cells at most
@@ -129,6 +129,7 @@ class Model:
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    small_batches(rows.sparkSession)
     counts = learn_counts(rows, text_col, lang_col)
     table: dict[str, np.ndarray] = {}
     for r in counts.collect():  # LANGUAGES x BUCKETS cells at most, whatever the corpus
@@ -138,6 +139,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", names=("lang_pred", "score", "ambiguous")) -> DataFrame:
     """docs' columns `keep` with lang_pred, score and ambiguous."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     letter = fresh(docs, "_letter")[0]
     carry = list(dict.fromkeys([*keep, text_col]))

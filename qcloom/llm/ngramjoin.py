@@ -41,7 +41,7 @@ from .vectors import Forest
 
 NGRAM, PERCENT = 5, 75
 GROUP_ROWS = 20_000
-FLUSH = 2_000_000  # shingles that a task holds before it passes them on
+FLUSH = 500_000  # shingles that a task holds before it passes them on
 QUERIES = 1024  # members of a large group that are broadcast at a time
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, steps, words
+from .common import NOT_SPACE, small_batches, steps, words
 from .langid import held_out
 
 WORDS, BINS, RANK = 2048, 8, 8
@@ -147,6 +147,7 @@ def _rows(text_col: str, keep: list[str], make):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Machine:
     """Fit on at most per_class labelled rows of each class."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     known = known.join(docs.select(F.col(id_col).alias("i")).distinct(), "i", "left_semi")
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -200,6 +201,7 @@ class Half:
 
 def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score, the chance of label 1, for every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -232,7 +232,7 @@ def _contexts(batches, span: int, buckets: int):
             parts = [raw[p - h : p - m + span] for p, m, h in zip(x.tolist(), lo.tolist(), hi.tolist())]
             held.append((a, np.full(len(a), col["t"][i].as_py(), np.int64), x, lo, hi, flag, parts))
             total += sum(map(len, parts))
-            if total >= 16 << 20:
+            if total >= 8 << 20:
                 yield flush()
                 held, total = [], 0
     if held:

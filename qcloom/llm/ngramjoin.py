@@ -107,14 +107,21 @@ def _of(x: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _first_prefixes(batches, buckets: int, percent: int):
-    """Prefixes in the order of hashes, packed by shingle: shingle, set's short digest, set's size."""
+    """Prefixes in the order of hashes, packed by shingle: the shingles' low 32 bits, and for each set in turn how many
+    of them are its own, its short digest and its size. Shingles of a bucket that agree in 32 bits by chance only let a
+    few more sets through."""
     held, total = [], 0
 
     def flush():
-        tok = np.concatenate([t for t, _, _ in held])
-        key = np.repeat(np.array([k for _, k, _ in held], np.uint64), [len(t) for t, _, _ in held])
-        n = np.repeat(np.array([m for _, _, m in held], np.int32), [len(t) for t, _, _ in held])
-        return _packed(["tok", "key", "n"], [tok, key, n], _of(tok, buckets), buckets)
+        tok, size = np.concatenate([t for t, _, _ in held]), [len(t) for t, _, _ in held]
+        key, n = np.array([k for _, k, _ in held], np.uint64), np.array([m for _, _, m in held], np.int32)
+        deal = _of(tok, buckets)
+        order = np.argsort(deal, kind="stable")
+        doc, deal = np.repeat(np.arange(len(held)), size)[order], deal[order]
+        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (deal[1:] != deal[:-1])))
+        runs = _packed(["cnt", "key", "n"], [np.diff(new, append=len(doc)).astype(np.uint32), key[doc[new]], n[doc[new]]], deal[new], buckets)
+        toks = _packed(["tok"], [tok[order].astype(np.uint32)], deal, buckets)
+        return pa.RecordBatch.from_arrays([*runs.columns, toks.column(1)], names=[*runs.schema.names, "tok"])
 
     for b in batches:
         for _, x in _each(b):
@@ -151,8 +158,8 @@ def _repeated(buckets: int):
     """For each set with shingles that others have: how many, packed by set."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tok, key, n = _read(pdf, tok=np.uint64, key=np.uint64, n=np.int32)
-        _, key, _, n = _pairs(tok, key, n)
+        tok, cnt, key, n = _read(pdf, tok=np.uint32, cnt=np.uint32, key=np.uint64, n=np.int32)
+        _, key, _, n = _pairs(tok, np.repeat(key, cnt), np.repeat(n, cnt))
         key, at, cnt = np.unique(key, return_index=True, return_counts=True)
         return _packed(["key", "cnt", "n"], [key, cnt.astype(np.int32), n[at]], _of(key, buckets), buckets).to_pandas()
 
@@ -344,7 +351,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slim = cut(d.mapInArrow(_classes, "doc_id long, n long, key binary"))
     classes = slim.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
 
-    dealt = d.where("doc_id is not null").mapInArrow(partial(_first_prefixes, buckets=buckets, percent=percent), "bucket int, tok binary, key binary, n binary")
+    dealt = d.where("doc_id is not null").mapInArrow(partial(_first_prefixes, buckets=buckets, percent=percent), "bucket int, cnt binary, key binary, n binary, tok binary")
     counts = dealt.groupBy("bucket").applyInPandas(_repeated(buckets), "bucket int, key binary, cnt binary, n binary")
     left = counts.groupBy("bucket").applyInPandas(_survivors(percent), "short long")
     # the first eight bytes of a digest name a set in the packed arrays

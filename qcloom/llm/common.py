@@ -157,15 +157,38 @@ def words(buf: np.ndarray, offs: np.ndarray, member: np.ndarray, hashes: bool =
 # --------------------------------------------------------------------------- components
 
 
+EDGES_IN_ONE_TASK = 100_000  # so many edges, a MB or two, take one task instead of rounds of jobs
+
+
+def _united(pdf):
+    """(node, root) of the components of (u, v) edges, by union-find."""
+    import pandas as pd
+
+    nodes, ends = np.unique(np.concatenate([pdf["u"], pdf["v"]]), return_inverse=True)
+    parent = list(range(len(nodes)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in zip(ends[: len(pdf)].tolist(), ends[len(pdf) :].tolist()):
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return pd.DataFrame({"node": nodes, "root": nodes[[find(x) for x in range(len(nodes))]]})
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) -> DataFrame:
     """Connected components of (a, b) edges over longs: (node, root), root the smallest node reachable.
 
-    Large-star/small-star contraction: every round is a few hash aggregations on edges, each node's edges are
+    Large-star/small-star contraction; few edges (counted first) are united in one task. Every round is a few hash aggregations on edges, each node's edges are
     reduced with min() before any shuffle, and lineage is cut by checkpoint after each round. Nodes without
     edges aren't returned; null ends are ignored.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct()
     e = cut(e)
+    if e.limit(EDGES_IN_ONE_TASK + 1).count() <= EDGES_IN_ONE_TASK:
+        return e.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_united, "node long, root long")
     for _ in range(limit):
         # every node of larger neighbours points them at the smallest node around it
         both = e.union(e.select(F.col("v"), F.col("u")).toDF("u", "v"))

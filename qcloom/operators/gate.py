@@ -1,7 +1,7 @@
 """Lexicon scan and risk floors.
 
-The lexicon is small and fixed for a run, so it is folded into the plan: per group one alternation decides whether a text
-needs a closer look, and only where it hits are the group's terms tried in order. A scan is therefore one narrow pass
+The lexicon is small and fixed for a run, so it is folded into the plan: a term is looked for as a plain substring of the
+lower-cased text, and only where it is found does the pattern for whole words run. A scan is therefore one narrow pass
 without join or explode of misses; lexicons too long for a plan go through scan_by_join.
 """
 
@@ -29,26 +29,36 @@ def literal(term: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", term)
 
 
-def first_terms(c: Column, lexicon: dict = LEXICON) -> dict[str, Column]:
-    """group -> its first term, in list order, that occurs in the text, or null."""
+def folded(c: Column) -> Column:
+    """Lower case, with the letters that regular expressions take for ASCII ones in any case."""
+    return F.lower(F.translate(c, "\u017f\u0131\u0130\u212a", "siik"))
+
+
+def first_terms(c: Column, low: Column, lexicon: dict = LEXICON) -> dict[str, Column]:
+    """group -> its first term, in list order, that occurs in the text, or null. low: the text folded.
+
+    A plain substring test comes first; the pattern for whole words only runs where it holds.
+    """
     out = {}
     for group, (_, _, terms) in lexicon.items():
         chain = F.when(F.lit(False), F.lit(""))
         for t in terms:
-            chain = chain.when(c.rlike(whole_word(literal(t))), F.lit(t))
-        any_term = whole_word("|".join(literal(t) for t in terms))
-        out[group] = F.when(c.rlike(any_term), chain)
+            whole = c.rlike(whole_word(literal(t)))
+            chain = chain.when(low.contains(t.lower()) & whole if t.isascii() else whole, F.lit(t))
+        out[group] = chain
     return out
 
 
 def scan(df: DataFrame, fields: dict[str, Column], lexicon: dict = LEXICON, into: str = "hits") -> DataFrame:
     """df with `hits`: for each field and group, the first term that occurs. Order: fields, then groups."""
+    low = {f: f"_low_{i}" for i, f in enumerate(fields)}
+    df = df.withColumns({low[f]: folded(c) for f, c in fields.items()})
     found = []
     for field, c in fields.items():
-        for group, term in first_terms(c, lexicon).items():
+        for group, term in first_terms(c, F.col(low[field]), lexicon).items():
             category, risk, _ = lexicon[group]
             found.append(F.when(term.isNotNull(), F.struct(F.lit(group).alias("group"), term.alias("term"), F.lit(field).alias("field"), F.lit(category).alias("category"), F.lit(risk).alias("min_risk"))))
-    return df.withColumn(into, F.array_compact(F.array(*found)) if found else F.array().cast(HIT))
+    return df.withColumn(into, F.array_compact(F.array(*found)) if found else F.array().cast(HIT)).drop(*low.values())
 
 
 def scan_by_join(texts: DataFrame, lexicon: DataFrame) -> DataFrame:

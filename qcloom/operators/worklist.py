@@ -37,7 +37,9 @@ def token_id(token: Column) -> Column:
     def first(t: Column) -> Column:
         urls = [(CHANNEL_URL, "channel"), *((p, "video") for p in VIDEO_URLS), (HANDLE_URL, "channel")]
         bare = [(f"^({CHANNEL})$", "channel"), (f"^({HANDLE})$", "channel"), (f"^({VIDEO})$", None)]
-        all_ = F.array(*[_id(F.regexp_extract(t, p, 1), forced) for p, forced in urls + bare])
+        ids = lambda ps: F.array(*[_id(F.regexp_extract(t, p, 1), forced) for p, forced in ps])
+        url = F.lower(t).contains("youtu") | t.contains("v=")
+        all_ = F.when(url, ids(urls + bare)).otherwise(ids(bare))
         return F.get(F.filter(all_, lambda x: x["id"] != ""), F.lit(0))
 
     return let(F.regexp_replace(strip(token), "^,+|,+$", ""), first)
@@ -61,13 +63,16 @@ def extract_freeform(line: Column) -> Column:
 
     def take(rest: Column, k: int) -> Column:
         if k == len(kinds):
-            words = F.filter(F.split(rest, r"(?U)\s+"), lambda w: w.rlike(f"^{VIDEO}$"))
-            return F.transform(words, lambda w: _id(w, None))
+            return words(rest)
         pattern, forced, group = kinds[k]
         found = F.transform(F.regexp_extract_all(rest, F.lit(pattern), F.lit(group)), lambda x: _id(x, forced))
         return F.concat(found, let(F.regexp_replace(rest, pattern, " "), lambda r: take(r, k + 1)))
 
-    return let(line, lambda r: take(r, 0))
+    def words(rest: Column) -> Column:
+        return F.transform(F.regexp_extract_all(rest, F.lit(rf"(?U)(?<!\S){VIDEO}(?!\S)"), F.lit(0)), lambda w: _id(w, None))
+
+    marked = lambda r: r.contains("UC") | r.contains("@") | r.contains("v=") | F.lower(r).contains("youtu")
+    return let(line, lambda r: F.when(marked(r), take(r, 0)).otherwise(words(r)))
 
 
 def resolve_type(id_: Column, forced: Column, line_type: Column, default_type: str | None) -> Column:

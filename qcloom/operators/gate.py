@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import risk_name, risk_rank
+from ..functions.text import let, risk_name, risk_rank
 from ..functions.vocab import CATEGORIES, LEXICON, literal_map
 
 FOLDED_TERMS = 2_000  # more terms than this are joined instead
@@ -51,14 +51,17 @@ def first_terms(c: Column, low: Column, lexicon: dict = LEXICON) -> dict[str, Co
 
 def scan(df: DataFrame, fields: dict[str, Column], lexicon: dict = LEXICON, into: str = "hits") -> DataFrame:
     """df with `hits`: for each field and group, the first term that occurs. Order: fields, then groups."""
-    low = {f: f"_low_{i}" for i, f in enumerate(fields)}
-    df = df.withColumns({low[f]: folded(c) for f, c in fields.items()})
-    found = []
-    for field, c in fields.items():
-        for group, term in first_terms(c, F.col(low[field]), lexicon).items():
+
+    def of(field: str, c: Column, low: Column) -> Column:
+        found = []
+        for group, term in first_terms(c, low, lexicon).items():
             category, risk, _ = lexicon[group]
-            found.append(F.when(term.isNotNull(), F.struct(F.lit(group).alias("group"), term.alias("term"), F.lit(field).alias("field"), F.lit(category).alias("category"), F.lit(risk).alias("min_risk"))))
-    return df.withColumn(into, F.array_compact(F.array(*found)) if found else F.array().cast(HIT)).drop(*low.values())
+            found.append(F.struct(F.lit(group).alias("group"), term.alias("term"), F.lit(field).alias("field"), F.lit(category).alias("category"), F.lit(risk).alias("min_risk")))
+        return F.filter(F.array(*found), lambda h: h["term"].isNotNull())
+
+    # the folded text is bound inside the expression, so that no rule of the optimizer computes it for every term
+    each = [F.coalesce(let(folded(c), lambda low, f=f, c=c: of(f, c, low)), F.array().cast(HIT)) for f, c in fields.items()] if lexicon else []
+    return df.withColumn(into, F.concat(*each) if each else F.array().cast(HIT))
 
 
 def scan_by_join(texts: DataFrame, lexicon: DataFrame) -> DataFrame:

@@ -372,7 +372,7 @@ def sampling_windows(spark, sf):
 
 
 def _spoken(spark, sf) -> DataFrame:
-    turns = table(spark, sf, "conversations").select("conv_id", (F.col("turn") * 6.0).alias("start_s"), F.substring("text", 1, 20).alias("text"))
+    turns = table(spark, sf, "conversations").select("conv_id", (F.col("turn") * 6.0).alias("start_s"), "text")
     seg = F.array_sort(F.collect_list(F.struct("start_s", "text")))
     return turns.groupBy("conv_id").agg(seg.alias("segments"), (F.max("start_s") + 6.0).alias("duration_s"))
 
@@ -385,7 +385,7 @@ def fill_speech(spark, sf):
 
 @query("speech_join")
 def speech_join(spark, sf):
-    turns = table(spark, sf, "conversations").select("conv_id", (F.col("turn") * 6.0).alias("start_s"), F.substring("text", 1, 20).alias("text"))
+    turns = table(spark, sf, "conversations").select("conv_id", (F.col("turn") * 6.0).alias("start_s"), "text")
     length = turns.groupBy("conv_id").agg((F.max("start_s") + 6.0).alias("duration_s"))
     _, want = T.window_seconds(F.col("duration_s"))
     w = length.select("conv_id", want.alias("want_s"), F.explode(T.merge_windows(T.plan_windows(F.col("duration_s")))).alias("w")).select("conv_id", "want_s", "w.*")

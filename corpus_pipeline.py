@@ -2,7 +2,7 @@
 
 language    documents without a letter, or in which no learned language stands out, go
 near        one document of each group of near copies stays: the one with the smallest id
-repeats     bytes in a string of 400 bytes that occurs anywhere else are cut out of the texts
+repeats     what lies in a string of 400 bytes, or of 51 words, that occurs anywhere else is cut out of the texts
 benchmark   words in runs of 10 or more that a benchmark item holds are cut out; texts that are mostly such runs go
 mix         sources are mixed to weights 5, 2, 1; copies is how often a document is taken, documents not taken go
 """
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from qcloom.llm import decontaminate, langid, mixing, ngramjoin, repeats
 from qcloom.llm.common import written
 
+PASSAGE = 51  # words: passages of over 50
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs, langid.fit(docs.where(~langid.held_out())))
@@ -24,7 +26,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return repeats.clean(docs)
+    return repeats.clean(docs, words=PASSAGE)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,11 @@ A suffix array of a whole corpus is one sorted list of all positions. This one i
 4. An anchor with more than GROUP contexts is never gathered: each window in its contexts is hashed by itself, and
    equal hashes are repeats. The result is the same.
 
+Lengths can be told in words instead (`words`): a text is then read as the names of its words, WORD_BYTES of hash for
+each, and the same steps find every string of so many words, however many bytes it has and whatever white space lies
+between its words. clean() can take both lengths; it cuts what either finds in the texts as they came, with the white
+space between words that go.
+
 Identical texts are one text with a count: two or more of them leave nothing of SPAN bytes or more. Positions, hashes
 and ranges travel as packed arrays, one row per task and bucket; texts are moved once, only those with a repeated anchor
 go on, compressed. Gram and window hashes have 64 bits; texts are named by the first 64 bits of their SHA-256.
@@ -36,11 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, cut, fresh, mix64, shuffle_parts, steps
+from .common import _BYTE, NOT_SPACE, _pow, cut, flat, fresh, mix64, shuffle_parts, steps, words as words_of
 from .decontaminate import with_length
 from .ngramjoin import _of, _packed, _read
 
 SPAN, GRAM = 400, 64
+WORD_BYTES = 8
 GROUP = 20_000
 FLUSH = 500_000
 _LOW31 = np.uint64((1 << 31) - 1)
@@ -104,7 +110,26 @@ def short_name(raw: bytes) -> int:
     return int.from_bytes(hashlib.sha256(raw).digest()[:8], "big", signed=True)
 
 
-def _anchor_rows(batches, span: int, buckets: int):
+def word_stream(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts as names of their words, case kept, end to end, and their offsets."""
+    starts, ends, _, first = words_of(buf, offs, NOT_SPACE, hashes=False)
+    if not len(starts):
+        return np.empty(0, np.uint8), first.astype(np.int64)
+    size = ends - starts
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(begin, size)
+    h = np.add.reduceat(_BYTE[buf[place + np.repeat(starts, size)]] * _pow(int(size.max()))[place], begin)
+    return mix64(h + size.astype(np.uint64)).view(np.uint8), first.astype(np.int64) * WORD_BYTES
+
+
+def word_ranges(raw: bytes, r: np.ndarray) -> np.ndarray:
+    """Ranges of a word stream as ranges of the text's bytes; part of a name, alike by chance, is no word."""
+    starts, ends, _, _ = words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), NOT_SPACE, hashes=False)
+    a, e = -(-r[:, 0] // WORD_BYTES), r[:, 1] // WORD_BYTES
+    return np.stack([starts[a], ends[e - 1]], 1)
+
+
+def _anchor_rows(batches, span: int, buckets: int, in_words: bool):
     """Packed by anchor: anchor's hash, context's hash, text, place, bytes before the anchor at most and at least."""
     held, total = [], 0
 
@@ -114,11 +139,14 @@ def _anchor_rows(batches, span: int, buckets: int):
 
     for b in batches:
         for _, _, buf, offs in steps(b, "text"):
+            raw, at = buf, offs
+            if in_words:
+                buf, offs = word_stream(buf, offs)
             text, x, first, last, a, c = anchors(buf, offs, span)
             if not len(x):
                 continue
             have, back = np.unique(text, return_inverse=True)
-            name = np.array([short_name(buf[offs[k] : offs[k + 1]].tobytes()) for k in have], np.int64)[back]
+            name = np.array([short_name(raw[at[k] : at[k + 1]].tobytes()) for k in have], np.int64)[back]
             held.append((a, c, name, (x - offs[text]).astype(np.int64), (x - last).astype(np.int16 if span < 32768 else np.int32), (x - first).astype(np.int16 if span < 32768 else np.int32)))
             total += len(x)
             if total >= FLUSH:
@@ -190,13 +218,14 @@ def merged(r: np.ndarray) -> np.ndarray:
     return np.stack([r[new, 0], np.append(reach[:-1][new[1:]], reach[-1])], 1).astype(np.int64)
 
 
-def _pack(batches, names: list[str]):
+def _pack(batches, names: list[str], in_words: bool):
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1).compress
     for b in batches:
         text = b.column(b.schema.get_field_index("text"))
-        z = pa.array([pack(x.as_py().encode()) for x in text], pa.binary())
+        raw = (word_stream(*flat(pa.array([x.as_py()], pa.large_string())))[0].tobytes() if in_words else x.as_py().encode() for x in text)
+        z = pa.array([pack(x) for x in raw], pa.binary())
         yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), z], names=[*names, "z"])
 
 
@@ -398,17 +427,24 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.withColumn("k", F.coalesce("doc_id", "t"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, group: int = GROUP, words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """All documents (doc_id, sha, n_bytes, t) and, for each distinct text with repeats that occurs once, (t, spans,
-    n_removed, n_spans, kept_sha256); texts that occur twice or more, of span bytes or more, are marked by whole."""
+    n_removed, n_spans, kept_sha256); texts that occur twice or more, of span bytes or more, are marked by whole.
+
+    words: strings of so many words instead of span bytes; spans and the columns beside it are then of the word stream."""
+    in_words = words is not None
+    span, least = (words * WORD_BYTES, 2 * words - 1) if in_words else (span, span)
     if span < GRAM:
-        raise ValueError(f"span must be {GRAM} bytes or more")
+        raise ValueError(f"span must be {GRAM} bytes or more, words {GRAM // WORD_BYTES} or more")
     buckets = max(64, 2 * shuffle_parts(docs.sparkSession))
     d = _named(docs, id_col, text_col)
-    slim = cut(d.drop("text"))
-    texts = slim.where(F.col("n_bytes") >= span).groupBy("sha", "t").agg(F.min("k").alias("k"), F.count("*").alias("copies"))
+    long_ = F.col("n_bytes") >= least
+    if in_words:
+        long_ &= F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= words
+    slim = cut(d.withColumn("long", long_).drop("text"))
+    texts = slim.where("long").groupBy("sha", "t").agg(F.min("k").alias("k"), F.count("*").alias("copies"))
     off = "bucket int, a binary, c binary, t binary, x binary, lo binary, hi binary"
-    dealt = d.select("text").where(F.octet_length("text") >= span).mapInArrow(partial(_anchor_rows, span=span, buckets=buckets), off)
+    dealt = d.select("text").where(F.octet_length("text") >= least).mapInArrow(partial(_anchor_rows, span=span, buckets=buckets, in_words=in_words), off)
     sorted_out = dealt.groupBy("bucket").applyInPandas(_sorted_out(span, buckets, group), "bucket int, kind int, a binary, t binary, x binary, size binary, lo binary, hi binary, flag binary")
     per = sorted_out.groupBy("bucket").applyInPandas(_per_text(span), "t long, ranges binary, a binary, x binary, lo binary, hi binary, flag binary, kind binary")
     # a text that occurs twice is only needed for the contexts it is asked for
@@ -416,7 +452,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
     names = ["t", "copies", "ranges", "a", "x", "lo", "hi", "flag", "kind"]
     fetched = d.select("k", "t", "text").join(per, ["k", "t"])
     kinds = "t long, copies long, ranges binary, a binary, x binary, lo binary, hi binary, flag binary, kind binary, z binary"
-    fetched = cut(fetched.mapInArrow(partial(_pack, names=names), kinds))
+    fetched = cut(fetched.mapInArrow(partial(_pack, names=names, in_words=in_words), kinds))
     found = (
         fetched.mapInArrow(partial(_contexts, span=span, buckets=buckets), "bucket int, a binary, t binary, x binary, lo binary, hi binary, flag binary, bytes binary")
         .groupBy("bucket").applyInPandas(_solved(span, buckets), "bucket int, t binary, x binary, size binary")
@@ -429,7 +465,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
     once = fetched.where("copies = 1").select("t", "z", "ranges").join(more, F.col("t") == F.col("t2"), "left").select("t", "z", "ranges", "more")
     done = cut(once.mapInArrow(_finish, "t long, spans binary, n_removed long, n_spans long, kept_sha256 string").where("n_spans > 0"))
     whole = texts.where("copies > 1").select("sha", F.lit(True).alias("whole"))
-    return slim.drop("k").join(whole, "sha", "left"), done
+    return slim.drop("k", "long").join(whole, "sha", "left"), done
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -442,14 +478,18 @@ def query(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, group: int = GROUP) -> DataFrame:
-    """docs with the repeated bytes cut out of their texts; texts of which nothing but white space stays go, those that
-    had none before stay. n_chars, where there is such a column, follows the text."""
-    slim, done = repeats(docs, id_col, text_col, span, group)
-    t, t2, spans, whole = fresh(docs, "_text", "_name", "_spans", "_whole")
-    names = done.select(F.col("t").alias(t2), F.col("spans").alias(spans), F.lit(False).alias(whole))
-    both = slim.where("whole").select("t").distinct()
-    names = names.union(both.select("t", F.lit(None).cast("binary"), F.lit(True)))
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, group: int = GROUP, words: int | None = None) -> DataFrame:
+    """docs with the repeated bytes cut out of their texts, and with `words` repeated strings of so many words too; texts
+    of which nothing but white space stays go, those that had none before stay. n_chars, where there is such a column,
+    follows the text."""
+    t, t2, spans, word_spans, whole = fresh(docs, "_text", "_name", "_spans", "_word_spans", "_whole")
+    names, no = None, F.lit(None).cast("binary")
+    for w in [None] if words is None else [None, words]:
+        slim, done = repeats(docs, id_col, text_col, span, group, w)
+        pair = (F.col("spans"), no) if w is None else (no, F.col("spans"))
+        both = slim.where("whole").select("t").distinct()
+        more = done.select(F.col("t").alias(t2), pair[0].alias(spans), pair[1].alias(word_spans), F.lit(False).alias(whole)).union(both.select("t", no, no, F.lit(True)))
+        names = more if names is None else names.union(more).groupBy(t2).agg(*[F.max(c).alias(c) for c in (spans, word_spans, whole)])
     d = docs.withColumn(t, F.conv(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 16), 16, -10).cast("long"))
     cols = list(docs.columns)
 
@@ -457,19 +497,22 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
         for b in batches:
             k = b.schema.get_field_index(text_col)
             text = b.column(k)
-            sp = b.column(b.schema.get_field_index(spans)).to_pylist()
+            sp, wsp = (b.column(b.schema.get_field_index(c)).to_pylist() for c in (spans, word_spans))
             keep = np.ones(b.num_rows, bool)
-            if any(sp):
+            if any(sp) or any(wsp):
                 out = text.to_pylist()
-                for i, s in enumerate(sp):
-                    if s:
+                for i, (s, w) in enumerate(zip(sp, wsp)):
+                    if s or w:
                         raw = out[i].encode()
-                        at = [0, *np.frombuffer(s, np.int64).tolist(), len(raw)]
+                        r = np.frombuffer(s or b"", np.int64).reshape(-1, 2)
+                        if w:
+                            r = merged(np.concatenate([r, word_ranges(raw, np.frombuffer(w, np.int64).reshape(-1, 2))]))
+                        at = [0, *r.reshape(-1).tolist(), len(raw)]
                         out[i] = "".join(raw[a:e].decode(errors="ignore") for a, e in zip(at[::2], at[1::2]))
                         keep[i] = bool(out[i].strip())
                 text = pa.array(out, text.type)
             got = pa.RecordBatch.from_arrays([text if i == k else b.column(i) for i in range(len(cols))], names=cols)
             yield got.filter(pa.array(keep))
 
-    kept = d.join(names, F.col(t) == F.col(t2), "left").where(~F.coalesce(F.col(whole), F.lit(False))).select(*cols, spans)
+    kept = d.join(names, F.col(t) == F.col(t2), "left").where(~F.coalesce(F.col(whole), F.lit(False))).select(*cols, spans, word_spans)
     return with_length(kept.mapInArrow(cutter, docs.schema), text_col)

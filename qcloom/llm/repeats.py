@@ -15,10 +15,13 @@ A suffix array of a whole corpus is one sorted list of all positions. This one i
 4. An anchor with more than GROUP contexts is never gathered: each window in its contexts is hashed by itself, and
    equal hashes are repeats. The result is the same.
 
-Lengths can be told in words instead (`words`): a text is then read as the names of its words, WORD_BYTES of hash for
+Lengths can be told in words too (`words`): the text is then also read as the names of its words, WORD_BYTES of hash for
 each, and the same steps find every string of so many words, however many bytes it has and whatever white space lies
-between its words. clean() can take both lengths; it cuts what either finds in the texts as they came, with the white
-space between words that go.
+between its words. Both lengths share one pass over the texts and one fetch of them. clean() cuts what either finds in
+the texts as they came, with the white space between words that go.
+
+Equal contexts are combined in the task that reads them: one of them is sent to the anchor's task, and the rest, known to
+be repeats, straight to their texts. So a passage that a third of all documents share sends its anchors one entry a task.
 
 Identical texts are one text with a count: two or more of them leave nothing of SPAN bytes or more. Positions, hashes
 and ranges travel as packed arrays, one row per task and bucket; texts are moved once, only those with a repeated anchor
@@ -46,6 +49,7 @@ from .decontaminate import with_length
 from .ngramjoin import _of, _packed, _read
 
 SPAN, GRAM = 400, 64
+PASSAGE = 51  # words: passages of over 50
 WORD_BYTES = 8
 GROUP = 20_000
 FLUSH = 500_000
@@ -129,81 +133,138 @@ def word_ranges(raw: bytes, r: np.ndarray) -> np.ndarray:
     return np.stack([starts[a], ends[e - 1]], 1)
 
 
-def _anchor_rows(batches, span: int, buckets: int, in_words: bool):
-    """Packed by anchor: anchor's hash, context's hash, text, place, bytes before the anchor at most and at least."""
-    held, total = [], 0
+def _concat(held: list[tuple]) -> list[np.ndarray]:
+    return [np.concatenate(z) for z in zip(*held)]
 
-    def flush():
-        a, c, t, x, lo, hi = (np.concatenate(z) for z in zip(*held))
-        return _packed(["a", "c", "t", "x", "lo", "hi"], [a, c, t, x, lo, hi], _of(a, buckets), buckets)
 
-    for b in batches:
-        for _, _, buf, offs in steps(b, "text"):
-            raw, at = buf, offs
-            if in_words:
-                buf, offs = word_stream(buf, offs)
-            text, x, first, last, a, c = anchors(buf, offs, span)
-            if not len(x):
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last + 1) of each run of equal values."""
+    edge = np.flatnonzero(np.append(True, x[1:] != x[:-1])).tolist() if len(x) else []
+    return list(zip(edge, [*edge[1:], len(x)]))
+
+
+def _blank(got: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    """got with all of names, empty where it has no such column."""
+    have, none = got.schema.names, pa.array([b""] * got.num_rows, pa.binary())
+    return pa.RecordBatch.from_arrays([got.column(have.index(c)) if c in have else none for c in names], names=names)
+
+
+ANCHORS = ["bucket", "a", "c", "t", "x", "lo", "hi", "many"]
+WINDOWS = ["bucket", "w", "t", "x", "many"]
+
+
+def _anchor_rows(batches, spans: list[int], buckets: int):
+    """Packed by anchor: anchor's hash, context's hash, text, place, bytes before the anchor at most and at least, and
+    whether this task has the context several times. One entry goes for all equal contexts of a task; the others are known
+    to be repeats and go on by text (buckets from 2 * `buckets` on), so that a common passage is no hot anchor."""
+    held, total = [[] for _ in spans], 0
+
+    def flush():
+        for u, rows in enumerate(held):
+            if not rows:
                 continue
-            have, back = np.unique(text, return_inverse=True)
-            name = np.array([short_name(raw[at[k] : at[k + 1]].tobytes()) for k in have], np.int64)[back]
-            held.append((a, c, name, (x - offs[text]).astype(np.int64), (x - last).astype(np.int16 if span < 32768 else np.int32), (x - first).astype(np.int16 if span < 32768 else np.int32)))
-            total += len(x)
+            a, c, t, x, lo, hi = _concat(rows)
+            order = np.lexsort((x, t, c, a))
+            a, c, t, x, lo, hi = (z[order] for z in (a, c, t, x, lo, hi))
+            new_c = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]))
+            new = new_c | np.append(True, (t[1:] != t[:-1]) | (x[1:] != x[:-1]))  # copies of a text say the same
+            a, c, t, x, lo, hi, new_c = (z[new] for z in (a, c, t, x, lo, hi, new_c))
+            ctx = np.cumsum(new_c) - 1
+            many = np.bincount(ctx)[ctx] > 1
+            k = new_c
+            yield _packed(ANCHORS[1:], [a[k], c[k], t[k], x[k], lo[k], hi[k], many[k].astype(np.int8)], u * buckets + _of(a[k], buckets), 4 * buckets)
+            if many.any():
+                k = many
+                yield _blank(_packed(["t", "x", "lo", "hi"], [t[k], x[k], lo[k], hi[k]], (2 + u) * buckets + _of(t[k].view(np.uint64), buckets), 4 * buckets), ANCHORS)
+
+    off = _off(spans)
+    for b in batches:
+        for _, _, raw, at in steps(b, "text"):
+            names: dict[int, int] = {}
+            for u, span in enumerate(spans):
+                buf, offs = word_stream(raw, at) if u else (raw, at)
+                text, x, first, last, a, c = anchors(buf, offs, span)
+                if not len(x):
+                    continue
+                have, back = np.unique(text, return_inverse=True)
+                for k in have.tolist():
+                    if k not in names:
+                        names[k] = short_name(raw[at[k] : at[k + 1]].tobytes())
+                name = np.array([names[k] for k in have.tolist()], np.int64)[back]
+                held[u].append((a, c, name, (x - offs[text]).astype(np.int64), (x - last).astype(off), (x - first).astype(off)))
+                total += len(x)
             if total >= FLUSH:
-                yield flush()
-                held, total = [], 0
-    if held:
-        yield flush()
+                yield from flush()
+                held, total = [[] for _ in spans], 0
+    yield from flush()
+
 
+def _off(spans: list[int]):
+    return np.int16 if max(spans) < 32768 else np.int32
 
-def _sorted_out(span: int, buckets: int, group: int):
+
+SORTED = ["bucket", "kind", "a", "t", "x", "size", "lo", "hi", "flag"]
+
+
+def _sorted_out(spans: list[int], buckets: int, group: int):
     """Packed by text: kind 0, ranges that are repeats (place, length); kind 1, contexts whose bytes are needed; kind 2
-    those of anchors with too many. flag: this context occurs once."""
-    off = np.int16 if span < 32768 else np.int32
+    those of anchors with too many; 3, 4 and 5 the same in words. flag: this context occurs once."""
+    off = _off(spans)
+
+    def ranges(u, t, x, lo, hi):
+        got = _packed(["t", "x", "size"], [t, x - hi, hi.astype(np.int32) - lo + spans[u]], _of(t.view(np.uint64), buckets), buckets)
+        return _blank(got, [c for c in SORTED if c != "kind"]).to_pandas().assign(kind=3 * u)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, c, t, x, lo, hi = _read(pdf, a=np.uint64, c=np.uint64, t=np.int64, x=np.int64, lo=off, hi=off)
-        order = np.lexsort((x, t, c, a))
-        a, c, t, x, lo, hi = (z[order] for z in (a, c, t, x, lo, hi))
+        direct, u = divmod(int(pdf.bucket.iloc[0]) // buckets, 2)
+        t, x, lo, hi = _read(pdf, t=np.int64, x=np.int64, lo=off, hi=off)
+        if direct:
+            return ranges(u, t, x, lo, hi)[SORTED]
+        a, c, many = _read(pdf, a=np.uint64, c=np.uint64, many=np.int8)
+        order = np.lexsort((-many, x, t, c, a))
+        a, c, t, x, lo, hi, many = (z[order] for z in (a, c, t, x, lo, hi, many))
         keep = np.ones(len(a), bool)  # copies of a text say the same
         keep[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (t[1:] != t[:-1]) | (x[1:] != x[:-1])
-        a, c, t, x, lo, hi = (z[keep] for z in (a, c, t, x, lo, hi))
+        a, c, t, x, lo, hi, many = (z[keep] for z in (a, c, t, x, lo, hi, many))
         new_a = np.append(True, a[1:] != a[:-1])
         new_c = new_a | np.append(True, c[1:] != c[:-1])
         ctx, anc = np.cumsum(new_c) - 1, np.cumsum(new_a) - 1
-        times = np.bincount(ctx)[ctx]
+        times = np.bincount(ctx, 1 + many)[ctx]
         kinds = np.bincount(anc[new_c])[anc]
         alone = np.bincount(anc, times == 1)[anc] > 0
-        out = []
-        for kind, rows in ((0, times > 1), (1, new_c & alone & (kinds > 1) & (kinds <= group)), (2, new_c & alone & (kinds > group))):
-            r = np.flatnonzero(rows)
-            place, size = (x[r] - hi[r], hi[r].astype(np.int32) - lo[r] + span) if kind == 0 else (x[r], np.zeros(len(r), np.int32))
-            arrays = [a[r], t[r], place, size, lo[r], hi[r], (times[r] == 1).astype(np.int8)]
-            out.append(_packed(["a", "t", "x", "size", "lo", "hi", "flag"], arrays, _of(t[r].view(np.uint64), buckets), buckets).to_pandas().assign(kind=kind))
-        return pd.concat(out)[["bucket", "kind", "a", "t", "x", "size", "lo", "hi", "flag"]]
+        r = times > 1
+        out = [ranges(u, t[r], x[r], lo[r], hi[r])]
+        for kind, rows in ((1, kinds <= group), (2, kinds > group)):
+            r = rows & new_c & alone & (kinds > 1)
+            arrays = [a[r], t[r], x[r], lo[r], hi[r], (times[r] == 1).astype(np.int8)]
+            got = _packed(["a", "t", "x", "lo", "hi", "flag"], arrays, _of(t[r].view(np.uint64), buckets), buckets)
+            out.append(_blank(got, [c for c in SORTED if c != "kind"]).to_pandas().assign(kind=3 * u + kind))
+        return pd.concat(out)[SORTED]
 
     return run
 
 
-def _per_text(span: int):
-    """One row for each text: its ranges and the contexts it is asked for."""
-    off = np.int16 if span < 32768 else np.int32
+def _per_text(spans: list[int]):
+    """One row for each text: its ranges of either length and the contexts it is asked for."""
+    off = _off(spans)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: list[dict[int, bytes]] = []
+        for u in (0, 1):
+            t, x, size = _read(pdf[pdf.kind == 3 * u], t=np.int64, x=np.int64, size=np.int32)
+            order = np.argsort(t, kind="stable")
+            t, r = t[order], np.stack([x, x + size], 1)[order]
+            found.append({int(t[i]): merged(r[i:j]).tobytes() for i, j in _runs(t)})
         parts = []
-        for kind in (0, 1, 2):
-            a, t, x, size, lo, hi, flag = _read(pdf[pdf.kind == kind], a=np.uint64, t=np.int64, x=np.int64, size=np.int32, lo=off, hi=off, flag=np.int8)
-            parts.append((a, t, x, size, lo, hi, flag, np.full(len(a), kind, np.int8)))
-        a, t, x, size, lo, hi, flag, kind = (np.concatenate(z) for z in zip(*parts))
-        order = np.lexsort((x, kind, t))
-        a, t, x, size, lo, hi, flag, kind = (z[order] for z in (a, t, x, size, lo, hi, flag, kind))
-        edge = np.flatnonzero(np.append(True, t[1:] != t[:-1])).tolist() if len(t) else []
-        rows = []
-        for i, j in zip(edge, [*edge[1:], len(t)]):
-            k = i + int((kind[i:j] == 0).sum())
-            ranges = merged(np.stack([x[i:k], x[i:k] + size[i:k]], 1))
-            rows.append((int(t[i]), ranges.tobytes(), *(z[k:j].tobytes() for z in (a, x, lo, hi, flag, kind))))
-        return pd.DataFrame(rows, columns=["t", "ranges", "a", "x", "lo", "hi", "flag", "kind"])
+        for kind in (1, 2, 4, 5):
+            got = _read(pdf[pdf.kind == kind], t=np.int64, a=np.uint64, x=np.int64, lo=off, hi=off, flag=np.int8)
+            parts.append((*got, np.full(len(got[0]), kind, np.int8)))
+        t, *more = _concat(parts)
+        order = np.argsort(t, kind="stable")
+        t, more = t[order], [z[order] for z in more]
+        asked = {int(t[i]): tuple(z[i:j].tobytes() for z in more) for i, j in _runs(t)}
+        rows = [(k, found[0].get(k, b""), found[1].get(k, b""), *asked.get(k, (b"",) * 6)) for k in sorted({*found[0], *found[1], *asked})]
+        return pd.DataFrame(rows, columns=["t", "ranges", "wranges", "a", "x", "lo", "hi", "flag", "kind"])
 
     return run
 
@@ -218,14 +279,12 @@ def merged(r: np.ndarray) -> np.ndarray:
     return np.stack([r[new, 0], np.append(reach[:-1][new[1:]], reach[-1])], 1).astype(np.int64)
 
 
-def _pack(batches, names: list[str], in_words: bool):
+def _pack(batches, names: list[str]):
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1).compress
     for b in batches:
-        text = b.column(b.schema.get_field_index("text"))
-        raw = (word_stream(*flat(pa.array([x.as_py()], pa.large_string())))[0].tobytes() if in_words else x.as_py().encode() for x in text)
-        z = pa.array([pack(x) for x in raw], pa.binary())
+        z = pa.array([pack(x.as_py().encode()) for x in b.column(b.schema.get_field_index("text"))], pa.binary())
         yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), z], names=[*names, "z"])
 
 
@@ -235,35 +294,41 @@ def _unpack():
     return zstandard.ZstdDecompressor().decompress
 
 
-def _contexts(batches, span: int, buckets: int):
+def _asked(batches, spans: list[int], k: int):
+    """For each text that is asked for contexts of kind k or 3 + k: length's number, text, its stream, and the contexts'
+    anchors, places, bytes before the anchor at least and at most, flags."""
+    off, unpack = _off(spans), _unpack()
+    for b in batches:
+        col = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+        for i in range(b.num_rows):
+            kind = np.frombuffer(col["kind"][i].as_py(), np.int8)
+            raw = None
+            for u in range(len(spans)):
+                if (mine := kind == 3 * u + k).any():
+                    raw = raw if raw is not None else unpack(col["z"][i].as_py())
+                    stream = word_stream(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes() if u else raw
+                    yield u, col["t"][i].as_py(), stream, *(np.frombuffer(col[c][i].as_py(), d)[mine] for c, d in (("a", np.uint64), ("x", np.int64), ("lo", off), ("hi", off), ("flag", np.int8)))
+
+
+def _contexts(batches, spans: list[int], buckets: int):
     """Packed by anchor: contexts with their bytes end to end."""
-    off = np.int16 if span < 32768 else np.int32
-    unpack, held, total = _unpack(), [], 0
+    held, texts, total = [], [], 0
 
     def flush():
-        a, t, x, lo, hi, flag = (np.concatenate(z) for z in list(zip(*held))[:6])
-        texts = [s for h in held for s in h[6]]
-        deal = _of(a, buckets)
-        got = _packed(["a", "t", "x", "lo", "hi", "flag"], [a, t, x, lo, hi, flag], deal, buckets)
+        u, a, t, x, lo, hi, flag = _concat(held)
+        deal = u * buckets + _of(a, buckets)
+        got = _packed(["a", "t", "x", "lo", "hi", "flag"], [a, t, x, lo, hi, flag], deal, 2 * buckets)
         order = np.argsort(deal, kind="stable")
-        edge = np.flatnonzero(np.diff(deal[order], prepend=-1, append=buckets))
-        text = [b"".join([texts[k] for k in order[i:j].tolist()]) for i, j in zip(edge[:-1], edge[1:])]
+        text = [b"".join([texts[k] for k in order[i:j].tolist()]) for i, j in _runs(deal[order])]
         return pa.RecordBatch.from_arrays([*got.columns, pa.array(text, pa.binary())], names=[*got.schema.names, "bytes"])
 
-    for b in batches:
-        col = {c: b.column(i) for i, c in enumerate(b.schema.names)}
-        for i in range(b.num_rows):
-            kind = np.frombuffer(col["kind"][i].as_py(), np.int8) == 1
-            if not kind.any():
-                continue
-            raw = unpack(col["z"][i].as_py())
-            a, x, lo, hi, flag = (np.frombuffer(col[c][i].as_py(), k)[kind] for c, k in (("a", np.uint64), ("x", np.int64), ("lo", off), ("hi", off), ("flag", np.int8)))
-            parts = [raw[p - h : p - m + span] for p, m, h in zip(x.tolist(), lo.tolist(), hi.tolist())]
-            held.append((a, np.full(len(a), col["t"][i].as_py(), np.int64), x, lo, hi, flag, parts))
-            total += sum(map(len, parts))
-            if total >= 8 << 20:
-                yield flush()
-                held, total = [], 0
+    for u, t, raw, a, x, lo, hi, flag in _asked(batches, spans, 1):
+        held.append((np.full(len(a), u), a, np.full(len(a), t, np.int64), x, lo, hi, flag))
+        texts += [raw[p - h : p - m + spans[u]] for p, m, h in zip(x.tolist(), lo.tolist(), hi.tolist())]
+        total += int((hi.astype(np.int64) - lo + spans[u]).sum())
+        if total >= 8 << 20:
+            yield flush()
+            held, texts, total = [], [], 0
     if held:
         yield flush()
 
@@ -320,10 +385,12 @@ def solve(texts: list[bytes], lo, hi, span: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _solved(span: int, buckets: int):
-    off = np.int16 if span < 32768 else np.int32
+def _solved(spans: list[int], buckets: int):
+    off = _off(spans)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        u = int(pdf.bucket.iloc[0]) // buckets
+        span = spans[u]
         a, t, x, lo, hi, flag = _read(pdf, a=np.uint64, t=np.int64, x=np.int64, lo=off, hi=off, flag=np.int8)
         raw = b"".join(pdf["bytes"])
         size = hi.astype(np.int64) - lo + span
@@ -331,9 +398,8 @@ def _solved(span: int, buckets: int):
         order = np.lexsort((x, t, a))
         same = np.append(False, (a[order][1:] == a[order][:-1]) & (t[order][1:] == t[order][:-1]) & (x[order][1:] == x[order][:-1]))
         order = order[~same]
-        edge = np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1])).tolist()
         ts, ps, ns = [], [], []
-        for i, j in zip(edge, [*edge[1:], len(order)]):
+        for i, j in _runs(a[order]):
             if j - i < 2:
                 continue
             k = order[i:j]
@@ -344,79 +410,89 @@ def _solved(span: int, buckets: int):
                     ps.append(x[k[c]] - most)
                     ns.append(most - least + span)
         ts = np.array(ts, np.int64)
-        return _packed(["t", "x", "size"], [ts, np.array(ps, np.int64), np.array(ns, np.int32)], _of(ts.view(np.uint64), buckets), buckets).to_pandas()
+        return _packed(["t", "x", "size"], [ts, np.array(ps, np.int64), np.array(ns, np.int32)], _of(ts.view(np.uint64), buckets), buckets).to_pandas().assign(u=u)[FOUND]
 
     return run
 
 
-def _windows(batches, span: int, buckets: int):
-    """Packed by hash: every window of the contexts of anchors with too many."""
-    off = np.int16 if span < 32768 else np.int32
-    unpack, held, total = _unpack(), [], 0
+FOUND = ["bucket", "u", "t", "x", "size"]
 
-    def flush():
-        w, t, p = (np.concatenate(z) for z in zip(*held))
-        return _packed(["w", "t", "x"], [w, t, p], _of(w, buckets), buckets)
 
-    for b in batches:
-        col = {c: b.column(i) for i, c in enumerate(b.schema.names)}
-        for i in range(b.num_rows):
-            kind = np.frombuffer(col["kind"][i].as_py(), np.int8) == 2
-            if not kind.any():
-                continue
-            g = gram_hashes(np.frombuffer(unpack(col["z"][i].as_py()), np.uint8))
-            x, lo, hi = (np.frombuffer(col[c][i].as_py(), k)[kind] for c, k in (("x", np.int64), ("lo", off), ("hi", off)))
-            p = np.concatenate([np.arange(q - h, q - m + 1) for q, m, h in zip(x.tolist(), lo.tolist(), hi.tolist())])
-            held.append((span_hash(g, p, span), np.full(len(p), col["t"][i].as_py(), np.int64), p))
-            total += len(p)
-            if total >= FLUSH:
-                yield flush()
-                held, total = [], 0
+def _windows(batches, spans: list[int], buckets: int):
+    """Packed by hash: every window of the contexts of anchors with too many; one entry for equal windows of a task, and
+    the others by text, as in _anchor_rows."""
+    held, total = [], 0
+
+    def flush():
+        u, w, t, x = _concat(held)
+        order = np.lexsort((x, t, w, u))
+        u, w, t, x = u[order], w[order], t[order], x[order]
+        new_w = np.append(True, (w[1:] != w[:-1]) | (u[1:] != u[:-1]))
+        at = np.cumsum(new_w) - 1
+        many = np.bincount(at)[at] > 1
+        k = new_w
+        yield _packed(WINDOWS[1:], [w[k], t[k], x[k], many[k].astype(np.int8)], u[k] * buckets + _of(w[k], buckets), 4 * buckets)
+        if many.any():
+            k = many
+            yield _blank(_packed(["t", "x"], [t[k], x[k]], (2 + u[k]) * buckets + _of(t[k].view(np.uint64), buckets), 4 * buckets), WINDOWS)
+
+    for u, t, raw, _, x, lo, hi, _ in _asked(batches, spans, 2):
+        p = np.unique(np.concatenate([np.arange(q - h, q - m + 1) for q, m, h in zip(x.tolist(), lo.tolist(), hi.tolist())]))
+        held.append((np.full(len(p), u), span_hash(gram_hashes(np.frombuffer(raw, np.uint8)), p, spans[u]), np.full(len(p), t, np.int64), p))
+        total += len(p)
+        if total >= FLUSH:
+            yield from flush()
+            held, total = [], 0
     if held:
-        yield flush()
+        yield from flush()
 
 
-def _equal_windows(span: int, buckets: int):
+def _equal_windows(spans: list[int], buckets: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, t, x = _read(pdf, w=np.uint64, t=np.int64, x=np.int64)
-        order = np.lexsort((x, t, w))
-        w, t, x = w[order], t[order], x[order]
-        new = np.append(True, (w[1:] != w[:-1]) | (t[1:] != t[:-1]) | (x[1:] != x[:-1]))
-        w, t, x = w[new], t[new], x[new]
-        first = np.append(True, w[1:] != w[:-1])
-        many = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1] > 1
-        t, x = t[many], x[many]
-        return _packed(["t", "x", "size"], [t, x, np.full(len(t), span, np.int32)], _of(t.view(np.uint64), buckets), buckets).to_pandas()
+        direct, u = divmod(int(pdf.bucket.iloc[0]) // buckets, 2)
+        t, x = _read(pdf, t=np.int64, x=np.int64)
+        if not direct:
+            w, many = _read(pdf, w=np.uint64, many=np.int8)
+            order = np.lexsort((-many, x, t, w))
+            w, t, x, many = w[order], t[order], x[order], many[order]
+            new = np.append(True, (w[1:] != w[:-1]) | (t[1:] != t[:-1]) | (x[1:] != x[:-1]))
+            w, t, x, many = w[new], t[new], x[new], many[new]
+            at = np.cumsum(np.append(True, w[1:] != w[:-1])) - 1
+            some = np.bincount(at, 1 + many)[at] > 1
+            t, x = t[some], x[some]
+        return _packed(["t", "x", "size"], [t, x, np.full(len(t), spans[u], np.int32)], _of(t.view(np.uint64), buckets), buckets).to_pandas().assign(u=u)[FOUND]
 
     return run
 
 
 def _more(pdf: pd.DataFrame) -> pd.DataFrame:
-    t, x, size = _read(pdf, t=np.int64, x=np.int64, size=np.int32)
-    order = np.lexsort((x, t))
-    t, r = t[order], np.stack([x, x + size], 1)[order]
-    edge = np.flatnonzero(np.append(True, t[1:] != t[:-1])).tolist() if len(t) else []
-    return pd.DataFrame([(int(t[i]), merged(r[i:j]).tobytes()) for i, j in zip(edge, [*edge[1:], len(t)])], columns=["t2", "more"])
+    found: list[dict[int, bytes]] = []
+    for u in (0, 1):
+        t, x, size = _read(pdf[pdf.u == u], t=np.int64, x=np.int64, size=np.int32)
+        order = np.argsort(t, kind="stable")
+        t, r = t[order], np.stack([x, x + size], 1)[order]
+        found.append({int(t[i]): merged(r[i:j]).tobytes() for i, j in _runs(t)})
+    return pd.DataFrame([(k, found[0].get(k), found[1].get(k)) for k in sorted({*found[0], *found[1]})], columns=["t2", "more", "wmore"])
 
 
 def _finish(batches):
-    """t, merged ranges, bytes removed, runs removed, SHA-256 of what stays."""
+    """t, merged ranges of bytes and of the word stream, bytes removed, runs removed, SHA-256 of what stays, words in
+    repeated strings of words."""
     unpack = _unpack()
     for b in batches:
-        t, z, one, two = (b.column(k) for k in range(4))
-        spans, removed, runs, sha = [], [], [], []
+        t, z, *parts = (b.column(k) for k in range(6))
+        out = []
         for i in range(b.num_rows):
-            r = merged(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in (one[i].as_py(), two[i].as_py() or b"")]))
+            r, w = (merged(np.concatenate([np.frombuffer(x[i].as_py() or b"", np.int64).reshape(-1, 2) for x in parts[u::2]])) for u in (0, 1))
             raw, h, at = unpack(z[i].as_py()), hashlib.sha256(), 0
             for a, e in r.tolist():
                 h.update(raw[at:a])
                 at = e
             h.update(raw[at:])
-            spans.append(r.tobytes())
-            removed.append(int((r[:, 1] - r[:, 0]).sum()))
-            runs.append(len(r))
-            sha.append(h.hexdigest())
-        yield pa.RecordBatch.from_arrays([t, pa.array(spans, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha)], names=["t", "spans", "n_removed", "n_spans", "kept_sha256"])
+            out.append((r.tobytes(), w.tobytes(), int((r[:, 1] - r[:, 0]).sum()), len(r), h.hexdigest(), int((w[:, 1] // WORD_BYTES + -w[:, 0] // WORD_BYTES).sum())))
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+        arrays = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([t, *arrays], names=["t", "spans", "word_spans", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -428,53 +504,55 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, group: int = GROUP, words: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """All documents (doc_id, sha, n_bytes, t) and, for each distinct text with repeats that occurs once, (t, spans,
-    n_removed, n_spans, kept_sha256); texts that occur twice or more, of span bytes or more, are marked by whole.
+    """All documents (doc_id, sha, n_bytes, n_words, t, whole, whole_words) and, for each distinct text with repeats that
+    occurs once, (t, spans, word_spans, n_removed, n_spans, kept_sha256, n_passage_words). Texts that occur twice or more
+    are marked by whole if they have span bytes or more, by whole_words if they have `words` words or more.
 
-    words: strings of so many words instead of span bytes; spans and the columns beside it are then of the word stream."""
-    in_words = words is not None
-    span, least = (words * WORD_BYTES, 2 * words - 1) if in_words else (span, span)
-    if span < GRAM:
+    words: look for strings of so many words too; else n_words is 0. n_removed, n_spans and kept_sha256 are of bytes."""
+    spans = [span] if words is None else [span, words * WORD_BYTES]
+    if min(spans) < GRAM:
         raise ValueError(f"span must be {GRAM} bytes or more, words {GRAM // WORD_BYTES} or more")
+    least = span if words is None else min(span, 2 * words - 1)
     buckets = max(64, 2 * shuffle_parts(docs.sparkSession))
     d = _named(docs, id_col, text_col)
-    long_ = F.col("n_bytes") >= least
-    if in_words:
-        long_ &= F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= words
-    slim = cut(d.withColumn("long", long_).drop("text"))
-    texts = slim.where("long").groupBy("sha", "t").agg(F.min("k").alias("k"), F.count("*").alias("copies"))
-    off = "bucket int, a binary, c binary, t binary, x binary, lo binary, hi binary"
-    dealt = d.select("text").where(F.octet_length("text") >= least).mapInArrow(partial(_anchor_rows, span=span, buckets=buckets, in_words=in_words), off)
-    sorted_out = dealt.groupBy("bucket").applyInPandas(_sorted_out(span, buckets, group), "bucket int, kind int, a binary, t binary, x binary, size binary, lo binary, hi binary, flag binary")
-    per = sorted_out.groupBy("bucket").applyInPandas(_per_text(span), "t long, ranges binary, a binary, x binary, lo binary, hi binary, flag binary, kind binary")
+    count = F.lit(0) if words is None else F.when(F.col("n_bytes") >= 2 * words - 1, F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(0)
+    slim = cut(d.withColumn("n_words", count.cast("long")).drop("text"))
+    long_, long_words = F.col("n_bytes") >= span, F.lit(False) if words is None else F.col("n_words") >= words
+    texts = slim.where(long_ | long_words).groupBy("sha", "t").agg(F.min("k").alias("k"), F.count("*").alias("copies"))
+    binaries = lambda names: ", ".join(f"{c} binary" for c in names)
+    dealt = d.select("text").where(F.octet_length("text") >= least).mapInArrow(partial(_anchor_rows, spans=spans, buckets=buckets), f"bucket int, {binaries(ANCHORS[1:])}")
+    sorted_out = dealt.groupBy("bucket").applyInPandas(_sorted_out(spans, buckets, group), f"bucket int, kind int, {binaries(SORTED[2:])}")
+    names = ["ranges", "wranges", "a", "x", "lo", "hi", "flag", "kind"]
+    per = sorted_out.groupBy("bucket").applyInPandas(_per_text(spans), f"t long, {binaries(names)}")
     # a text that occurs twice is only needed for the contexts it is asked for
     per = cut(per.join(texts, "t").where((F.col("copies") == 1) | (F.octet_length("a") > 0)).drop("sha"))
-    names = ["t", "copies", "ranges", "a", "x", "lo", "hi", "flag", "kind"]
+    names = ["t", "copies", *names]
     fetched = d.select("k", "t", "text").join(per, ["k", "t"])
-    kinds = "t long, copies long, ranges binary, a binary, x binary, lo binary, hi binary, flag binary, kind binary, z binary"
-    fetched = cut(fetched.mapInArrow(partial(_pack, names=names, in_words=in_words), kinds))
+    fetched = cut(fetched.mapInArrow(partial(_pack, names=names), f"t long, copies long, {binaries(names[2:])}, z binary"))
     found = (
-        fetched.mapInArrow(partial(_contexts, span=span, buckets=buckets), "bucket int, a binary, t binary, x binary, lo binary, hi binary, flag binary, bytes binary")
-        .groupBy("bucket").applyInPandas(_solved(span, buckets), "bucket int, t binary, x binary, size binary")
+        fetched.mapInArrow(partial(_contexts, spans=spans, buckets=buckets), f"bucket int, {binaries(['a', 't', 'x', 'lo', 'hi', 'flag', 'bytes'])}")
+        .groupBy("bucket").applyInPandas(_solved(spans, buckets), f"bucket int, u int, {binaries(FOUND[2:])}")
     )
     large = (
-        fetched.mapInArrow(partial(_windows, span=span, buckets=buckets), "bucket int, w binary, t binary, x binary")
-        .groupBy("bucket").applyInPandas(_equal_windows(span, buckets), "bucket int, t binary, x binary, size binary")
+        fetched.mapInArrow(partial(_windows, spans=spans, buckets=buckets), f"bucket int, {binaries(WINDOWS[1:])}")
+        .groupBy("bucket").applyInPandas(_equal_windows(spans, buckets), f"bucket int, u int, {binaries(FOUND[2:])}")
     )
-    more = found.union(large).groupBy("bucket").applyInPandas(_more, "t2 long, more binary")
-    once = fetched.where("copies = 1").select("t", "z", "ranges").join(more, F.col("t") == F.col("t2"), "left").select("t", "z", "ranges", "more")
-    done = cut(once.mapInArrow(_finish, "t long, spans binary, n_removed long, n_spans long, kept_sha256 string").where("n_spans > 0"))
-    whole = texts.where("copies > 1").select("sha", F.lit(True).alias("whole"))
-    return slim.drop("k", "long").join(whole, "sha", "left"), done
+    more = found.union(large).groupBy("bucket").applyInPandas(_more, "t2 long, more binary, wmore binary")
+    once = fetched.where("copies = 1").select("t", "z", "ranges", "wranges").join(more, F.col("t") == F.col("t2"), "left").select("t", "z", "ranges", "wranges", "more", "wmore")
+    done = cut(once.mapInArrow(_finish, "t long, spans binary, word_spans binary, n_removed long, n_spans long, kept_sha256 string, n_passage_words long").where("n_spans > 0 or n_passage_words > 0"))
+    both = texts.where("copies > 1").select("sha", F.lit(True).alias("twice"))
+    twice = F.coalesce("twice", F.lit(False))
+    return slim.drop("k").join(both, "sha", "left").withColumn("whole", twice & long_).withColumn("whole_words", twice & long_words).drop("twice"), done
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    slim, done = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    whole = F.coalesce("whole", F.lit(False))
-    pick = lambda c, all_, none: F.when(whole, all_).otherwise(F.coalesce(c, none))
-    return slim.join(done.drop("spans"), "t", "left").select(
+    """The contract's columns, and n_passage_words: words in strings of PASSAGE words or more that occur anywhere else."""
+    slim, done = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=PASSAGE)
+    pick = lambda c, all_, none: F.when(F.col("whole"), all_).otherwise(F.coalesce(c, none))
+    return slim.join(done.drop("spans", "word_spans"), "t", "left").select(
         "doc_id", "n_bytes", pick("n_removed", F.col("n_bytes"), F.lit(0)).cast("long").alias("n_removed"), pick("n_spans", F.lit(1), F.lit(0)).cast("long").alias("n_spans"),
         pick("kept_sha256", F.sha2(F.lit(""), 256), F.col("sha")).alias("kept_sha256"),
+        F.when(F.col("whole_words"), F.col("n_words")).otherwise(F.coalesce("n_passage_words", F.lit(0))).alias("n_passage_words"),
     )
 
 
@@ -483,13 +561,10 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     of which nothing but white space stays go, those that had none before stay. n_chars, where there is such a column,
     follows the text."""
     t, t2, spans, word_spans, whole = fresh(docs, "_text", "_name", "_spans", "_word_spans", "_whole")
-    names, no = None, F.lit(None).cast("binary")
-    for w in [None] if words is None else [None, words]:
-        slim, done = repeats(docs, id_col, text_col, span, group, w)
-        pair = (F.col("spans"), no) if w is None else (no, F.col("spans"))
-        both = slim.where("whole").select("t").distinct()
-        more = done.select(F.col("t").alias(t2), pair[0].alias(spans), pair[1].alias(word_spans), F.lit(False).alias(whole)).union(both.select("t", no, no, F.lit(True)))
-        names = more if names is None else names.union(more).groupBy(t2).agg(*[F.max(c).alias(c) for c in (spans, word_spans, whole)])
+    slim, done = repeats(docs, id_col, text_col, span, group, words)
+    no = F.lit(None).cast("binary")
+    twice = slim.where("whole or whole_words").select(F.col("t").alias(t2), no.alias(spans), no.alias(word_spans), F.lit(True).alias(whole)).distinct()
+    names = done.select(F.col("t").alias(t2), F.col("spans").alias(spans), F.col("word_spans").alias(word_spans), F.lit(False).alias(whole)).union(twice)
     d = docs.withColumn(t, F.conv(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 16), 16, -10).cast("long"))
     cols = list(docs.columns)
 

@@ -8,10 +8,11 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 def test_stages_against_brute_force(spark):
     import corpus_pipeline as C
+    from qcloom.llm.repeats import PASSAGE
 
     from .test_decontaminate import brute as hits
     from .test_ngramjoin import brute as groups
-    from .test_repeats import brute as repeats
+    from .test_repeats_words import brute as repeats
 
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").select("item_id", "text").collect()]
@@ -23,12 +24,7 @@ def test_stages_against_brute_force(spark):
     rows = [{r.doc_id: r.text for r in d.collect()} for d in out]
     assert len(rows[1]) >= 0.98 * len(rows[0])
     assert set(rows[2]) == {d for d, _, root in groups(sorted(rows[1].items())) if d == root}
-    left = {d: (n, gone) for d, n, gone, _, _ in repeats(sorted(rows[2].items()))}
-    for d, (n, gone) in left.items():
-        if d in rows[3]:
-            assert n - gone - 6 <= len(rows[3][d].encode()) <= n - gone
-        else:
-            assert gone
+    assert {d: t or "" for d, t in rows[3].items()} == repeats(sorted(rows[2].items()), PASSAGE)  # 400 bytes, and 51 words
     for d, n, hit, _ in hits(sorted(rows[3].items()), items):
         assert (d in rows[4]) == (2 * hit <= n)
         if d in rows[4] and not hit:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -24,11 +25,14 @@ def covered(rows, span):
     return raw, out
 
 
-def brute(rows, span=P.SPAN):
+def brute(rows, span=P.SPAN, n=P.PASSAGE):
     res = []
-    for (d, _), x, c in zip(rows, *covered(rows, span)):
+    of = [re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode()) for _, t in rows]
+    seen = Counter(tuple(w[i : i + n]) for w in of for i in range(len(w) - n + 1))
+    for (d, _), x, c, w in zip(rows, *covered(rows, span), of):
         runs = int((np.diff(np.append(0, c.astype(int))) == 1).sum())
-        res.append((d, len(x), int(c.sum()), runs, hashlib.sha256(bytes(np.frombuffer(x, np.uint8)[~c])).hexdigest()))
+        said = len({k for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for k in range(i, i + n)})
+        res.append((d, len(x), int(c.sum()), runs, hashlib.sha256(bytes(np.frombuffer(x, np.uint8)[~c])).hexdigest(), said))
     return sorted(res, key=repr)
 
 
@@ -52,7 +56,7 @@ ODD = [(900, None), (901, ""), (902, "ab" * 600), (903, "x" * 399), (904, "x" *
 def answers(spark, rows, monkeypatch, **options):
     d = spark.createDataFrame(rows, SCHEMA).repartition(3)
     real = P.repeats
-    monkeypatch.setattr(P, "repeats", lambda docs: real(docs, **options))
+    monkeypatch.setattr(P, "repeats", lambda docs, **given: real(docs, **(given | options)))
 
     class Reader:
         read = type("R", (), {"parquet": staticmethod(lambda path: d)})

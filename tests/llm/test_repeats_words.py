@@ -78,4 +78,4 @@ def test_stage_on_the_tables(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = dict(C.STAGES)["repeats"](spark, docs, DIR).collect()
-    assert {r.doc_id: r.text or "" for r in got} == brute(rows, C.PASSAGE)
+    assert {r.doc_id: r.text or "" for r in got} == brute(rows, P.PASSAGE)

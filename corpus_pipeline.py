@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from qcloom.llm import decontaminate, langid, mixing, ngramjoin, repeats
 from qcloom.llm.common import written
 
-PASSAGE = 51  # words: passages of over 50
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs, langid.fit(docs.where(~langid.held_out())))
@@ -26,7 +24,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return repeats.clean(docs, words=PASSAGE)
+    return repeats.clean(docs, words=repeats.PASSAGE)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,6 +130,8 @@ def likes_count(label: Column) -> tuple[Column, Column]:
 
 
 # Labels that a statistics panel shows beside its numbers.
+SIMILAR = r"(?i)([A-Za-z0-9][A-Za-z0-9 ._'&-]*?)\s+[\d.,]+[KMB]?\s+subscribers"
+LOCKED = ["(?i)Controversial Keywords", "(?i)(Upgrade to Boost|Unlock controversial)"]
 PANEL = {
     "video": {
         "subscribers": r"(?i)Subs\s+([\d.,]+[KMB]?)", "total_views": r"(?i)Subs\s+[\d.,]+[KMB]?\s+Views\s+([\d.,]+[KMB]?)",
@@ -143,7 +145,6 @@ PANEL = {
     },
 }
 PANEL_KEYS = {"video": ["subscribers", "seo_score"], "channel": ["subscribers", "rank", "views_gained_7d", "est_monthly_earnings"]}
-SIMILAR = r"(?i)([A-Za-z0-9][A-Za-z0-9 ._'&-]*?)\s+[\d.,]+[KMB]?\s+subscribers"
 
 
 def panel_stats(df: DataFrame, col: str, scope: str = "video", patterns: dict | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -158,7 +159,7 @@ def panel_stats(df: DataFrame, col: str, scope: str = "video", patterns: dict |
     df = df.withColumn("present", present)
     for k, c in got.items():
         df = df.withColumn(k, F.when(F.col("present"), c).otherwise(F.lit("")))
-    locked = F.col("_panel").rlike("(?i)Controversial Keywords") & F.col("_panel").rlike("(?i)(Upgrade to Boost|Unlock controversial)")
+    locked = F.col("_panel").rlike(LOCKED[0]) & F.col("_panel").rlike(LOCKED[1])
     tail = F.regexp_extract("_panel", r"(?is)Similar channels(.*)", 1)
     similar = F.slice(F.transform(F.regexp_extract_all(tail, F.lit(SIMILAR), F.lit(1)), lambda x: F.trim(x)), 1, 8)
     return df.withColumn("controversial_locked", F.col("present") & locked).withColumn("similar_channels", F.when(F.col("present"), similar)).drop("_panel")
@@ -226,7 +227,5 @@ class _DeepFind:
 
 def deep_find(df: DataFrame, col: str, key: str) -> DataFrame:
     """df's rows once for every value under `key` anywhere in a JSON text: path and value (JSON)."""
-    spark = df.sparkSession
-    spark.udtf.register("qcloom_deep_find", F.udtf(_DeepFind, returnType="path string, value string"))
-    df.createOrReplaceTempView("qcloom_pages")
-    return spark.sql(f"select p.*, f.path, f.value from qcloom_pages p, lateral qcloom_deep_find(p.`{col}`, '{key}') f")
+    find = F.udtf(_DeepFind, returnType="path string, value string")
+    return df.lateralJoin(find(F.col(col).outer(), F.lit(key)))

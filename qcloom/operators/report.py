@@ -53,11 +53,11 @@ def top_tiers(df: DataFrame, col: str, k: int) -> DataFrame:
 
 def run_tally(rec: DataFrame) -> DataFrame:
     """done, errors, unsafe, review over all and, by grouping sets, for each tier_1 (null: all)."""
-    rec.createOrReplaceTempView("qcloom_records")
-    return rec.sparkSession.sql(
-        "select case when grouping(tier_1) = 1 then null else coalesce(tier_1, '') end as tier_1, count(*) as done, count_if(status = 'ERROR') as errors, "
-        "count_if(not brand_safety_is_safe) as unsafe, count_if(needs_review) as review from qcloom_records group by grouping sets ((tier_1), ())"
-    )
+    tier = F.when(F.grouping("tier_1") == 0, F.coalesce("tier_1", F.lit("")))
+    n = rec.rollup("tier_1").agg(
+        tier.alias("tier"), F.count("*").alias("done"), F.count_if(F.col("status") == "ERROR").alias("errors"), F.count_if(~F.col("brand_safety_is_safe")).alias("unsafe"), F.count_if("needs_review").alias("review")
+    )
+    return n.select(F.col("tier").alias("tier_1"), "done", "errors", "unsafe", "review")
 
 
 def run_remaining(total: Column, done: Column, halted: Column, errors: Column) -> tuple[Column, Column, Column]:

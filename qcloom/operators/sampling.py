@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import mmss, text
@@ -81,18 +81,43 @@ def sample(df: DataFrame, duration: str = "duration_s", segments: str = "segment
     return df.withColumn("windows", fill_speech(merge_windows(plan_windows(F.col(duration), **profile)), F.col(segments), want))
 
 
+SLOT = 600.0  # seconds of transcript that are numbered together
+
+
+def numbered(segments: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Segments (key, start_s, text) with `slot` and `i`, their place within the key by time, and the segments of each slot.
+
+    Rows are sorted within slots of time only, so that a very long transcript is many small sorts.
+    """
+    s = segments.where(F.col("start_s").isNotNull()).select(key, "start_s", "text", F.floor(F.col("start_s") / SLOT).alias("slot"))
+    slots = s.groupBy(key, "slot").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rn = F.row_number().over(Window.partitionBy(key, "slot").orderBy("start_s", "text"))
+    return s.withColumn("rn", rn).join(slots.withColumn("before", before).drop("n"), [key, "slot"]).withColumn("i", F.col("before") + F.col("rn")).drop("rn", "before"), slots
+
+
 def speech_join(windows: DataFrame, segments: DataFrame, key: str, want: str = "want_s") -> DataFrame:
-    """The same for transcripts kept as a table: windows (key, label, start_s, end_s, frame_t, want_s) and segments
-    (key, start_s, text). An equi-join on the key with a range on time; per window the wanted segments are counted off.
+    """The same for transcripts kept as a table: windows (key, label, start_s, end_s, frame_t, want_s), one for each key and
+    label, and segments (key, start_s, text).
 
-    Segments of a window are its own and the next ones it may ask for, so that the join is bounded by what is used.
+    Segments are numbered within their key; a window's own and next ones are a range of numbers, and only those are
+    joined, by key and number.
     """
+    segs, slots = numbered(segments, key)
     w = windows.select(key, "label", F.col("start_s").alias("w_start"), F.col("end_s").alias("w_end"), "frame_t", want)
-    reach = F.greatest(F.lit(3), F.floor(F.col(want) / SECONDS).cast("int"))
-    joined = w.join(segments, key, "left").where(F.col("start_s").isNull() | (F.col("start_s") >= F.col("w_start")))
-    seg = F.when(F.col("start_s").isNotNull(), F.struct("start_s", "text"))
-    lists = joined.groupBy(key, "label", "w_start", "w_end", "frame_t", want).agg(F.array_sort(F.collect_list(seg)).alias("segs"))
-    lists = w.join(lists.select(key, "label", "segs"), [key, "label"], "left")
+    at = w.select(key, "label", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("w_start").alias("x")), F.struct(F.lit(1).alias("end"), F.col("w_end").alias("x")))).alias("p"))
+    at = at.select(key, "label", "p.*", F.floor(F.col("p.x") / SLOT).alias("in_slot"))
+    full = at.join(slots, key).where("slot < in_slot").select(key, "label", "end", "n")
+    part = at.join(segs.withColumnRenamed("slot", "in_slot").select(key, "in_slot", "start_s"), [key, "in_slot"]).where("start_s < x").select(key, "label", "end", F.lit(1).cast("long").alias("n"))
+    n = lambda end: F.coalesce(F.sum(F.when(F.col("end") == end, F.col("n"))), F.lit(0))
+    before = full.unionByName(part).groupBy(key, "label").agg(n(0).alias("first"), n(1).alias("last"))
+    d = w.join(before, [key, "label"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("first", "last")})
+    inside = F.col("last") - F.col("first")
+    more = F.greatest(F.floor((F.col(want) - inside * SECONDS) / SECONDS), F.lit(0))
+    wanted = F.when(inside == 0, F.greatest(F.lit(3), F.floor(F.col(want) / SECONDS))).otherwise(inside + more)
+    asked = d.select(key, "label", F.explode(F.sequence(F.col("first") + 1, F.col("first") + wanted)).alias("i"))
+    got = asked.join(segs.select(key, "i", "start_s", "text"), [key, "i"]).groupBy(key, "label").agg(F.array_sort(F.collect_list(F.struct("start_s", "text"))).alias("segs"))
+    lists = w.join(got, [key, "label"], "left")
     one = F.array(F.struct("label", F.col("w_start").alias("start_s"), F.col("w_end").alias("end_s"), "frame_t"))
     return lists.select(key, F.explode(fill_speech(one, F.col("segs"), F.col(want))).alias("w")).select(key, "w.*")
 

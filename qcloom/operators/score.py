@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -63,14 +65,11 @@ def video_prompt(c: dict[str, Column], evidence: Column, hits: Column, comments:
     return F.concat_ws("\n\n", *parts)
 
 
-SHORTS_NOTE = (
-    "== CATALOG FORMAT ==\nThis channel publishes SHORTS ONLY (vertical <60s videos; it has no long-form uploads). The titles and thumbnails above are its Shorts — judge the channel "
-    "on them normally; short, hook-heavy titles are the format's norm, not a sign of thin evidence."
-)
+SHORTS_NOTE = "== CATALOG FORMAT ==\nSHORTS ONLY: what is listed above are short vertical clips, and brief titles are usual for them."
 
 
-def channel_prompt(c: dict[str, Column], evidence: Column) -> Column:
-    """c: title, subscribers, total_views, video_count, country, joined_date, velocity_score, links, channel_keywords, description, titles, is_shorts_only."""
+def channel_prompt(c: dict[str, Column], evidence: Column, shorts_note: str = SHORTS_NOTE) -> Column:
+    """shorts_note: said of channels without long videos. c: title, subscribers, total_views, video_count, country, joined_date, velocity_score, links, channel_keywords, description, titles, is_shorts_only."""
     titles = F.filter(c["titles"], lambda t: t != "")
     listed = _or(F.array_join(F.transform(F.filter(F.slice(c["titles"], 1, 120), lambda t: t != ""), lambda t: F.concat(F.lit("- "), t)), "\n"), "(none)")
     links = _or(F.array_join(F.transform(F.slice(c["links"], 1, 8), lambda x: F.concat(F.coalesce(x["title"], F.lit("")), F.lit("="), F.coalesce(x["url"], F.lit("")))), ", "), "(none)")
@@ -80,7 +79,7 @@ def channel_prompt(c: dict[str, Column], evidence: Column) -> Column:
         F.lit("\nLinks: "), links, F.lit("\nChannel keywords: "), _or(c["channel_keywords"], "(none)"), F.lit("\n"), _fence("ABOUT", F.concat(F.lit("Description: "), cap(c["description"], 1500))),
     )
     videos = F.concat(F.lit("== VIDEO TITLES ("), F.size(titles).cast("string"), F.lit(") ==\n"), _fence("TITLES", listed))
-    return F.concat_ws("\n\n", about, videos, F.when(c["is_shorts_only"], F.lit(SHORTS_NOTE)), F.when(evidence != "", F.concat(F.lit("== VISUAL EVIDENCE (from /videos page thumbnails) ==\n"), evidence)))
+    return F.concat_ws("\n\n", about, videos, F.when(c["is_shorts_only"], F.lit(shorts_note)), F.when(evidence != "", F.concat(F.lit("== VISUAL EVIDENCE (from /videos page thumbnails) ==\n"), evidence)))
 
 
 def panel_facts(panel: dict[str, Column]) -> Column:
@@ -161,11 +160,12 @@ def restore_or_extract(items: DataFrame, artifacts: DataFrame, cached: DataFrame
 # ---- scoring and parsing
 
 
-def score_batch(prompts: DataFrame, cache: DataFrame, scorer: Callable[[pd.Series], pd.Series], as_of: float, tasks: int | None = None, ttl: float = RESPONSE_TTL) -> tuple[DataFrame, DataFrame]:
+def score_batch(prompts: DataFrame, cache: DataFrame, scorer: Callable[[pd.Series], pd.Series], as_of: float, store: str, tasks: int | None = None, ttl: float = RESPONSE_TTL) -> tuple[DataFrame, DataFrame]:
     """(answers, new cache rows) for prompts (key, prompt): only keys that the cache lacks reach the scorer, each once.
 
-    scorer: a series of prompts to a series of answers. tasks bounds how many call it at a time. Write the new rows to
-    the cache table before using them: a task that Spark runs again would ask again.
+    scorer: a series of prompts to a series of answers. tasks bounds how many call it at a time. store: a folder that all
+    executors share; new rows are written to a folder of their own below it, as Parquet, and read back, so that whatever
+    is done with either result asks nothing again.
     """
     fresh = cache.where(F.lit(as_of) - F.col("created_at") <= ttl).groupBy("key").agg(F.max_by("response", "created_at").alias("response"))
     todo = prompts.select("key", "prompt").join(fresh, "key", "left_anti").groupBy("key").agg(F.first("prompt").alias("prompt"))
@@ -176,18 +176,28 @@ def score_batch(prompts: DataFrame, cache: DataFrame, scorer: Callable[[pd.Serie
             yield pd.DataFrame({"key": f["key"], "response": scorer(f["prompt"])})
 
     new = todo.mapInPandas(run, "key string, response string").withColumn("created_at", F.lit(float(as_of)))
+    new = _stored(new, store, "answers")
     answers = prompts.join(fresh.unionByName(new.drop("created_at")), "key", "left")
     return answers, new
 
 
-def retry_ladder(raw_for: Callable[[DataFrame, float], DataFrame], items: DataFrame, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], key: str = "id", temperatures=TEMPERATURES) -> tuple[DataFrame, DataFrame]:
+def _stored(df: DataFrame, store: str, name: str) -> DataFrame:
+    """df, written once and read back."""
+    path = f"{store}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def retry_ladder(raw_for: Callable[[DataFrame, float], DataFrame], items: DataFrame, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], store: str, key: str = "id", temperatures=TEMPERATURES) -> tuple[DataFrame, DataFrame]:
     """Ask again for what is rejected, at each temperature in turn. raw_for(items, temperature) gives raw output rows.
 
-    Valid rows get tier_recovered: whether an attempt before had failed. Rows rejected every time come second.
+    Valid rows get tier_recovered: whether an attempt before had failed. Rows rejected every time come second. Each
+    attempt's raw rows are written below store, a folder that all executors share, before they are looked at: every
+    attempt asks once, whatever is done with the results.
     """
     valid, todo, rejected = None, items, None
     for k, t in enumerate(temperatures):
-        ok, rejected = split(raw_for(todo, t))
+        ok, rejected = split(_stored(raw_for(todo, t), store, f"attempt-{k}"))
         ok = ok.withColumn("tier_recovered", F.lit(k > 0))
         valid = ok if valid is None else valid.unionByName(ok)
         todo = items.join(rejected.select(key), key, "left_semi")
@@ -217,43 +227,33 @@ def outer_json(raw: Column) -> Column:
     return F.coalesce(F.nullif(closed, F.lit("")), F.nullif(F.regexp_extract(s, r"(?s)[{\[].*", 0), F.lit("")))
 
 
+_MARK = re.compile(r'"(?:[^"\\]|\\.|\\\Z)*(?:"|\Z)|[{}\[\]]', re.S)
+
+
 def _close(s: str | None) -> str | None:
-    """Close what a cut-off JSON text left open, cutting back to where it was last whole."""
+    """A cut-off JSON text, cut back to where an object last closed outside lists, or a list outside objects; without such
+    a place all of it, up to a string that doesn't end. What is open there is closed: lists, then objects."""
     if s is None:
         return None
-    stack: list[str] = []
-    inside = escaped = False
-    good: list[tuple[int, str]] = []  # places after which everything open could be closed
-    for i, ch in enumerate(s):
-        if inside:
-            if escaped:
-                escaped = False
-            elif ch == "\\":
-                escaped = True
-            elif ch == '"':
-                inside = False
-                good.append((i + 1, "".join(reversed(stack))))
-            continue
-        if ch == '"':
-            inside = True
-        elif ch in "{[":
-            stack.append("}" if ch == "{" else "]")
-            good.append((i + 1, "".join(reversed(stack))))
-        elif ch in "}]":
-            if not stack:
-                break
-            stack.pop()
-            good.append((i + 1, "".join(reversed(stack))))
-        elif ch == ",":
-            good.append((i, "".join(reversed(stack))))
-    for at, tail in [(len(s), "".join(reversed(stack))), *reversed(good)]:
-        try:
-            whole = s[:at].rstrip(" \t\r\n,:") + tail
-            json.loads(whole)
-            return whole
-        except ValueError:
-            continue
-    return None
+    s = s.rstrip(" \t\r\n,")
+    depth, safe = {"{": 0, "[": 0}, 0
+    for m in _MARK.finditer(s):
+        if (ch := m[0]) in depth:
+            depth[ch] += 1
+        elif ch in ("}", "]"):
+            own, other = ("{", "[") if ch == "}" else ("[", "{")
+            depth[own] -= 1
+            if depth[own] >= 0 and not depth[other]:
+                safe = m.end()
+    s = s[:safe] if safe else s
+    lists, objects = (max(s.count(a) - s.count(b), 0) for a, b in ("[]", "{}"))
+    if s.count('"') % 2:
+        s = s[: s.rindex('"')].rstrip(" \t\r\n,:")
+    s += "]" * lists + "}" * objects
+    try:
+        return s if isinstance(json.loads(s), (dict, list)) else None
+    except ValueError:
+        return None
 
 
 @F.pandas_udf(T.StringType())

@@ -479,7 +479,7 @@ def channel_tiles(spark, sf):
 @query("greedy_budget")
 def greedy_budget(spark, sf):
     sizes = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))), lambda x: x["n"]).alias("sizes"))
-    return sizes.select("conv_id", "sizes", X.greedy_budget(F.col("sizes"), 900, 1500).alias("kept"))
+    return sizes.select("conv_id", F.array_join("sizes", ",").alias("sizes"), F.array_join(X.greedy_budget(F.col("sizes"), 900, 1500), ",").alias("kept"))
 
 
 @query("deep_find", "SELECT event_id, '/k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
@@ -791,7 +791,7 @@ WITH k AS (SELECT text, count(*) AS n FROM documents WHERE text IS NOT NULL GROU
 def score_batch(spark, sf):
     p = table(spark, sf, "documents").where("text is not null").select(F.sha2("text", 256).alias("key"), F.col("text").alias("prompt"))
     cache = p.where(F.length("prompt") % 2 == 0).select("key", F.lit("{}").alias("response"), F.lit(100.0).alias("created_at")).distinct()
-    answers, new = K.score_batch(p, cache, canned_scorer, 200.0)
+    answers, new = K.score_batch(p, cache, canned_scorer, 200.0, _folder(spark))
     n = answers.agg(F.count("response").alias("answers"))
     return cache.agg(F.count("*").alias("cached")).crossJoin(new.agg(F.count("*").alias("scored"))).crossJoin(n)  # a row each
 
@@ -834,8 +834,11 @@ def stress_by_user(spark, sf):
 
 
 def _folder(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-qcloom-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster names; of our own only where none is named and all is one machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='spark-qcloom-')}/query-{uuid.uuid4().hex}"
 
 
 @query("qc_stream", "SELECT doc_id, upper(lang) AS country, n_chars <= 180 AS short FROM documents")
@@ -975,3 +978,6 @@ def video_record(spark, sf):
 @query("channel_record", _record_sql("channel"))
 def channel_record(spark, sf):
     return _record(spark, sf, "channel")
+
+
+from . import more as _more  # noqa: E402, F401  registers its queries

@@ -63,7 +63,3 @@ def alert_tier(level: Column, start: int, least: int) -> Column:
 def stress_windows(events: DataFrame, ts: str = "ts", length: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Events per sliding window of a live log, with a watermark for late ones: the streaming form of stress_level."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, length, slide)).count().select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), F.col("count").alias("level"))
-
-
-def run_stream(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    return stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -120,17 +120,17 @@ def test_scoring_asks_once(spark, tmp_path):
 
     prompts = spark.createDataFrame([("k1", "a"), ("k1", "a"), ("k2", "b"), ("k3", "c")], "key string, prompt string")
     cache = spark.createDataFrame([("k3", "old", 50.0)], "key string, response string, created_at double")
-    _, new = K.score_batch(prompts, cache, scorer, 100.0, tasks=2)
-    new.write.parquet(str(tmp_path / "new"))
-    cache2 = cache.unionByName(spark.read.parquet(str(tmp_path / "new")))
+    answers, new = K.score_batch(prompts, cache, scorer, 100.0, str(tmp_path / "store"), tasks=2)
+    assert answers.count() == 4 and new.count() == 2 and {r.response for r in answers.collect()} == {"A", "B", "old"}  # three actions
+    cache2 = cache.unionByName(new)
     assert sorted(p.name[0] for p in asked.iterdir()) == ["a", "b"]
-    answers, again = K.score_batch(prompts, cache2, scorer, 101.0)
+    answers, again = K.score_batch(prompts, cache2, scorer, 101.0, str(tmp_path / "store"))
     assert again.count() == 0 and {(r.key, r.response) for r in answers.collect()} == {("k1", "A"), ("k2", "B"), ("k3", "old")}
 
 
 @pytest.mark.parametrize("raw,want", [
     ('{"a": 1}', {"a": 1}), ('```json\n{"a": 1}\n```', {"a": 1}), ('Sure! {"a": 1} Hope it helps', {"a": 1}), ('<think>{"x": 2}</think>{"a": 1}', {"a": 1}),
-    ('[{"a": 1}]', {"items": [{"a": 1}]}), ('{"a": 1, "b": ["x", "y', {"a": 1, "b": ["x"]}), ('{"a": 1, "b": {"c": "d"', {"a": 1, "b": {"c": "d"}}), ("no json here", None), (None, None), ("{broken", {}),
+    ('[{"a": 1}]', {"items": [{"a": 1}]}), ('{"a": 1, "b": ["x", "y', {"a": 1, "b": ["x"]}), ('{"a": 1, "b": {"c": "d"', {"a": 1, "b": {"c": "d"}}), ("no json here", None), (None, None), ("{broken", None), ('{"a": 1, "b": {"c": 1}, "n": 12', {"a": 1, "b": {"c": 1}}), ('{"b": ["x", "y"], "s": "A look at', {"b": ["x", "y"]}),
 ])
 def test_parse(spark, raw, want):
     ok, bad = K.parse_responses(spark.createDataFrame([(raw,)], "raw string"), "raw", "a int, b string, items array<struct<a:int>>")
@@ -143,7 +143,7 @@ def test_parse(spark, raw, want):
         assert got == want
 
 
-def test_retry(spark):
+def test_retry(spark, tmp_path):
     from qcloom.operators.validate import normalize
 
     items = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
@@ -154,7 +154,7 @@ def test_retry(spark):
         j = F.when(F.col("id").isin(*good[t]) if good[t] else F.lit(False), F.lit('{"tier_1": "Gaming"}')).otherwise(F.lit('{"tier_1": "?"}'))
         return todo.select("id", F.from_json(j, schema).alias("p")).select("id", "p.*")
 
-    ok, bad = K.retry_ladder(raw, items, normalize)
+    ok, bad = K.retry_ladder(raw, items, normalize, str(tmp_path))
     assert {(r.id, r.tier_recovered) for r in ok.collect()} == {("a", False), ("b", True)} and [r.id for r in bad.collect()] == ["c"]
 
 

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontaminate, htmltext, langid, mixing, ngramjoin, quality, repeats, tokencount, urlfilter, vectors
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_pareto_mix": mixing.query,
     "op2_ngram_jaccard": ngramjoin.query,
     "op3_url_templates": urlfilter.query,

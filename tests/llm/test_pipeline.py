@@ -40,9 +40,9 @@ def test_stages_against_brute_force(spark):
 
 def test_run_is_the_stages(spark):
     import corpus_pipeline as C
-    from qcloom.llm import queries
+    import __spark_entry__ as entry
 
-    assert queries.QUERIES["pipeline"] is C.run and C.ORACLE_SQL is None
+    assert entry.queries()["pipeline"] is C.run and C.ORACLE_SQL is None and "pipeline" not in entry.oracle_sql()
     a, b = (sorted((r.doc_id, r.copies) for r in C.run(spark, DIR).collect()) for _ in range(2))
     assert a == b and a
 

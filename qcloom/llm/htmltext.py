@@ -5,10 +5,12 @@ sidebars, notices, adverts, forms, scripts, styles, comments) is left out; lines
 Then pages of a host are sorted by URL path, each is paired with the neighbour whose path has the longer common prefix,
 their lines are aligned by a longest common subsequence, and lines that both share are template and are deleted.
 
-The difference alone would be wrong in two cases, so that the markup has the last word: lines that the page
-declares as its article stay even if the neighbour's article shares them (quoted passages do occur), and where
-there is such an article nothing outside it is text. A neighbour that shares most of a page's text is a copy of it,
-not its template; then the other neighbour is taken, or none.
+Sharing with one page isn't enough everywhere, so that shared lines are counted too: a line that is shared on three pages
+of a host or more, and on half of its pages, has support. Where the two nearest pages differ from the page in most of their
+text, a shared line outside a declared article is template as it is; with a near copy next to it, it is one only with
+support. In a declared article a shared line is template only with support, and only if most of the article isn't shared
+(quoted passages and copied articles do occur). Where there is a declared article nothing outside it is text: what differs
+from page to page, as comments and adverts do, no difference can find.
 
 Pages are dealt out by range of (host, path), so that a large host is many tasks; the rows at the edges of those
 tasks, one each, are what neighbours across them are found with. Only line hashes and lengths are sorted, never text,
@@ -37,7 +39,8 @@ from .common import cut, shuffle_parts, small_batches
 from .urlfilter import split_url
 
 BROADCAST_ROWS = 100_000  # deletions of so many pages at most are broadcast (some MB); more are joined by shuffle
-COPY = 0.6  # a neighbour that shares more of the text than this is a copy
+COPY = 0.6  # a neighbour that shares more of the text than this is a near copy
+SUPPORT, MAJORITY = 3, 0.5  # pages on which a line is shared, and their share of the host's pages, that make it template
 
 # Element names and words in class, id and role that say what a part of a page is.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -190,15 +193,16 @@ def common_lines(a: list, b: list) -> list[int]:
 class Row:
     def __init__(self, host, path, key, lines, sizes, marks) -> None:
         self.host, self.path, self.key = host, path, key
-        self.lines = np.frombuffer(lines, np.uint64).tolist()
+        self.lines = np.frombuffer(lines, np.int64).tolist()
         self.sizes, self.marks = np.frombuffer(sizes, np.int32), np.frombuffer(marks, np.uint8)
 
-    def shared(self, other: Row | None) -> list[int] | None:
-        """Lines shared with a neighbour; None if it's of no use."""
-        if other is None or other.host != self.host:
-            return None
-        got = common_lines(self.lines, other.lines) if not set(self.lines).isdisjoint(other.lines) else []
-        return got if self.sizes[got].sum() <= COPY * self.sizes.sum() else None
+    def shared(self, other: Row) -> list[int]:
+        return common_lines(self.lines, other.lines) if not set(self.lines).isdisjoint(other.lines) else []
+
+    def part(self, got: list[int], mark: int | None = None) -> float:
+        """The share of this page's text, or of that with a mark, which these lines are."""
+        size = self.sizes if mark is None else self.sizes * (self.marks == mark)
+        return float(size[got].sum() / max(size.sum(), 1))
 
 
 def _near(a: Row, b: Row | None) -> int:
@@ -231,22 +235,26 @@ def _edges(batches):
 
 
 def _differences(edges):
-    """Digest of each page and the numbers of its lines that are template."""
+    """Host and digest of each page, and its lines that may be template: number, hash, and whether the difference is
+    enough to say so."""
 
     def run(batches):
         task, ends = TaskContext.get().partitionId(), edges.value
         before = max((t for t, last in ends if last and t < task), default=None)
         after = min((t for t, last in ends if not last and t > task), default=None)
         prev = Row(*ends[before, 1]) if before is not None else None
-        here, keys, gone = None, [], []
+        here, out = None, []
 
         def settle(next_) -> None:
-            near = sorted((x for x in (prev, next_) if x is not None), key=lambda x: -_near(here, x))
-            got = next((s for x in near if (s := here.shared(x)) is not None), [])
-            got = [k for k in got if here.marks[k] == OPEN]
-            if got:
-                keys.append(here.key)
-                gone.append(got)
+            near = sorted((x for x in (prev, next_) if x is not None and x.host == here.host), key=lambda x: -_near(here, x))
+            tried = [here.shared(x) for x in near]
+            got = next((g for g in tried if here.part(g) <= COPY), None)
+            copy = got is None
+            got = (tried[0] if tried else []) if copy else got
+            whole = here.part(got, ARTICLE) > COPY
+            found = [(k, here.lines[k], here.marks[k] == OPEN and not copy) for k in got if here.marks[k] == OPEN or not whole]
+            if found:
+                out.append((here.host, here.key, *zip(*found)))
 
         for row in _rows(batches):
             if here is not None:
@@ -255,21 +263,29 @@ def _differences(edges):
             here = row
         if here is not None:
             settle(Row(*ends[after, 0]) if after is not None else None)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
+        kinds = (pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+        yield pa.RecordBatch.from_arrays([pa.array([list(r[k]) if k > 1 else r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["host", "key", "place", "line", "sure"])
 
     return run
 
 
 def template_lines(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(key, gone): for pages that have any, the lines outside declared articles that the nearest page shares."""
+    """(key, gone): for pages that have any, the numbers of their lines that are template."""
+    spark = pages.sparkSession
     host, path = split_url(F.col(url_col))
     src = pages.select(host.alias("host"), path.alias("path"), F.col(url_col).alias("u"), F.col(html_col).alias("h"))
     rows = src.mapInArrow(_summaries, "host string, path string, key binary, lines binary, sizes binary, marks binary").dropDuplicates(["key"])
     names = ["host", "path", "key"]
-    line = cut(rows.repartitionByRange(shuffle_parts(pages.sparkSession), *names).sortWithinPartitions(*names))
+    line = cut(rows.repartitionByRange(shuffle_parts(spark), *names).sortWithinPartitions(*names))
     ends = line.mapInArrow(_edges, "task int, last int, host string, path string, key binary, lines binary, sizes binary, marks binary").collect()  # two rows a task
-    shared = pages.sparkSession.sparkContext.broadcast({(r.task, r.last): tuple(r)[2:] for r in ends})
-    return line.mapInArrow(_differences(shared), "key binary, gone array<int>")
+    shared = spark.sparkContext.broadcast({(r.task, r.last): tuple(r)[2:] for r in ends})
+    kind = "host string, key binary, place array<int>, line array<bigint>, sure array<boolean>"
+    found = cut(line.mapInArrow(_differences(shared), kind)).select("host", "key", F.explode(F.arrays_zip("place", "line", "sure")).alias("x")).select("host", "key", "x.*")
+    many = found.groupBy("host", "line").agg(F.count_distinct("key").alias("on")).where(F.col("on") >= SUPPORT)
+    many = cut(many.join(line.groupBy("host").agg(F.count("*").alias("pages")), "host").where(F.col("on") >= MAJORITY * F.col("pages")).select("host", "line", F.lit(True).alias("much")))
+    few = many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    both = found.join(F.broadcast(many) if few else many, ["host", "line"], "left").where(F.col("sure") | F.coalesce("much", F.lit(False)))
+    return both.groupBy("key").agg(F.collect_set("place").alias("gone"))  # no more of them than a page has lines
 
 
 def _texts(batches):
@@ -278,12 +294,8 @@ def _texts(batches):
         url, page, gone = (b.column(b.schema.get_field_index(c)) for c in ("url", "h", "gone"))
         for i in range(b.num_rows):
             ls, ms = lines_of(page[i].as_py())
-            if ARTICLE in ms:
-                ls = [s for s, m in zip(ls, ms) if m == ARTICLE]
-            elif g := gone[i].as_py():
-                g = set(g)
-                ls = [s for k, s in enumerate(ls) if k not in g]
-            out.append("\n".join(ls))
+            g, declared = set(gone[i].as_py() or ()), ARTICLE in ms
+            out.append("\n".join(s for k, (s, m) in enumerate(zip(ls, ms)) if k not in g and (m == ARTICLE or not declared)))
         yield pa.RecordBatch.from_arrays([b.column(0), url, pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 

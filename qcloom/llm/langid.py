@@ -7,8 +7,10 @@ distance is the sum over bits of the bit's weight (how well it split the trainin
 the logistic loss of its margin, and the nearest codeword wins. Its score is the softmax of minus the distances;
 a runner-up close behind flags the text as ambiguous.
 
-Learning is one pass of counts over all labelled rows (languages x BUCKETS sums with map-side combining, collected
-as a table of fixed size); no row is sampled. Predicting is one narrow pass.
+Learning is one pass of counts over all labelled rows, summed by language and bucket with map-side combining, and then in
+Spark to a sum for each bucket and bit; no row is sampled and no language left out. The driver gets a row for each
+language (its total) and one for each bucket (bits of sums), whatever the corpus. Shares are summed as whole numbers of
+2^-40, so that reruns agree. Predicting is one narrow pass.
 
 Defined cases: a null text or one without a letter is `und` with score 0; other texts always get a learned language,
 if any was learned, else `und`; very long texts are read whole; repeated rows are predicted alike; rows with a
@@ -24,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, small_batches, steps
+from .common import cut, fresh, small_batches, steps
 
 BUCKETS = 1 << 13
-LANGUAGES = 4096  # most languages learned, in order of rows; the table of sums has LANGUAGES x BUCKETS cells at most
+GRAIN = float(1 << 40)  # shares are summed in these parts of 1
+CHOOSE = 1000  # languages up to which the best of several random codes is taken
 AMBIGUOUS = 0.6
 SCALE = 12.0
 UNKNOWN = "und"
@@ -83,6 +86,10 @@ def codewords(k: int) -> np.ndarray:
         return np.array(cols, np.float32).T
     size = int(np.ceil(10 * np.log2(k)))
     rng, best, gap = np.random.default_rng(7), None, -1
+    if k > CHOOSE:  # random codes of this length are far apart; none occurs twice
+        while best is None or len(np.unique(best, axis=0)) < k:
+            best = rng.choice(np.array([-1, 1], np.float32), (k, size))
+        return best
     for _ in range(40):
         m = rng.choice(np.array([-1, 1], np.float32), (k, size))
         m[:, np.abs(m.sum(0)) == k] *= np.where(np.arange(k) % 2, 1, -1)[:, None]
@@ -95,20 +102,19 @@ def codewords(k: int) -> np.ndarray:
 class Model:
     """Languages in code-point order, their codewords, and for each bit its n-gram weights and its own weight."""
 
-    def __init__(self, table: dict[str, np.ndarray]) -> None:
-        self.langs = sorted(table)
-        if not self.langs:
+    def __init__(self, langs: list[str], totals: list[int], one: np.ndarray, every: np.ndarray, code: np.ndarray) -> None:
+        """one: for each bit, by bucket, the sum of n / (total + BUCKETS / 2) over the languages that have it set; every: over all."""
+        self.langs, self.code = langs, code
+        if not langs:
             return
-        counts = np.stack([table[x] for x in self.langs]).astype(np.float64)
-        share = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS)
-        self.code = codewords(len(self.langs))
+        rest = 0.5 / (np.array(totals, np.float64) + 0.5 * BUCKETS)  # a language's share of an n-gram that it hasn't
         w, weigh = [], []
-        for bit in self.code.T:
-            one, two = share[bit > 0], share[bit < 0]
-            one, two = (x.mean(0) if len(x) else np.full(BUCKETS, 1.0 / BUCKETS) for x in (one, two))
-            r = np.log(one) - np.log(two)
+        for bit, mine in zip(code.T, one):
+            sides = ((mine, bit > 0), (every - mine, bit < 0))
+            a, b = ((x + rest[k].sum()) / k.sum() if k.any() else np.full(BUCKETS, 1.0 / BUCKETS) for x, k in sides)
+            r = np.log(a) - np.log(b)
             w.append(r)
-            weigh.append(max(1e-6, float(((one - two) * r).sum())))  # how far apart its two sides are
+            weigh.append(max(1e-6, float(((a - b) * r).sum())))  # how far apart its two sides are
         self.w = np.stack(w, 1).astype(np.float32)
         self.weight = np.array(weigh) / np.sum(weigh)
 
@@ -129,12 +135,21 @@ class Model:
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    small_batches(rows.sparkSession)
-    counts = learn_counts(rows, text_col, lang_col)
-    table: dict[str, np.ndarray] = {}
-    for r in counts.collect():  # LANGUAGES x BUCKETS cells at most, whatever the corpus
-        table.setdefault(r.lang, np.zeros(BUCKETS))[r.bucket] = r.n
-    return Model(dict(sorted(table.items(), key=lambda x: (-x[1].sum(), x[0]))[:LANGUAGES]))
+    spark = rows.sparkSession
+    small_batches(spark)
+    counts = cut(learn_counts(rows, text_col, lang_col))
+    totals = {r.lang: r.total for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}  # a row for each language
+    langs = sorted(totals)
+    code = codewords(len(langs)) if langs else np.empty((0, 0), np.float32)
+    bits = code.shape[1]
+    known = spark.createDataFrame([(x, totals[x] + 0.5 * BUCKETS, (c > 0).tolist()) for x, c in zip(langs, code)], "lang string, over double, bits array<boolean>")
+    share = counts.join(known, "lang").select("bucket", "bits", F.round(F.col("n") * GRAIN / F.col("over")).cast("long").alias("s"))
+    sums = share.groupBy("bucket").agg(F.sum("s").alias("every"), *[F.sum(F.when(F.get("bits", F.lit(k)), F.col("s"))).alias(f"b{k}") for k in range(bits)])
+    one, every = np.zeros((bits, BUCKETS)), np.zeros(BUCKETS)
+    for r in sums.collect():  # BUCKETS rows of bits sums at most
+        every[r[0]] = r[1] / GRAIN
+        one[:, r[0]] = [(x or 0) / GRAIN for x in r[2:]]
+    return Model(langs, [totals[x] for x in langs], one, every, code)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", names=("lang_pred", "score", "ambiguous")) -> DataFrame:

@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -48,3 +51,65 @@ def test_codewords():
         assert c.shape[0] == k and len({tuple(r) for r in c.tolist()}) == k
     c = L.codewords(40)
     assert min((c[i] != c[j]).sum() for i in range(40) for j in range(i)) >= 10
+
+
+def brute(train, texts):
+    """[(language, score)] by the definition, one n-gram at a time."""
+    import math
+
+    def grams(text):
+        low = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode())
+        low = re.sub(rb"\xc3([\x80-\x96\x98-\x9e])", lambda m: bytes([0xC3, m[1][0] + 32]), low)
+        out = []
+        for i in range(len(low) - 2):
+            a, b, c = low[i : i + 3]
+            if not (a == b == 32 or b == c == 32):
+                out.append(((((a * 65599 * 65599 + b * 65599 + c) & 0xFFFFFFFF) * 2654435761) & 0xFFFFFFFF) >> 19)
+        return out
+
+    langs = sorted({x for _, x in train})
+    count = {x: Counter() for x in langs}
+    for t, x in train:
+        count[x].update(grams(t))
+    share = {x: [(count[x][g] + 0.5) / (count[x].total() + 0.5 * L.BUCKETS) for g in range(L.BUCKETS)] for x in langs}
+    code = L.codewords(len(langs)).tolist()
+    w, weight = [], []
+    for k in range(len(code[0])):
+        one, two = ([share[x] for x, c in zip(langs, code) if c[k] * s > 0] for s in (1, -1))
+        one, two = ([sum(v) / len(v) for v in zip(*rows)] if rows else [1 / L.BUCKETS] * L.BUCKETS for rows in (one, two))
+        w.append([math.log(a / b) for a, b in zip(one, two)])
+        weight.append(max(1e-6, sum((a - b) * r for a, b, r in zip(one, two, w[-1]))))
+    res = []
+    for t in texts:
+        g = grams(t)
+        margin = [L.SCALE * sum(x[i] for i in g) / max(len(g), 1) for x in w]
+        loss = [sum(v * math.log1p(math.exp(-m * c)) for v, m, c in zip(weight, margin, word)) / sum(weight) for word in code]
+        p = [math.exp(-L.SCALE * (x - min(loss))) for x in loss]
+        best = max(range(len(langs)), key=lambda k: p[k])
+        res.append((langs[best], p[best] / sum(p)))
+    return res
+
+
+def test_decoder_against_brute_force(spark):
+    for k, n in ((4, 60), (7, 70)):
+        r = np.random.default_rng(k)
+        alphabet = {f"l{i}": ["".join(r.choice(list("abcdefghijkéÜñ"), r.integers(2, 6))) for _ in range(12)] for i in range(k)}
+        rows = [(i, " ".join(r.choice(alphabet[f"l{i % k}"], r.integers(1, 9))) + r.choice(["", "!  ", " 12"]), f"l{i % k}") for i in range(n)]
+        d = spark.createDataFrame(rows, SCHEMA).repartition(3)
+        got = {x.doc_id: x for x in L.predict(d, L.fit(d.where("doc_id % 3 > 0")), ["doc_id"]).collect()}
+        for (i, t, _), (lang, score) in zip(rows, brute([(t, x) for i, t, x in rows if i % 3], [t for _, t, _ in rows])):
+            assert abs(got[i].score - score) < 1e-4 and (got[i].lang_pred == lang or score < 0.52)
+            assert got[i].ambiguous == (got[i].score < L.AMBIGUOUS)
+
+
+def test_ties_go_to_the_first_language(spark):
+    d = spark.createDataFrame([(1, "aaa bbb", "zz"), (2, "aaa bbb", "mm")], SCHEMA)
+    assert {r.lang_pred for r in L.predict(d, L.fit(d), ["doc_id"]).collect()} == {"mm"}
+
+
+def test_many_languages(spark):
+    n = L.CHOOSE + 200
+    d = spark.range(n).selectExpr("id as doc_id", "concat('word', hex(id), ' ', hex(id * 7919), ' ', hex(id * 104729)) as text", "concat('lang', id) as lang")
+    m = L.fit(d)
+    # one short text a language: far above chance is all that can be asked
+    assert len(m.langs) == n and len(np.unique(m.code, axis=0)) == n and L.predict(d, m, ["lang"]).where("lang = lang_pred").count() > 0.1 * n

@@ -53,6 +53,33 @@ def test_against_brute_force(spark, dim, blocks, cell_rows, seed):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+@pytest.mark.parametrize("task_rows,cell_rows", [(20, 200_000), (7, 5)])
+def test_dense_cells_are_many_tasks(spark, task_rows, cell_rows):
+    rows = data(n=300, dim=16, seed=7)
+    got = X.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), task_rows=task_rows, cell_rows=cell_rows)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_cosines_in_doubt_are_exact(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    base = r.normal(size=(12, 8))
+    rows = [(i, [float(np.float32(x)) for x in base[i % 12] + 0.3 * r.normal(size=8)], 0) for i in range(150)]
+    monkeypatch.setattr(X, "DOUBT", 0.02)  # many pairs are looked at again
+    assert sorted(map(tuple, X.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows)
+    a, b = [1.0] + [0.0] * 7, [0.93, float(np.float32((1 - 0.93**2) ** 0.5))] + [0.0] * 6
+    edge = [(k, [float(np.float32(x)) for x in b[:1]] + [float(np.float32(b[1] + e))] + b[2:], 0) for k, e in enumerate((-2e-7, -1e-7, 0, 1e-7, 2e-7), 1)]
+    got = X.near_duplicates(spark.createDataFrame([(0, a, 0), *edge], SCHEMA))
+    assert sorted(map(tuple, got.collect())) == brute([(0, a, 0), *edge])
+
+
+def test_long_vectors_and_null_ids(spark):
+    r = np.random.default_rng(1)
+    long = [[float(x) for x in r.normal(size=3000)] for _ in range(3)]
+    rows = [(0, long[0], 1), (1, [x * 2 for x in long[0]], 1), (2, long[1], 1), (None, long[0], 1)]
+    got = {x.vec_id: tuple(x)[1:] for x in X.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got[0] == (1, 0, True) and got[1] == (1, 0, False) and got[2] == (0, 2, True) and got[None] == (0, None, None)
+
+
 def test_edges(spark):
     assert X.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     only = spark.createDataFrame([(1, None, 1), (2, [0.0], 1)], SCHEMA).selectExpr("*", "1 as rep", "2 as v", "3 as digest")

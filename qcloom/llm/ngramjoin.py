@@ -13,11 +13,15 @@ a filter of its own, and a pair must pass them all before it is verified:
 
 Identical sets are one class from the start. A group isn't expanded into pairs: links only matter across parts that
 aren't connected yet, so that each member outside the group's largest part is compared with its candidates in other
-parts, which is all that can change the components. A group of more than GROUP_ROWS classes is never brought into one
-task: its members stay dealt out, and blocks of query members, broadcast, pass over all of them, first some to find the
-large part, then every member outside it; the links found are the same.
+parts, which is all that can change the components. A group of more than GROUP_ROWS classes, or of more than GROUP_SHINGLES
+shared shingles, is never brought into one task: its members stay dealt out, and blocks of query members, broadcast, pass
+over all of them, first some to find the large part, then every member outside it; the links found are the same. A block
+is bounded in members and in shingles.
 
-Shingle hashes have 64 bits. They travel as packed arrays, one row per task and bucket, instead of a row each.
+Shingle hashes have 64 bits. They travel as packed arrays, one row per task and bucket, instead of a row each. In the
+first filter, shingles that a task sees in several sets are known to be shared: they are counted for their sets there, and
+one mark goes to the shingle's bucket, so that a shingle of a third of all documents is no hot bucket. Sets that occur in
+several tasks may be counted too high by that, which only lets more of them through to the next filter.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing; fewer than five words are one
 shingle; very long texts are read whole; a null doc_id keeps its n_shingles and has no component; rows that repeat a
@@ -41,8 +45,9 @@ from .vectors import Forest
 
 NGRAM, PERCENT = 5, 75
 GROUP_ROWS = 20_000
+GROUP_SHINGLES = 8_000_000  # at 12 bytes each
 FLUSH = 500_000  # shingles that a task holds before it passes them on
-QUERIES = 1024  # members of a large group that are broadcast at a time
+QUERIES, QUERY_SHINGLES = 1024, 2_000_000  # members of a large group, and their shingles, that are broadcast at a time
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int = NGRAM) -> list[np.ndarray]:
@@ -108,20 +113,35 @@ def _of(x: np.ndarray, buckets: int) -> np.ndarray:
 
 def _first_prefixes(batches, buckets: int, percent: int):
     """Prefixes in the order of hashes, packed by shingle: the shingles' low 32 bits, and for each set in turn how many
-    of them are its own, its short digest and its size. Shingles of a bucket that agree in 32 bits by chance only let a
-    few more sets through."""
+    of them are its own, its short digest and its size (0: a mark that several sets have them). Shingles of a bucket that
+    agree in 32 bits by chance only let a few more sets through. Counts of shingles shared inside the task go on by set, in
+    buckets from `buckets` on."""
     held, total = [], 0
 
     def flush():
-        tok, size = np.concatenate([t for t, _, _ in held]), [len(t) for t, _, _ in held]
-        key, n = np.array([k for _, k, _ in held], np.uint64), np.array([m for _, _, m in held], np.int32)
+        size = [len(t) for t, _, _ in held]
+        tok, key, n = np.concatenate([t for t, _, _ in held]), np.repeat(np.array([k for _, k, _ in held], np.uint64), size), np.repeat(np.array([m for _, _, m in held], np.int32), size)
+        order = np.lexsort((key, tok))
+        tok, key, n = tok[order], key[order], n[order]
+        new_t = np.append(True, tok[1:] != tok[:-1])
+        new = new_t | np.append(True, key[1:] != key[:-1])
+        tok, key, n, new_t = tok[new], key[new], n[new], new_t[new]
+        at = np.cumsum(new_t) - 1
+        many = np.bincount(at)[at] > 1
+        sets, first, cnt = np.unique(key[many], return_index=True, return_counts=True)
+        if len(sets):
+            known = _packed(["cnt", "key", "n"], [cnt.astype(np.uint32), sets, n[many][first]], buckets + _of(sets, buckets), 2 * buckets)
+            yield pa.RecordBatch.from_arrays([*known.columns, pa.array([b""] * known.num_rows, pa.binary())], names=[*known.schema.names, "tok"])
+        n = np.where(many, 0, n).astype(np.int32)
+        keep = ~many | new_t
+        tok, key, n = tok[keep], key[keep], n[keep]
         deal = _of(tok, buckets)
-        order = np.argsort(deal, kind="stable")
-        doc, deal = np.repeat(np.arange(len(held)), size)[order], deal[order]
-        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (deal[1:] != deal[:-1])))
-        runs = _packed(["cnt", "key", "n"], [np.diff(new, append=len(doc)).astype(np.uint32), key[doc[new]], n[doc[new]]], deal[new], buckets)
-        toks = _packed(["tok"], [tok[order].astype(np.uint32)], deal, buckets)
-        return pa.RecordBatch.from_arrays([*runs.columns, toks.column(1)], names=[*runs.schema.names, "tok"])
+        order = np.lexsort((n, key, deal))
+        tok, key, n, deal = tok[order], key[order], n[order], deal[order]
+        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (deal[1:] != deal[:-1]) | (n[1:] != n[:-1])))
+        runs = _packed(["cnt", "key", "n"], [np.diff(new, append=len(tok)).astype(np.uint32), key[new], n[new]], deal[new], buckets)
+        toks = _packed(["tok"], [tok.astype(np.uint32)], deal, buckets)
+        yield pa.RecordBatch.from_arrays([*runs.columns, toks.column(1)], names=[*runs.schema.names, "tok"])
 
     for b in batches:
         for _, x in _each(b):
@@ -130,10 +150,10 @@ def _first_prefixes(batches, buckets: int, percent: int):
                 held.append((x[:k], int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "big"), n))
                 total += min(k, n)
             if total >= FLUSH:
-                yield flush()
+                yield from flush()
                 held, total = [], 0
     if held:
-        yield flush()
+        yield from flush()
 
 
 def _read(pdf: pd.DataFrame, **kinds) -> list[np.ndarray]:
@@ -155,24 +175,38 @@ def _pairs(tok: np.ndarray, key: np.ndarray, *more: np.ndarray):
 
 
 def _repeated(buckets: int):
-    """For each set with shingles that others have: how many, packed by set."""
+    """For each set with shingles that others have: how many, packed by set; known 1: counted inside a task before."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tok, cnt, key, n = _read(pdf, tok=np.uint32, cnt=np.uint32, key=np.uint64, n=np.int32)
-        _, key, _, n = _pairs(tok, np.repeat(key, cnt), np.repeat(n, cnt))
-        key, at, cnt = np.unique(key, return_index=True, return_counts=True)
-        return _packed(["key", "cnt", "n"], [key, cnt.astype(np.int32), n[at]], _of(key, buckets), buckets).to_pandas()
+        cnt, key, n = _read(pdf, cnt=np.uint32, key=np.uint64, n=np.int32)
+        known = int(pdf.bucket.iloc[0]) >= buckets
+        if not known:
+            (tok,) = _read(pdf, tok=np.uint32)
+            key, n = np.repeat(key, cnt), np.repeat(n, cnt)
+            order = np.lexsort((key, n > 0, tok))  # marks first
+            tok, key, n = tok[order], key[order], n[order]
+            new_t = np.append(True, tok[1:] != tok[:-1]) if len(tok) else np.empty(0, bool)
+            new = new_t | np.append(True, key[1:] != key[:-1]) | np.append(True, (n[1:] > 0) != (n[:-1] > 0)) if len(tok) else new_t
+            tok, key, n, new_t = tok[new], key[new], n[new], new_t[new]
+            at = np.cumsum(new_t) - 1
+            shared = (n > 0) & (np.bincount(at)[at] > 1) if len(tok) else new_t  # with a mark or another set
+            key, first, cnt = np.unique(key[shared], return_index=True, return_counts=True)
+            n = n[shared][first]
+        return _packed(["key", "cnt", "n"], [key, cnt.astype(np.int32), n], _of(key, buckets), buckets).to_pandas().assign(known=int(known))
 
     return run
 
 
 def _survivors(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, cnt, n = _read(pdf, key=np.uint64, cnt=np.int32, n=np.int32)
-        key, at, back = np.unique(key, return_index=True, return_inverse=True)
-        total = np.bincount(back, cnt, len(key))
-        need = np.array([few(least(int(x), percent)) for x in n[at]])
-        return pd.DataFrame({"short": key[total >= need].astype(np.int64)})
+        parts = [(*_read(pdf[pdf.known == k], key=np.uint64, cnt=np.int32, n=np.int32), k) for k in (0, 1)]
+        key, at, back = np.unique(np.concatenate([x[0] for x in parts]), return_index=True, return_inverse=True)
+        n = np.concatenate([x[2] for x in parts])[at]
+        m = len(parts[0][0])
+        total, known = np.bincount(back[:m], parts[0][1], len(key)), np.zeros(len(key))
+        np.maximum.at(known, back[m:], parts[1][1])  # each task that has the set says how many of all
+        need = np.array([few(least(int(x), percent)) for x in n])
+        return pd.DataFrame({"short": key[total + known >= need].astype(np.int64)})
 
     return run
 
@@ -302,10 +336,11 @@ def _verify(percent: int):
     return run
 
 
-def _verify_large(sets: DataFrame, percent: int, queries: int) -> DataFrame | None:
+def _verify_large(sets: DataFrame, percent: int, queries: int, shingles: int) -> DataFrame | None:
     """Links inside groups too large for one task, enough to connect what they connect.
 
-    sets: group, rep, n, tok, freq. Blocks of `queries` members meet all members, which stay where they are.
+    sets: group, rep, n, tok, freq. Blocks of `queries` members at most, of `shingles` shingles at most (or
+    of one member), meet all members, which stay where they are.
     """
     sets = cut(sets.repartition(shuffle_parts(sets.sparkSession), "rep"))
     spark, edges = sets.sparkSession, None
@@ -317,9 +352,12 @@ def _verify_large(sets: DataFrame, percent: int, queries: int) -> DataFrame | No
             size = root.groupBy("group", "root").count()
             big = size.groupBy("group").agg(F.max(F.struct("count", "root")).alias("m")).select(F.col("m.root").alias("root"))
             todo = todo.join(root.join(big, "root", "left_anti").select("rep"), "rep", "left_semi")
-        block = todo.orderBy(F.xxhash64("rep"), "rep").limit(queries if turn else min(64, queries)).join(sets, ["group", "rep"]).select("rep", "n", "tok", "freq").collect()
-        if not block:
+        turns = todo.join(sets.select("rep", F.octet_length("tok").alias("bytes")), "rep").orderBy(F.xxhash64("rep"), "rep").limit(queries if turn else min(64, queries)).collect()
+        if not turns:
             return edges
+        size = np.cumsum([r.bytes // 8 for r in turns])
+        turns = [r.rep for r in turns[: max(1, int(np.searchsorted(size, shingles, "right")))]]
+        block = sets.join(F.broadcast(spark.createDataFrame([(r,) for r in turns], "rep long")), "rep").select("rep", "n", "tok", "freq").collect()
         asked = cut(asked.union(spark.createDataFrame([(r.rep,) for r in block], "rep long")))
         shared = spark.sparkContext.broadcast([(r.rep, r.n, bytes(r.tok), bytes(r.freq)) for r in block])
 
@@ -342,7 +380,7 @@ def _verify_large(sets: DataFrame, percent: int, queries: int) -> DataFrame | No
     return edges
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, group_rows: int = GROUP_ROWS, queries: int = QUERIES) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, group_rows: int = GROUP_ROWS, queries: int = QUERIES, group_shingles: int = GROUP_SHINGLES, query_shingles: int = QUERY_SHINGLES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
@@ -352,7 +390,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = slim.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
 
     dealt = d.where("doc_id is not null").mapInArrow(partial(_first_prefixes, buckets=buckets, percent=percent), "bucket int, cnt binary, key binary, n binary, tok binary")
-    counts = dealt.groupBy("bucket").applyInPandas(_repeated(buckets), "bucket int, key binary, cnt binary, n binary")
+    counts = dealt.groupBy("bucket").applyInPandas(_repeated(buckets), "bucket int, key binary, cnt binary, n binary, known int")
     left = counts.groupBy("bucket").applyInPandas(_survivors(percent), "short long")
     # the first eight bytes of a digest name a set in the packed arrays
     named = classes.withColumn("short", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long"))
@@ -367,11 +405,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = pre.groupBy("t").agg(F.min("rep").alias("hub"), F.count("*").alias("k")).where("k > 1")
     loose = components(pre.join(star, "t").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
     grouped = sets.drop("first").join(loose, F.col("rep") == F.col("node")).withColumnRenamed("root", "group").drop("node")
-    size = cut(loose.groupBy("root").count())
-    small = grouped.join(size.where(F.col("count") <= group_rows).select(F.col("root").alias("group")), "group", "left_semi")
+    size = cut(grouped.groupBy("group").agg(F.count("*").alias("count"), F.sum(F.octet_length("tok") / 8).alias("shingles")))
+    fits = (F.col("count") <= group_rows) & (F.col("shingles") <= group_shingles)
+    small = grouped.join(size.where(fits).select("group"), "group", "left_semi")
     edges = small.groupBy("group").applyInPandas(_verify(percent), "a long, b long")
-    if not (large := size.where(F.col("count") > group_rows)).isEmpty():
-        more = _verify_large(grouped.join(large.select(F.col("root").alias("group")), "group", "left_semi"), percent, queries)
+    if not (large := size.where(~fits)).isEmpty():
+        more = _verify_large(grouped.join(large.select("group"), "group", "left_semi"), percent, queries, query_shingles)
         edges = edges if more is None else edges.union(more)
     linked = components(edges)
 
@@ -380,14 +419,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
+def _set_digest(batches):
+    for b in batches:
+        key = [xxhash.xxh3_128_digest(x.tobytes()) for _, x in _each(b, b.schema.names[-1])]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(key, pa.binary())], names=b.schema.names)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs, with one document of each component: the one with the smallest id. Rows without an id stay."""
-    at = fresh(docs, "_other")[0]
+    """docs, with one document of each component: the one with the smallest id. Rows without an id stay. Of rows that share
+    an id and a set of shingles one stays, that of the least hash; rows of one id with other texts are other documents."""
+    at, key = fresh(docs, "_other", "_set")
     gone = jaccard_components(docs, id_col, text_col, **options).where("doc_id <> component_id").select(F.col("doc_id").alias(at)).distinct()
     kept = docs.join(gone, docs[id_col] == gone[at], "left_anti")
-    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(at)).count().where("count > 1").select(at)
+    if twice.isEmpty():
         return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
+    once, more = kept.join(twice, kept[id_col] == twice[at], "left_anti"), kept.join(twice, kept[id_col] == twice[at], "left_semi")
+    with_key = more.withColumn(key, F.col(text_col)).mapInArrow(_set_digest, more.schema.add(key, "binary"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least_ = with_key.groupBy(id_col, key).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+    return once.union(least_.select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

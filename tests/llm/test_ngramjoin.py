@@ -69,6 +69,13 @@ def test_more_seeds(spark, seed):
     assert sorted(map(tuple, N.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 30])
+def test_bounds_in_shingles(spark, parts):
+    rows = corpus(120, 5)
+    d = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+    assert sorted(map(tuple, N.jaccard_components(d, group_shingles=60, query_shingles=50).collect())) == brute(rows)
+
+
 def test_empty_nulls_repeats(spark):
     assert N.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
     d = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f")], SCHEMA)
@@ -79,3 +86,9 @@ def test_keep_one(spark):
     d = spark.createDataFrame([(2, "a b c d e f", 1), (1, "a b c d e f", 2), (7, "other", 3), (7, "other", 3), (None, "a b c d e f", 4), (9, None, 5)], "doc_id long, text string, rep int").selectExpr("*", "1 as key", "2 as _other")
     got = N.keep_one(d)
     assert got.columns == d.columns and sorted((r.doc_id or -1, r.rep) for r in got.collect()) == [(-1, 4), (1, 2), (7, 3), (9, 5)]
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    rows = [(4, "a b c d e f", 1), (4, "A b c\nd e f", 2), (4, "quite another text of its own", 3), (4, None, 4), (4, None, 4), (5, "a b c d e f", 5)]
+    got = [sorted((r.doc_id, r.text, r.rep) for r in N.keep_one(spark.createDataFrame(rows, "doc_id long, text string, rep int").repartition(k)).collect() if r.text) for k in (1, 4)]
+    assert got[0] == got[1] and len(got[0]) == 2 and (4, "quite another text of its own", 3) in got[0] and {r[0] for r in got[0]} == {4}

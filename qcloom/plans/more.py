@@ -15,7 +15,7 @@ from ..operators import validate as VA
 from ..operators import worklist as W
 from ..sources import readers, sinks
 from . import runs
-from .queries import _WINDOWS_SQL, LEXICON, SQL, _folder, _spoken, lexicon_sql, query, table
+from .queries import _WINDOWS_SQL, LEXICON, SQL, _folder, _spoken, lexicon_sql, query, table, texts
 
 # ---------------------------------------------------------------- sampled speech
 
@@ -71,13 +71,13 @@ def _field_hits(d, fields):
 
 @query("video_fields", _fields_sql({"title": "source", "description": "text", "tags": "lang || ' ' || source", "transcript": "substr(text, 1, 20000)"}))
 def video_fields(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("description"), F.array("lang", "source").alias("keywords"), F.col("text").alias("transcript"))
+    d = texts(spark, sf).select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("description"), F.array("lang", "source").alias("keywords"), F.col("text").alias("transcript"))
     return _field_hits(d, G.video_fields())
 
 
 @query("channel_fields", _fields_sql({"title": "source", "description": "text", "tags": "lang", "recent_titles": "array_to_string(string_split(text, chr(10)), ' ')"}))
 def channel_fields(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("description"), F.col("lang").alias("channel_keywords"), F.split("text", "\n").alias("titles"))
+    d = texts(spark, sf).select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("description"), F.col("lang").alias("channel_keywords"), F.split("text", "\n").alias("titles"))
     return _field_hits(d, G.channel_fields())
 
 

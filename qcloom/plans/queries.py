@@ -23,6 +23,7 @@ from ..operators import score as K
 from ..operators import state as ST
 from ..operators import validate as VA
 from ..operators import worklist as W
+from ..sources.readers import spread
 from ..streaming import streams
 
 QUERIES: dict = {}
@@ -43,6 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts take long to look through."""
+    return spread(table(spark, sf_dir, name))
+
+
 def words_sql(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -105,7 +111,7 @@ _DOC_LINES = r"SELECT doc_id * 10000 + i AS line_no, line FROM (SELECT doc_id, u
 
 @query("worklist_freeform", worklist_sql(_DOC_LINES, None))
 def worklist_freeform(spark, sf):
-    lines = W.read_lines(table(spark, sf, "documents").select("doc_id", "text")).select((F.col("doc_id") * 10000 + F.col("line_no")).alias("line_no"), "line")
+    lines = W.read_lines(texts(spark, sf).select("doc_id", "text")).select((F.col("doc_id") * 10000 + F.col("line_no")).alias("line_no"), "line")
     return W.parse_items(lines)[0].select("id", "type", "label", "seen")
 
 
@@ -249,14 +255,14 @@ WITH f AS (SELECT doc_id AS id, 'document' AS field, text FROM documents UNION A
 SELECT id, field, h.grp, h.term, h.category, h.min_risk FROM (SELECT id, field, unnest({lexicon_sql('text')}) AS h FROM f)
 """)
 def lexicon_scan(spark, sf):
-    d = G.scan(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), {"document": F.col("text")}, LEXICON).select("id", "hits")
-    p = G.scan(table(spark, sf, "pages").select(F.col("page_id").alias("id"), "url", "html"), {"url": F.col("url"), "html": F.col("html")}, LEXICON).select("id", "hits")
+    d = G.scan(texts(spark, sf).select(F.col("doc_id").alias("id"), "text"), {"document": F.col("text")}, LEXICON).select("id", "hits")
+    p = G.scan(texts(spark, sf, "pages").select(F.col("page_id").alias("id"), "url", "html"), {"url": F.col("url"), "html": F.col("html")}, LEXICON).select("id", "hits")
     return d.union(p).select("id", F.explode("hits").alias("h")).select("id", "h.field", F.col("h.group").alias("grp"), "h.term", "h.category", "h.min_risk")
 
 
 @query("lexicon_join", SQL["lexicon_scan"].replace(" UNION ALL SELECT page_id, 'url', url FROM pages UNION ALL SELECT page_id, 'html', html FROM pages", "").replace(lexicon_sql("text"), lexicon_sql("text", V.LEXICON)))
 def lexicon_join(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("field"), "text")
+    d = texts(spark, sf).select(F.col("doc_id").alias("id"), F.lit("document").alias("field"), "text")
     return G.scan_by_join(d, V.lexicon(spark)).withColumnRenamed("group", "grp")
 
 
@@ -273,7 +279,7 @@ f AS (SELECT *, ['none', 'low', 'medium', 'high'][k + 1] AS floored, k <= 1 AS s
 
 def _floored(spark, sf) -> DataFrame:
     labels = table(spark, sf, "labels")
-    d = table(spark, sf, "documents").join(labels, "doc_id", "left")
+    d = texts(spark, sf).join(labels, "doc_id", "left")
     risk = F.when(F.col("toxic") == 1, "medium").when(F.col("quality") == 0, "low").otherwise("none")
     named = F.when(F.col("toxic") == 1, F.array(F.lit("Hate Speech"), F.lit("Sensational & Shocking Content"))).when(F.col("quality") == 0, F.array(F.lit("Misinformation"))).otherwise(F.array().cast("array<string>"))
     d = G.scan(d, {"text": F.col("text")}, LEXICON).withColumn("risk", risk).withColumn("triggered", named)
@@ -293,7 +299,7 @@ WITH h AS (SELECT doc_id, {lexicon_sql('text')} AS hits FROM documents)
 SELECT doc_id, CASE WHEN len(hits) = 0 THEN '' ELSE array_to_string(list_transform(hits, lambda h: '- term ''' || h.term || ''' (' || h.grp || ' → ' || h.category || ') found in text'), chr(10)) || chr(10) || '{G.ASK}' END AS block FROM h
 """)
 def hits_block(spark, sf):
-    return G.scan(table(spark, sf, "documents"), {"text": F.col("text")}, LEXICON).select("doc_id", G.hits_block(F.col("hits")).alias("block"))
+    return G.scan(texts(spark, sf), {"text": F.col("text")}, LEXICON).select("doc_id", G.hits_block(F.col("hits")).alias("block"))
 
 
 # ---------------------------------------------------------------- validation
@@ -956,7 +962,7 @@ SELECT doc_id AS id, CASE WHEN error = '' THEN 'OK' ELSE 'ERROR' END AS status,
 
 
 def _record(spark, sf, kind: str) -> DataFrame:
-    d = G.scan(table(spark, sf, "documents"), {"title": F.col("text")}, LEXICON)
+    d = G.scan(texts(spark, sf), {"title": F.col("text")}, LEXICON)
     quiet, failed = F.col("n_chars") % 7 == 0, F.col("n_chars") % 11 == 0
     base = [F.col("doc_id").alias("id"), (~failed).alias("ok"), F.lit(None).cast("string").alias("error"), "hits", F.col("source").alias("name")]
     if kind == "video":

@@ -19,6 +19,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores where its files have fewer splits than there are cores; else df as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _strings(spark: SparkSession, path: str) -> DataFrame:
     """A CSV as all strings with stripped, lower-cased names, and line_no in the order of the file."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.readers import spread
 from .common import LETTER_DIGIT, flat, fresh, small_batches, steps, words
 
 WINDOW = 10
@@ -276,6 +277,7 @@ def with_length(docs: DataFrame, text_col: str = "text", col: str = "n_chars") -
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = spread(docs)
     got = scan(docs, items, ["doc_id"])
     return got.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

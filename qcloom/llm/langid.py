@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.readers import spread
 from .common import cut, fresh, small_batches, steps
 
 BUCKETS = 1 << 13
@@ -196,6 +197,6 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     model = fit(docs.where(~held_out()))
     return predict(docs, model, ["doc_id"]).withColumn("held_out", held_out())

@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
 from .common import NOT_SPACE, components, cut, fresh, mix64, shuffle_parts, steps, words
 from .vectors import Forest
 
@@ -442,7 +443,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 SQL = r"""

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
 from .common import NOT_SPACE, small_batches, steps, words
 from .langid import held_out
 
@@ -215,5 +216,6 @@ def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs = spread(docs)
     model = fit(docs.where(~held_out()), labels.where(~held_out()))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -44,6 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
 from .common import _BYTE, NOT_SPACE, _pow, cut, flat, fresh, mix64, shuffle_parts, steps, words as words_of
 from .decontaminate import with_length
 from .ngramjoin import _of, _packed, _read
@@ -547,7 +548,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
 
 def query(spark, sf_dir: str) -> DataFrame:
     """The contract's columns, and n_passage_words: words in strings of PASSAGE words or more that occur anywhere else."""
-    slim, done = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=PASSAGE)
+    slim, done = repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), words=PASSAGE)
     pick = lambda c, all_, none: F.when(F.col("whole"), all_).otherwise(F.coalesce(c, none))
     return slim.join(done.drop("spans", "word_spans"), "t", "left").select(
         "doc_id", "n_bytes", pick("n_removed", F.col("n_bytes"), F.lit(0)).cast("long").alias("n_removed"), pick("n_spans", F.lit(1), F.lit(0)).cast("long").alias("n_spans"),

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
 from .common import cut, scratch
 
 LIMIT = 2048
@@ -179,4 +180,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     scratch(spark)
     shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), f"{shared}/token-cache-{uuid.uuid4().hex}")
+    return count_tokens(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), public_tokenizers.path("word_bpe_49k.json"), f"{shared}/token-cache-{uuid.uuid4().hex}")

@@ -27,6 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
 from .common import cut
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -103,7 +104,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict", "template")
+    return judge(spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))).select("page_id", "host", "path", "rule", "verdict", "template")
 
 
 def _sql() -> str:

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
 from .common import components, cut
 
 COSINE, BLOCKS = 0.93, 4
@@ -262,7 +263,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
 
 SQL = r"""

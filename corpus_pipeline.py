@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from qcloom.llm import decontaminate, langid, mixing, ngramjoin, repeats
 from qcloom.llm.common import written
+from qcloom.sources.readers import spread
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         docs = docs if k == len(STAGES) - 1 else written(docs)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's shared folder, or a folder of our own where none is named."""
+    """Make checkpoint() usable: the cluster's shared folder, or a folder of our own where none is named and all is one machine."""
     small_batches(spark)
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -22,6 +22,8 @@ def scratch(spark: SparkSession) -> None:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(named)
     elif sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-qcloom-"))
 
 

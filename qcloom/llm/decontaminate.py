@@ -8,9 +8,12 @@ items. An item of fewer words than the window counts when it occurs whole.
 A vectorised scan comes first: only runs of words whose neighbouring pairs all occur side by side in some item
 can hold a match of two words or more, so that the automaton reads those runs alone; no match can cross their ends.
 
-The automaton is broadcast. Its size is checked: item words are counted first, and more than `automaton_words`
-of them are split by item into several automata, each broadcast on its own, that the texts pass one after the
-other in one narrow chain (no shuffle). Results are then the same as with one.
+The automaton is built in a Spark task and broadcast. Its size is checked: item words are counted first, and more
+than `automaton_words` of them are dealt by the hash of item and text to several automata, built in a task each and
+kept as a table in the shared folder. Texts pass CHAIN of them in a narrow chain (no shuffle), then the rows are
+checkpointed and those broadcasts freed, so that memory doesn't grow with the benchmark. An item of more than a
+quarter of `automaton_words` goes in overlapping pieces. Hits and items are the same as with one automaton; the
+longest match is then the longest inside one piece.
 
 Defined cases: a null or empty text has no words and no hits; null or empty items are ignored; the texts of
 an id that repeats all count for it; a null item id reads as the empty string; repeated documents are judged row by row; an empty
@@ -19,17 +22,22 @@ table gives no rows; other columns, whatever their names, pass through clean() u
 
 from __future__ import annotations
 
+import pickle
+import string
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.readers import spread
-from .common import LETTER_DIGIT, flat, fresh, small_batches, steps, words
+from .common import LETTER_DIGIT, cut, flat, fresh, small_batches, steps, words, written
 
 WINDOW = 10
 AUTOMATON_WORDS = 200_000
+CHAIN = 4  # automata that are broadcast at a time
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
 
 
@@ -169,15 +177,46 @@ def merge(spans) -> list[list[int]]:
     return out
 
 
-def _indexes(items: DataFrame, item_col: str, text_col: str, window: int, most: int):
-    """One Index or more, none over `most` words but for a single longer item."""
-    clean = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    clean = clean.distinct().withColumn("n", F.regexp_count(F.lower("t"), F.lit(WORD)))
-    total = clean.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-2 * total // most) if total > most else 1)
-    for k in range(shards):
-        part = clean.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == k) if shards > 1 else clean
-        yield Index([(r.i, r.t) for r in part.select("i", "t").collect()], window)
+class _Packed:
+    """A pickled Index that workers unpack; the driver passes the bytes on and never holds the automaton."""
+
+    def __init__(self, blob: bytes) -> None:
+        self.blob = blob
+
+    def __reduce__(self):
+        return pickle.loads, (self.blob,)
+
+
+def _pieces(items: DataFrame, item_col: str, text_col: str, window: int, size: int) -> DataFrame:
+    """(i, t, n): the items' texts, those of more than `size` words in pieces of so many that share window - 1 words,
+    so that every window lies whole in some piece and no piece is shorter than a window."""
+    step = size - window + 1
+    w = F.regexp_extract_all(F.translate("t", string.ascii_uppercase, string.ascii_lowercase), F.lit(WORD), F.lit(0))
+    all_ = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
+    cut_ = all_.withColumn("w", w).where(F.size("w") > 0).withColumn("p", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("w") - size) / step).cast("int")))))
+    return cut_.select("i", F.slice("w", F.col("p") * step + 1, size).alias("w")).select("i", F.array_join("w", " ").alias("t"), F.size("w").alias("n"))
+
+
+def _packed(items: DataFrame, item_col: str, text_col: str, window: int, most: int):
+    """Pickled indexes, at least one. Each is built in a task of its own, from at most about `most` words; the driver
+    holds the bytes of one at a time."""
+    parts = _pieces(items, item_col, text_col, window, max(most // 4, 2 * window))
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        yield pickle.dumps(Index([], window))
+        return
+    shards = -(-2 * total // most) if total > most else 1
+
+    def build(key, pdf):
+        return pd.DataFrame({"k": [key[0]], "blob": [pickle.dumps(Index(list(zip(pdf["i"], pdf["t"])), window), protocol=5)]})
+
+    built = parts.select(F.pmod(F.xxhash64("i", "t"), F.lit(shards)).cast("long").alias("k"), "i", "t").groupBy("k").applyInPandas(build, "k long, blob binary")
+    if shards == 1:
+        yield bytes(built.first().blob)
+        return
+    built = written(built)
+    for k in sorted(r.k for r in built.select("k").collect()):
+        yield bytes(built.where(F.col("k") == k).first().blob)
 
 
 def scan(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, automaton_words: int = AUTOMATON_WORDS, names: tuple[str, ...] = ("n_words", "n_hit", "longest", "spans", "items")) -> DataFrame:
@@ -189,12 +228,21 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "te
     small_batches(docs.sparkSession)
     carry = list(dict.fromkeys([*keep, text_col]))
     df = docs.select(*carry)
-    indexes = list(_indexes(items, item_col, item_text, window, automaton_words))
-    for k, index in enumerate(indexes):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        out_cols = keep if k == len(indexes) - 1 else carry
+    done, waiting = False, []  # waiting: broadcasts that df still reads
+    packed = _packed(items, item_col, item_text, window, automaton_words)
+    blob = next(packed)
+    while blob is not None:
+        after = next(packed, None)
+        if len(waiting) == CHAIN:
+            df = cut(df)
+            for b in waiting:
+                b.destroy()
+            waiting = []
+        waiting.append(docs.sparkSession.sparkContext.broadcast(_Packed(blob)))
+        out_cols = keep if after is None else carry
         out = T.StructType([docs.schema[c] for c in out_cols] + schema.fields[len(keep) :])
-        df = df.mapInArrow(_scanner(shared, text_col, out_cols, names, k > 0), out)
+        df = df.mapInArrow(_scanner(waiting[-1], text_col, out_cols, names, done), out)
+        done, blob = True, after
     return df
 
 

@@ -48,13 +48,28 @@ def corpus(seed=0):
     return docs + [(200, None), (201, ""), (202, "!?"), (203, items[5][1]), (203, items[5][1])], items
 
 
-@pytest.mark.parametrize("limit,seed", [(D.AUTOMATON_WORDS, 0), (60, 0), (D.AUTOMATON_WORDS, 1)])
+@pytest.mark.parametrize("limit,seed", [(D.AUTOMATON_WORDS, 0), (160, 0), (D.AUTOMATON_WORDS, 1), (60, 1)])
 def test_against_brute_force(spark, limit, seed):
     docs, items = corpus(seed)
     got = D.scan(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, ITEMS), ["doc_id"], automaton_words=limit).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=repr) == brute(docs, items)
 
 
+def test_one_id_and_one_long_item_are_dealt_out(spark):
+    """Rows of a single id make several automata, and an item longer than one goes in pieces; nothing is lost."""
+    r = random.Random(3)
+    text = lambda n: " ".join(f"v{r.randrange(60)}" for _ in range(n))
+    items = [(1, text(300)), (1, text(30)), (1, text(4)), (None, text(80))]
+    w = items[0][1].split(" ")
+    docs = [(k, text(5) + " " + " ".join(w[k : k + 12]) + " " + text(5)) for k in range(0, 288, 3)] + [(1000, items[0][1]), (1001, items[2][1].upper())]
+    df, it = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    pieces = D._pieces(it, "item_id", "text", 10, 40).collect()
+    assert max(p.n for p in pieces) == 40 and min(p.n for p in pieces if p.n != 4) >= 10
+    assert len(list(D._packed(it, "item_id", "text", 10, 160))) > D.CHAIN
+    got = D.scan(df, it, ["doc_id"], automaton_words=160).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=repr) == brute(docs, items)
+
+
 def test_clean(spark):
     item = " ".join(f"q{i}" for i in range(12))
     docs = [(1, f"before one two. {item} after three four five six seven eight nine ten eleven twelve."), (2, item), (3, "nothing here"), (4, None)]

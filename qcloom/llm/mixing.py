@@ -11,7 +11,8 @@ second bucket only (about a millionth of a source), so that a source with a thir
 
 Defined cases: null text or text without words has size 0 and takes nothing; a null source is a source of its
 own, last in order; sources whose words sum to 0 have target 0; an empty table gives no rows; rows that repeat a
-doc_id share its draw; a null doc_id draws as an empty id; other columns, whatever their names, are ignored.
+doc_id draw by their texts too, so that only rows with equal ids and texts share a draw (and are taken or left
+together at the cut-off); a null doc_id draws as an empty id; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ BROADCAST_SOURCES = 50_000  # a plan of so many sources at most is broadcast (a
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size in words, draw (52 bits of the digest of id and text)."""
+    named = F.concat_ws(" ", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     return docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.conv(F.substring(F.sha2(named, 256), 1, 13), 16, 10).cast("long").alias("draw"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *([F.col(row).alias("row")] if row else []),
     )
 
@@ -68,8 +71,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         side = side.withColumnRenamed("source", "_s")
         return df.join(F.broadcast(side) if small else side, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
-    draw = F.conv(F.substring(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256), 1, 13), 16, 10).cast("long")
-    u = (draw.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
+    u = (F.col("draw").cast("double") + F.lit(0.5)) / F.lit(float(2**52))
     q = (F.col("u") / (F.lit(1.0) - F.col("u"))) / (F.col("odds") * (F.col("size") / (F.col("source_size") / F.col("n"))))
 
     def drawn(rows: DataFrame) -> DataFrame:
@@ -120,7 +122,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    (('0x' || substr(sha256(doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+    (('0x' || substr(sha256(concat(doc_id::VARCHAR, ' ', sha256(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS w,
   2.0::DOUBLE * source_size AS most FROM s),

@@ -39,6 +39,19 @@ def test_targets_and_copies(spark):
     assert again == {(r.doc_id, r.copies) for r in rows}
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: i % 2])
+def test_rows_of_one_id_draw_apart(spark, monkeypatch, ids):
+    """Null ids, and many rows of an id, still come near the target; so they do where plans are joined by shuffle."""
+    monkeypatch.setattr(M, "BROADCAST_SOURCES", 0)
+    rows = [(ids(i), f"t{i} " + "w " * (i % 9), "a" if i % 3 else "b") for i in range(3000)] + [(7, "long " * 2000, "a")]
+    got = M.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        size, most = (5, 1000) if s == "a" else (4, 5)  # a size that many rows have, and half of the largest one
+        assert len({r.copies for r in mine if r.size == size}) == (2 if mine[0].target % mine[0].source_size else 1)
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= most
+
+
 def test_edges(spark):
     assert M.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     r = M.mix(spark.createDataFrame([(1, None, None), (2, "", "x")], SCHEMA)).collect()

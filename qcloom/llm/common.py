@@ -180,10 +180,10 @@ def _united(pdf):
     return pd.DataFrame({"node": nodes, "root": nodes[[find(x) for x in range(len(nodes))]]})
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of (a, b) edges over longs: (node, root), root the smallest node reachable.
 
-    Large-star/small-star contraction; few edges (counted first) are united in one task. Every round is a few hash aggregations on edges, each node's edges are
+    Large-star/small-star contraction, round by round until it settles (some log n squared rounds at most); few edges (counted first) are united in one task. Every round is a few hash aggregations on edges, each node's edges are
     reduced with min() before any shuffle, and lineage is cut by checkpoint after each round. Nodes without
     edges aren't returned; null ends are ignored.
     """
@@ -191,7 +191,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) ->
     e = cut(e)
     if e.limit(EDGES_IN_ONE_TASK + 1).count() <= EDGES_IN_ONE_TASK:
         return e.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_united, "node long, root long")
-    for _ in range(limit):
+    while True:
         # every node of larger neighbours points them at the smallest node around it
         both = e.union(e.select(F.col("v"), F.col("u")).toDF("u", "v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -210,8 +210,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) ->
             e = new
             break
         e = new
-    else:
-        raise RuntimeError("components did not settle")
     pairs = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return pairs.union(roots)

@@ -130,7 +130,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     fresh_counts = texts.mapInArrow(_encoder(version, tokenizer_path, file), "digest binary, n_tokens long")
     fresh_counts.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     stored = read_cache(spark, cache_path, schema).where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
-    return slim.join(stored, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # cut, so that one digest with many rows (the empty text, say) is a skewed join that AQE can split, not the end of an aggregation
+    return slim.join(cut(stored), "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def read_cache(spark, path: str, schema: str) -> DataFrame:

@@ -31,6 +31,7 @@ from ..sources.readers import spread
 from .common import cut
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+BROADCAST_BYTES = 8 << 20  # scores with so many bytes of hosts and templates at most are broadcast; more are joined by shuffle
 DEPTH, WORDS, OFTEN, SHARE, Z, PULL = 6, 32, 8, 16, 1.96, 2.0
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,7 +98,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     p = p.withColumn("rule", rule).withColumn("said", said)
     paths = p.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("said").alias("l"), F.count_if(F.col("said") == "block").alias("b"))
     tree = cut(templates(cut(paths), depth))
-    scored = tree.select("host", "path", "template").join(purities(tree), ["host", "template"])
+    scores = cut(purities(tree))  # cut, so that a template with many paths is a skewed join that AQE can split, not the end of an aggregation
+    small = (scores.agg(F.sum(F.octet_length("host") + F.octet_length("template") + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    scored = tree.select("host", "path", "template").join(F.broadcast(scores) if small else scores, ["host", "template"])
     out = p.join(scored, ["host", "path"], "left")
     by = F.when(F.col("score") >= reject_at, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", by).alias("verdict"), "template", F.when(F.col("rule").isNull(), F.col("score")).alias("score"))

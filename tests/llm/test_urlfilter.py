@@ -1,5 +1,6 @@
 import duckdb
 import pandas as pd
+import pytest
 
 from qcloom.llm import urlfilter as U
 
@@ -20,7 +21,9 @@ def test_split_and_rules(spark):
     assert all(r.verdict in ("allow", "block") and 0 <= (r.score or 0) <= 1 for r in got.values())
 
 
-def test_against_sql(spark):
+@pytest.mark.parametrize("bound", [U.BROADCAST_BYTES, 0])
+def test_against_sql(spark, monkeypatch, bound):
+    monkeypatch.setattr(U, "BROADCAST_BYTES", bound)
     rows = list(enumerate(URLS)) + [(100 + i, f"http://h{i % 3}.{'com' if i % 2 else 'net'}/{['de', 'en', 'fr', 'x1', f'w{chr(97 + i % 26)}'][i % 5]}/{i % 40}/{'page' if i % 7 else i}") for i in range(400)]
     con = duckdb.connect()
     con.register("pages", pd.DataFrame(rows, columns=["page_id", "url"]))
@@ -29,6 +32,12 @@ def test_against_sql(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == want
 
 
+def test_very_long_url(spark):
+    path = "/a" * 200_000
+    r = U.judge(spark.createDataFrame([(1, f"http://H.net{path}?q"), (2, "http://h.net/" + "9" * 300_000)], SCHEMA)).orderBy("page_id").collect()
+    assert (r[0].host, r[0].path, r[0].template) == ("h.net", path, "/a" * 6 + "/**") and len(r[1].path) == 300_001 and r[1].template == "/*"
+
+
 def test_edges(spark):
     assert U.judge(spark.createDataFrame([], SCHEMA)).count() == 0
     d = spark.createDataFrame([(1, "http://q.net/a"), (1, "http://q.net/a"), (None, None)], SCHEMA).selectExpr("*", "1 as host", "2 as score", "3 as n")

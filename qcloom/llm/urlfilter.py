@@ -12,7 +12,7 @@ Rules are a short list kept in the plan. A url that no rule fits is judged by it
 
 All statistics are hash aggregations over distinct (host, path) pairs with map-side combining; the tree's nodes
 are joined back level by level, and nothing is gathered per host, so that a host with a third of all pages is
-no hot task (a join key is host, template and segment, and AQE splits what is left).
+no hot task (a join key is host, template and segment, or a salt of it, and AQE splits what is left).
 
 Defined cases: a null url, or one without `://`, has empty host and path and no rule, and is judged as the template
 of that empty path; repeated rows get the same verdict each; an empty table gives no rows; with no labels at all the
@@ -32,6 +32,7 @@ from .common import cut
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 BROADCAST_BYTES = 8 << 20  # scores with so many bytes of hosts and templates at most are broadcast; more are joined by shuffle
+SALTS = 8  # a node's row is repeated so many times, its children are dealt out to them
 DEPTH, WORDS, OFTEN, SHARE, Z, PULL = 6, 32, 8, 16, 1.96, 2.0
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,7 +66,9 @@ def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
         word = ~F.col("child").rlike("[0-9]")
         above = nodes.groupBy("host", "template").agg(F.sum("cn").alias("pn"), F.count_if(word).alias("words"))
         fixed = (word & (F.col("words") <= WORDS)) | ((F.col("cn") >= OFTEN) & (F.col("cn") * SHARE >= F.col("pn")))
-        names = nodes.join(above, ["host", "template"]).select("host", "template", "child", F.when(fixed, F.col("child")).otherwise(F.lit("*")).alias("name"))
+        # dealt by a salt of the child too, so that a node with many children is several tasks, each of which AQE can split
+        salted = above.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        names = nodes.withColumn("salt", F.pmod(F.hash("child"), F.lit(SALTS))).join(salted, ["host", "template", "salt"]).select("host", "template", "child", F.when(fixed, F.col("child")).otherwise(F.lit("*")).alias("name"))
         rows = rows.withColumn("child", child).join(names, ["host", "template", "child"], "left").drop("child")
         deeper = F.col("name").isNotNull()
         rows = rows.withColumn("parent", F.when(deeper, F.col("template")).otherwise(F.col("parent"))).withColumn("template", F.when(deeper, F.concat("template", F.lit("/"), "name")).otherwise(F.col("template"))).drop("name")

@@ -17,6 +17,7 @@ from qcloom.sources.readers import spread
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no letter and go; equal texts share a verdict; an empty table stays empty."""
     return langid.keep_known(docs, langid.fit(docs.where(~langid.held_out())))
 
 
@@ -33,6 +34,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts and texts without words have size 0 and come only with whole copies of their source; a null source is a
+    source; rows equal in id and text share a draw; an empty table stays empty."""
     return mixing.mix(docs, whole_rows=True)
 
 

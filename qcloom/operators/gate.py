@@ -1,8 +1,9 @@
 """Lexicon scan and risk floors.
 
-The lexicon is small and fixed for a run, so it is folded into the plan: a term is looked for as a plain substring of the
-lower-cased text, and only where it is found does the pattern for whole words run. A scan is therefore one narrow pass
-without join or explode of misses; lexicons too long for a plan go through scan_by_join.
+The lexicon is small and fixed for a run, so it is folded into the plan: one pattern says whether the lower-cased text has
+any term between ASCII word characters' edges; only where it does are the terms looked for one by one, as plain substrings
+first and then by the pattern for whole words. A scan is therefore one narrow pass without join or explode of misses;
+lexicons too long for a plan go through scan_by_join.
 """
 
 from __future__ import annotations
@@ -29,9 +30,30 @@ def literal(term: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", term)
 
 
+ODD, PLAIN = "\u017f\u0131\u0130\u212a", "siik"  # letters that regular expressions take for ASCII ones in any case
+
+
 def folded(c: Column) -> Column:
-    """Lower case, with the letters that regular expressions take for ASCII ones in any case."""
-    return F.lower(F.translate(c, "\u017f\u0131\u0130\u212a", "siik"))
+    """Lower case, with the odd letters as ASCII ones; texts without any of them aren't translated."""
+    odd = F.lit(False)
+    for x in ODD:
+        odd = odd | c.contains(x)
+    return F.lower(F.when(odd, F.translate(c, ODD, PLAIN)).otherwise(c))
+
+
+def may_hit(c: Column, low: Column, lexicon: dict) -> Column:
+    """Whether a term may occur: true wherever one does. ASCII terms share a pattern, branched by their first characters."""
+    terms = [t for _, _, ts in lexicon.values() for t in ts]
+    starts: dict[str, list[str]] = {}
+    for t in terms:
+        if t.isascii() and t:
+            starts.setdefault(t[0].lower(), []).append(literal(t[1:].lower()))
+    branches = "|".join(f"{literal(x)}(?:{'|'.join(rest)})" for x, rest in starts.items())
+    out = low.rlike(rf"(?<![a-z0-9_])(?:{branches})(?![a-z0-9_])") if starts else F.lit(False)
+    for t in terms:
+        if not (t.isascii() and t):
+            out = out | c.rlike(whole_word(literal(t)))
+    return out
 
 
 def first_terms(c: Column, low: Column, lexicon: dict = LEXICON) -> dict[str, Column]:
@@ -57,7 +79,7 @@ def scan(df: DataFrame, fields: dict[str, Column], lexicon: dict = LEXICON, into
         for group, term in first_terms(c, low, lexicon).items():
             category, risk, _ = lexicon[group]
             found.append(F.struct(F.lit(group).alias("group"), term.alias("term"), F.lit(field).alias("field"), F.lit(category).alias("category"), F.lit(risk).alias("min_risk")))
-        return F.filter(F.array(*found), lambda h: h["term"].isNotNull())
+        return F.when(may_hit(c, low, lexicon), F.filter(F.array(*found), lambda h: h["term"].isNotNull()))
 
     # the folded text is bound inside the expression, so that no rule of the optimizer computes it for every term
     each = [F.coalesce(let(folded(c), lambda low, f=f, c=c: of(f, c, low)), F.array().cast(HIT)) for f, c in fields.items()] if lexicon else []

@@ -20,6 +20,16 @@ def test_scan(spark):
     assert [(h.field, h.group, h.term) for h in got] == [("title", "gambling", "casino"), ("description", "alcohol", "beer")]
 
 
+def test_first_pattern_misses_nothing(spark):
+    lexicon = {"a": ("A", "low", ["casino", "kill all", "c++"]), "b": ("B", "high", ["\u00e9clair", "Wine"])}
+    texts = ["CASINO", "ca\u017fino", "xcasino", "casino_", "\u00e9casino", "(casino)", "\u212aill all", "c++", "c++x", "\u00c9CLAIR", "w\u0130ne", "wIne 7", "", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    every = d.select("i", *[F.coalesce(F.col("t").rlike(G.whole_word(G.literal(t))), F.lit(False)).alias(f"{g}{k}") for g, (_, _, ts) in lexicon.items() for k, t in enumerate(ts)])
+    want = {(r.i, g) for r in every.collect() for g in "ab" if any(v for c, v in r.asDict().items() if c != "i" and c[0] == g)}
+    got = {(r.i, h.group) for r in G.scan(d, {"t": F.col("t")}, lexicon).collect() for h in r.hits}
+    assert got == want and (0, "a") in got and (9, "b") in got
+
+
 def test_scan_by_join_agrees(spark):
     rows = [(1, "casino poker and how to make a bomb"), (2, "Wine, WINE"), (3, "nothing"), (4, None), (5, "free  spins"), (6, "kill all")]
     d = spark.createDataFrame(rows, "id int, text string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, htmltext, langid, mixing, ngramjoin, quality, repeats, tokencount, urlfilter, vectors
+from . import decontaminate, htmltext, langid, mixing, ngramjoin, quality, repeats, resample, tokencount, urlfilter, vectors
 
 QUERIES = {
     "op1_pareto_mix": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_factorisation_quality": quality.query,
     "op9_common_prefix_intervals": repeats.query,
     "op10_token_cache": tokencount.query,
+    "op11_importance_resampling": resample.query,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op3_url_templates": urlfilter.SQL,
     "op5_subspace_pigeonhole": vectors.SQL,
     "op7_suffix_automaton": decontaminate.SQL,
+    "op11_importance_resampling": resample.SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocate, decontaminate, htmltext, langid, mixing, ngramjoin, quality, repeats, resample, tokencount, urlfilter, vectors
+from . import collocate, decontaminate, htmltext, langid, mixing, ngramjoin, quality, repeats, resample, tokencount, urlfilter, vectors, warc
 
 QUERIES = {
     "op1_pareto_mix": mixing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_common_prefix_intervals": repeats.query,
     "op10_token_cache": tokencount.query,
     "op11_importance_resampling": resample.query,
+    "op12_warc_segments": warc.query,
     "op13_collocations": collocate.query,
 }
 
@@ -26,5 +27,6 @@ SQL = {
     "op5_subspace_pigeonhole": vectors.SQL,
     "op7_suffix_automaton": decontaminate.SQL,
     "op11_importance_resampling": resample.SQL,
+    "op12_warc_segments": warc.SQL,
     "op13_collocations": collocate.SQL,
 }

@@ -9,8 +9,9 @@ in two passes after a count of the words:
    from all and those that are used up go. The capacity is the partition's mass (all occurrences of its runs) over
    `least`, rounded down, plus one, so that what is subtracted in all stays below `least` and every run that occurs so
    often survives. P grows with the mass, so that a summary's size doesn't.
-2. Exact counts of the survivors. Runs of other hashes are left out in the task that reads them, where the survivors
-   are few enough to be broadcast (their number is counted first); else local counts meet the survivors in a join.
+2. Exact counts of the survivors. Each hash partition's task makes a Bloom filter of its survivors, and all filters, BITS bits a
+   survivor and FILTER_BYTES at most, are broadcast: runs of other hashes are left out in the task that reads them. What
+   a filter lets pass is counted exactly, so that its errors, and its being small, cost a little shuffle and nothing else.
 
 A frequent run is one entry for each local count, however often it occurs, so that no partition is hot. Scores are exact
 decimal arithmetic, and the best of a language are cut to rank by salted steps, so that a language is no hot task.
@@ -39,7 +40,8 @@ TOP = 2000
 COVERED = 50  # per cent of a candidate's occurrences within one longer candidate
 FLUSH = 500_000  # words whose runs are counted at a time
 PART_MASS = 16_000_000  # occurrences in a hash partition, about: 80 MB of summaries that arrive, 20 MB that are kept
-BROADCAST = 4_000_000  # surviving hashes (32 MB) that are broadcast; more of them are joined
+BITS = 12  # of a partition's filter for each survivor
+FILTER_BYTES = 1 << 26  # of all filters together; beyond that they have fewer bits a survivor
 
 BREAK = table(lambda c: chr(c) in ".,;:!?" or 0x0A <= c <= 0x0D)
 IN_WORD = table(lambda c: c not in (0x20, 0x09) and not BREAK[c])
@@ -153,6 +155,34 @@ def merge(summaries, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     return h, n, off
 
 
+def probe(h: np.ndarray, bits, k: int) -> np.ndarray:
+    """The k-th place of each hash in a filter of so many bits."""
+    return (mix64(h.astype(np.uint64) + np.uint64(k << 32)) % bits).astype(np.int64)
+
+
+class Filters:
+    """The Bloom filters of all hash partitions, end to end."""
+
+    def __init__(self, parts: int, slices: list[tuple[int, bytes]]) -> None:
+        size = np.zeros(parts, np.int64)
+        for p, b in slices:
+            size[p] = len(b)
+        self.base = np.cumsum(size) - size
+        self.bits = np.maximum(size * 8, 1).astype(np.uint64)
+        self.some = size > 0
+        self.data = np.frombuffer(b"".join(b for _, b in sorted(slices)) or b"\0", np.uint8)
+
+    def holds(self, key: np.ndarray) -> np.ndarray:
+        """Places of the keys that may be among the survivors."""
+        p = key >> np.int64(32)
+        at = np.flatnonzero(self.some[p])
+        for k in range(3):
+            q = p[at]
+            bit = probe(key[at] & np.int64(0xFFFFFFFF), self.bits[q], k)
+            at = at[(self.data[self.base[q] + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+        return at
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, n): all word occurrences of each language, of `_text` and `_lang`."""
 
@@ -169,8 +199,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def survivors(docs: DataFrame, parts: int, run: int = RUN, least: int = LEAST, flush: int = FLUSH) -> DataFrame:
-    """(key): hashes of runs that may occur `least` times; none that does is missing."""
+def survivors(docs: DataFrame, parts: int, run: int = RUN, least: int = LEAST, flush: int = FLUSH, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """(p, n, filter): for each hash partition the number of runs that may occur `least` times, and a Bloom filter of
+    their hashes; none that does is missing."""
 
     def local(batches):
         for runs, _ in _gathered(batches, flush):
@@ -193,40 +224,34 @@ def survivors(docs: DataFrame, parts: int, run: int = RUN, least: int = LEAST, f
         mass = sum(int(x.sum(dtype=np.int64)) for x in counts)
         given = ((np.frombuffer(x.as_py(), np.uint32), y.astype(np.int64)) for x, y in zip(t["h"], counts))
         h, n, off = merge(given, mass // least + 1)
-        key = (np.int64(t["p"][0].as_py()) << np.int64(32)) | h[n + off >= least].astype(np.int64)
-        return pa.table({"key": pa.array(key, pa.int64())})
+        h = h[n + off >= least]
+        size = min(-(-len(h) * BITS // 8), max(filter_bytes // parts, 8))
+        bits = np.zeros(size * 8, np.uint8)
+        for k in range(3) if size else ():
+            bits[probe(h, np.uint64(size * 8), k)] = 1
+        return pa.table({"p": t["p"][:1], "n": pa.array([len(h)], pa.int64()), "filter": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    return docs.mapInArrow(local, "p long, h binary, n binary").groupBy("p").applyInArrow(united, "key long")
+    return docs.mapInArrow(local, "p long, h binary, n binary").groupBy("p").applyInArrow(united, "p long, n long, filter binary")
 
 
-def frequent(docs: DataFrame, keys: DataFrame, parts: int, run: int = RUN, least: int = LEAST, broadcast: int = BROADCAST, flush: int = FLUSH) -> DataFrame:
+def frequent(docs: DataFrame, alive: DataFrame, parts: int, run: int = RUN, least: int = LEAST, flush: int = FLUSH) -> DataFrame:
     """(lang, k, phrase, f): the exact number of occurrences of every run of k words that occurs `least` times."""
-    few = keys.limit(broadcast + 1).count() <= broadcast
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(keys.toPandas()["key"].to_numpy(np.int64)) if few else None)
+    shared = docs.sparkSession.sparkContext.broadcast(Filters(parts, [(r.p, bytes(r.filter)) for r in alive.where("n > 0").select("p", "filter").collect()]))
 
     def local(batches):
-        known = shared.value
+        filters = shared.value
         for runs, langs in _gathered(batches, flush):
             names = pa.array(langs, pa.string())
             for k, h, place, n, at in runs.counts(run):
-                key = _keys(h, parts)
-                if known is not None:
-                    spot = np.searchsorted(known, key)
-                    good = spot < len(known)
-                    good[good] = known[spot[good]] == key[good]
-                    key, place, n = key[good], place[good], n[good]
-                where = at[place]
-                for a in range(0, len(key), 50_000):
+                good = filters.holds(_keys(h, parts))
+                where, n = at[place[good]], n[good].astype(np.int64)
+                for a in range(0, len(where), 50_000):
                     w = where[a : a + 50_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[a : a + 50_000]), names.take(pa.array(runs.lang[w])), pa.array(np.full(len(w), k, np.int32)), runs.phrases(w, k).cast(pa.string()), pa.array(n[a : a + 50_000].astype(np.int64))],
-                        names=["key", "lang", "k", "phrase", "f"],
+                        [names.take(pa.array(runs.lang[w])), pa.array(np.full(len(w), k, np.int32)), runs.phrases(w, k).cast(pa.string()), pa.array(n[a : a + 50_000])], names=["lang", "k", "phrase", "f"],
                     )
 
-    found = docs.mapInArrow(local, "key long, lang string, k int, phrase string, f long")
-    if not few:
-        found = found.join(keys, "key", "left_semi")
-    return found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return docs.mapInArrow(local, "lang string, k int, phrase string, f long").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def scored(freq: DataFrame, covered: int = COVERED) -> DataFrame:
@@ -255,7 +280,7 @@ def best(rows: DataFrame, top: int = TOP) -> DataFrame:
     return rows
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, run: int = RUN, top: int = TOP, covered: int = COVERED, part_mass: int = PART_MASS, broadcast: int = BROADCAST, flush: int = FLUSH) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, run: int = RUN, top: int = TOP, covered: int = COVERED, part_mass: int = PART_MASS, filter_bytes: int = FILTER_BYTES, flush: int = FLUSH) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of 2 to `run` words. a, l and r are the occurrences of
     the phrase and of its two parts at its weakest cut, n the words of the language, score = floor(10^6 a a / (l r))."""
     spark = docs.sparkSession
@@ -264,8 +289,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     per_lang = written(word_counts(src))
     mass = run * (per_lang.agg(F.sum("n")).first()[0] or 0)
     parts = max(shuffle_parts(spark), -(-mass // part_mass))
-    keys = written(survivors(src, parts, run, least, flush))
-    freq = written(frequent(src, keys, parts, run, least, broadcast, flush))
+    alive = written(survivors(src, parts, run, least, flush, filter_bytes))
+    freq = written(frequent(src, alive, parts, run, least, flush))
     return best(scored(freq, covered), top).join(per_lang, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

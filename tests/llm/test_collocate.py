@@ -51,7 +51,7 @@ def some_docs(seed=3, n=150):
     return [*docs, (None, None, "en"), (1000, "", None), (1001, " ,.; \t", "xx"), (1002, "word" * 3000 + " " + "far away " * 4000, "en"), (1003, "red fox " * 9, "de"), (3, docs[3][1], docs[3][2])]
 
 
-@pytest.mark.parametrize("how", [{}, {"flush": 50, "part_mass": 300}, {"broadcast": 0, "flush": 700}])
+@pytest.mark.parametrize("how", [{}, {"flush": 50, "part_mass": 300}, {"filter_bytes": 1, "flush": 700}])
 def test_against_brute_force(spark, how):
     docs = some_docs()
     d = spark.createDataFrame(docs, SCHEMA).repartition(5).selectExpr("*", "1 as phrase", "2 as n", "3 as _text")

@@ -17,8 +17,8 @@ grows, its cells are cut along more axes. Cells are counted before anything is d
 rows is many tasks: its rows are split into parts by hash, and each two parts meet in a task of their own.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite components, and one with a null label, links
-with nothing (n_links 0, its own component), nor does one with a null vec_id (n_links 0, no component); vectors of different length never link; repeated vec_ids are rows of
-their own with the smallest id of the component; an empty table gives no rows; other columns are ignored.
+with nothing (n_links 0, its own component), nor does one with a null vec_id (n_links 0, no component); vectors of different length never link; rows that repeat a vec_id, with
+equal or other vectors and labels, are vectors of their own, counted and joined as such; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -228,7 +228,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))
     rows = cut(src.mapInArrow(_unit, "vec_id long, label string, dim int, digest binary, v binary"))
     live = rows.where("digest is not null and vec_id is not null")
-    classes = cut(live.groupBy("label", "digest", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
+    classes = live.groupBy("label", "digest", "dim").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))  # ids may repeat in other classes
     counts = cut(classes.groupBy("label", "dim").count())
     large = counts.where(F.col("count") > cell_rows).collect()  # at most a row for every cell_rows vectors
     many = {(r.label, r.dim): 2 + (r["count"] > 10 * cell_rows) for r in large}
@@ -237,11 +238,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         sample = classes.where(F.col("dim") == r.dim).orderBy(F.xxhash64("digest"), "digest").limit(SAMPLE).select("v").collect()
         spaces[r.dim] = Space(np.stack([np.frombuffer(x.v) for x in sample]), r.dim, cosine, blocks)
     keys = ["label", "dim", "block", "cell"]
-    slim = classes.select("label", "dim", "v")
-    dense = slim.mapInArrow(_count(spaces, many), "label string, dim int, block int, cell string, size long").groupBy(*keys).agg(F.sum("size").alias("size")).where(F.col("size") > task_rows)
-    dense = cut(dense.withColumn("parts", F.ceil(2 * F.col("size") / task_rows).cast("int")).drop("size"))
+    wide = counts.where(F.col("count") > task_rows).select("label", "dim")  # a cell of another label can't be dense
+    dense = None
+    if not wide.isEmpty():  # a row for every task_rows vectors at most
+        slim = classes.select("label", "dim", "v").join(F.broadcast(wide), ["label", "dim"], "left_semi")
+        dense = slim.mapInArrow(_count(spaces, many), "label string, dim int, block int, cell string, size long").groupBy(*keys).agg(F.sum("size").alias("size")).where(F.col("size") > task_rows)
+        dense = cut(dense.withColumn("parts", F.ceil(2 * F.col("size") / task_rows).cast("int")).drop("size"))
     dealt = classes.select("label", "dim", "rep", "n", "v").mapInArrow(_deal(spaces, many), "label string, dim int, block int, cell string, rep long, n long, home boolean, v binary")
-    if dense.isEmpty():
+    if dense is None or dense.isEmpty():
         dealt = dealt.withColumns({"part": F.lit(0), "one": F.lit(0), "two": F.lit(0)})
     else:  # a row for every task_rows rows at most
         dealt = dealt.join(dense, keys, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("rep"), "parts"), F.lit(0)).cast("int"))
@@ -253,9 +257,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     both = exact.select(F.explode(F.array(F.struct("a", F.col("nb").alias("links")), F.struct(F.col("b").alias("a"), F.col("na").alias("links")))).alias("x")).select("x.*")
     links = found.where("links > 0").select("a", "links").union(both).groupBy("a").agg(F.sum("links").alias("links"))
     joined = components(found.where("links = 0").select("a", "b").union(exact.select("a", "b")))
-    of_class = classes.select("label", "digest", "dim", "rep", "n")
+    least = joined.join(classes.select(F.col("rep").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("first"))
+    joined = joined.join(least, "root").select("node", "first")
+    of_class = classes.select("label", "digest", "dim", "rep", "n", "least")
     of_class = of_class.join(links, F.col("rep") == F.col("a"), "left").join(joined, F.col("rep") == F.col("node"), "left")
-    of_class = cut(of_class.select("label", "digest", "dim", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("root", "rep").alias("root")))
+    of_class = cut(of_class.select("label", "digest", "dim", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("first", "least").alias("root")))
     out = rows.drop("v").join(of_class, ["label", "digest", "dim"], "left")
     root = F.coalesce("root", "vec_id")
     named = F.col("vec_id").isNotNull()

@@ -86,3 +86,30 @@ def test_edges(spark):
     assert sorted(map(tuple, X.near_duplicates(only).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
     twice = spark.createDataFrame([(3, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (1, [2.0, 0.0], 1)], SCHEMA)
     assert sorted(map(tuple, X.near_duplicates(twice).collect())) == [(1, 2, 1, True), (3, 2, 1, False), (3, 2, 1, False)]
+
+
+def by_rows(rows):
+    """Links and components of rows, not of ids."""
+    x = [np.array(v, np.float64) for _, v, _ in rows]
+    near = [[j for j in range(len(rows)) if j != i and rows[i][2] == rows[j][2] and x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j]) >= 0.93] for i in range(len(rows))]
+    out = []
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            new = set(near[todo.pop()]) - seen
+            seen |= new
+            todo += new
+        root = min(rows[j][0] for j in seen)
+        out.append((rows[i][0], len(near[i]), root, rows[i][0] == root))
+    return sorted(out)
+
+
+def test_repeated_ids_are_other_vectors(spark):
+    one = [(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0), (3, [1.0, 0.05], 0), (1, [1.0, 0.0], 1), (9, [0.0, 1.0], 1)]
+    two = [(1, [1.0, 0.0], 0), (1, [1.0, 0.1], 0)]
+    r = np.random.default_rng(8)
+    base = r.normal(size=(9, 6))
+    many = [(int(r.integers(1, 30)), [float(np.float32(y)) for y in base[k % 9] + 0.15 * r.normal(size=6)], int(r.integers(0, 3))) for k in range(120)]
+    for rows in (one, two, many, many + many[:20]):
+        got = X.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3))
+        assert sorted(map(tuple, got.collect())) == by_rows(rows)

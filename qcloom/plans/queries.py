@@ -24,7 +24,7 @@ from ..operators import state as ST
 from ..operators import validate as VA
 from ..operators import worklist as W
 from ..sources.readers import spread
-from ..streaming import streams
+from ..streaming import stateful, streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -856,16 +856,55 @@ def qc_stream(spark, sf):
     return streams.compact(spark, f"{out}/rows", "doc_id")
 
 
+def _closed_log(spark, sf: str, stream, fold) -> tuple[str, DataFrame]:
+    """Where the rows of a stream over `events` are, after one start over the log and one over the row of time that closes it."""
+    events, out = f"{sf}/events.parquet", _folder(spark)
+    schema = spark.read.parquet(events).select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp")).schema
+    end = spark.read.parquet(events).agg((F.max(F.col("ts").cast("timestamp")) + F.expr("interval 30 days")).cast("string")).first()[0]
+    for last in (False, True):
+        if last and end:
+            stateful.heartbeat(spark, f"{out}/beats", end)
+        src = streams.read_landing(spark, events, spark.read.parquet(events).schema).withColumn("ts", F.col("ts").cast("timestamp")).select(*schema.names)
+        fold(stream(stateful.with_heartbeats(src, f"{out}/beats")), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return f"{out}/rows", spark.read.parquet(events)
+
+
+@query("ttl_state", """
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN user_id % 2 = 0 THEN 3 ELSE 14 END * 86400000000 AS ttl, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
+r AS (
+  SELECT user_id, event_id, k, false AS hit, us AS made, event_id AS extract FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.k, e.us - r.made <= e.ttl, CASE WHEN e.us - r.made <= e.ttl THEN r.made ELSE e.us END, CASE WHEN e.us - r.made <= e.ttl THEN r.extract ELSE e.event_id END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT event_id, hit, extract FROM r
+""")
+def ttl_state(spark, sf):
+    ttl = K.ttl_of(F.when(F.col("user_id") % 2 == 0, "channel").otherwise("video"))
+    rows, _ = _closed_log(spark, sf, lambda e: stateful.ttl_state(e, F.col("user_id"), F.col("event_id"), ttl), stateful.start)
+    return spark.read.schema(stateful.REUSED).parquet(rows).select("event_id", "hit", F.col("payload").cast("long").alias("extract"))
+
+
 @query("stress_stream", """
+SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS level FROM events WHERE event_type = 'error'
+""")
+def stress_stream(spark, sf):
+    who = F.when(F.col("event_type") == "error", F.col("user_id"))
+    rows, events = _closed_log(spark, sf, lambda e: stateful.stress_state(e, who, 86400), stateful.start)
+    told = spark.read.schema(stateful.LEVELS).parquet(rows).select(F.col("key").cast("long").alias("user_id"), F.col("second").alias("_s"), "level")
+    errors = events.where("event_type = 'error'").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("_s"))
+    return errors.join(told, ["user_id", "_s"]).select("event_id", "level")
+
+
+@query("stress_windows", """
 WITH e AS (SELECT floor(epoch(ts))::BIGINT AS s FROM events WHERE event_type = 'error'), w AS (SELECT unnest(range(s - s % 600 - 3000, s - s % 600 + 1, 600)) AS a FROM e)
 SELECT a::BIGINT AS start, count(*) AS level FROM w GROUP BY a
 """)
-def stress_stream(spark, sf):
-    events, out = f"{sf}/events.parquet", _folder(spark)
-    src = streams.read_landing(spark, events, spark.read.parquet(events).schema).where("event_type = 'error'").withColumn("ts", F.col("ts").cast("timestamp"))
-    q = streams.stress_windows(src, "ts", "1 hour", "10 minutes", "7300 days").writeStream.outputMode("complete").format("memory").queryName(f"q{uuid.uuid4().hex}").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(q.name).select(F.unix_seconds("start").alias("start"), "level")
+def stress_windows(spark, sf):
+    windows = lambda e: streams.stress_windows(e, "ts", "1 hour", "10 minutes", "0 seconds", F.col("event_type") == "error").where("level > 0")
+    append = lambda d, path, ck: d.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    rows, _ = _closed_log(spark, sf, windows, append)
+    return spark.read.schema("start timestamp, end timestamp, level long").parquet(rows).select(F.unix_seconds("start").alias("start"), "level")
 
 
 # ---------------------------------------------------------------- more of extraction, prompts and records

@@ -60,6 +60,8 @@ def alert_tier(level: Column, start: int, least: int) -> Column:
     return F.when(level >= 2, F.greatest(F.lit(least), F.lit(start) - (level - 1))).otherwise(F.lit(start))
 
 
-def stress_windows(events: DataFrame, ts: str = "ts", length: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Events per sliding window of a live log, with a watermark for late ones: the streaming form of stress_level."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, length, slide)).count().select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), F.col("count").alias("level"))
+def stress_windows(events: DataFrame, ts: str = "ts", length: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes", counts: Column | None = None) -> DataFrame:
+    """Events per sliding window of a live log, with a watermark for late ones (stateful.stress_state has the exact level of each
+    event). counts: which events count; the others only move the watermark."""
+    n = F.count_if(F.lit(True) if counts is None else counts)
+    return events.withWatermark(ts, late).groupBy(F.window(ts, length, slide)).agg(n.alias("level")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "level")

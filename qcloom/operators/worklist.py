@@ -5,8 +5,13 @@ Row order is explicit: `line_no` of the line and `pos` inside it. Items have id,
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import blank_cell, let, norm, or_null, strip, text
 from ..functions.vocab import HEADER_WORDS, ID_HEADERS
@@ -171,12 +176,44 @@ def items_from_rows(rows: DataFrame, id_col: str, type_col: str | None = None, l
 
 
 def fingerprint(items: DataFrame, *by: str) -> DataFrame:
-    """16 hex digits that name a work list (one for each group of `by`), whatever its order and duplicates.
+    """16 hex digits that name a work list (one for each group of `by`), whatever its order and duplicates: SHA-1 of the sorted
+    keys, a line each.
 
-    A list's keys meet in one value, as in the manifest row that stores them.
+    Keys are sorted by Spark, in ranges, and stream through the digest in order, so that no list is held in one value. A
+    digest has one order, so that the reading of one list is one task; its memory doesn't grow.
     """
-    keys = F.array_sort(F.collect_set(F.concat("type", F.lit(":"), F.col("id").cast("string"))))
-    return items.groupBy(*by).agg(F.substring(F.sha1(F.array_join(keys, "\n")), 1, 16).alias("fingerprint"), F.count_distinct("type", "id").alias("total_items"))
+    names = [f"by{i}" for i in range(len(by))]
+    keys = items.select(*[F.col(c).alias(n) for c, n in zip(by, names)], F.concat("type", F.lit(":"), F.col("id").cast("string")).alias("key")).where("key is not null").distinct()
+    if by:
+        ordered = keys.repartition(*names).sortWithinPartitions(*names, "key")
+    else:
+        ordered = keys.orderBy("key").coalesce(1)  # sorted ranges, read one after the other
+
+    def digest(batches):
+        group, sha, n = None, None, 0
+        out = []
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            for row in zip(*cols):
+                if sha is None or row[:-1] != group:
+                    if sha is not None:
+                        out.append((*group, sha.hexdigest()[:16], n))
+                    group, sha, n = row[:-1], hashlib.sha1(), 0
+                sha.update(("\n" if n else "").encode() + row[-1].encode())
+                n += 1
+            if len(out) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=to_names)
+                out = []
+        if sha is not None:
+            out.append((*group, sha.hexdigest()[:16], n))
+        elif not names:
+            out.append((hashlib.sha1(b"").hexdigest()[:16], 0))  # an empty list has a name too
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=to_names)
+
+    schema = T.StructType([keys.schema[n] for n in names]).add("fingerprint", "string").add("total_items", "long")
+    kinds, to_names = [f.type for f in to_arrow_schema(schema)], schema.names
+    return ordered.mapInArrow(digest, schema).withColumnsRenamed(dict(zip(names, by)))
 
 
 def plan_estimate(items: DataFrame, lanes: int = 1, video_s: float = 16.0, channel_s: float = 50.0, *by: str) -> DataFrame:

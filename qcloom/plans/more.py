@@ -13,7 +13,7 @@ from ..operators import score as K
 from ..operators import state as ST
 from ..operators import validate as VA
 from ..operators import worklist as W
-from ..sources import readers, sinks
+from ..sources import readers, sinks, state_log
 from . import runs
 from .queries import _WINDOWS_SQL, LEXICON, SQL, _folder, _spoken, lexicon_sql, query, table, texts
 
@@ -251,7 +251,7 @@ def state_log(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_orderstatus")
     for stage, some in (("SCORED", "o_orderstatus <> 'P'"), (ST.DONE, "o_orderstatus = 'F'")):
         sinks.append_state(ST.state_rows(o.where(some), "r", stage, 1.0, F.lit(1 if stage == "SCORED" else 2)), path)
-    o.where("o_orderstatus = 'P'").select(F.concat(F.lit('{"item_id": "'), "id", F.lit('", "sta')).alias("value")).write.mode("append").text(path)  # broken lines
+    o.where("o_orderstatus = 'P'").select(F.concat(F.lit('{"item_id": "'), "id", F.lit('", "sta')).alias("value")).write.mode("append").text(f"{path}/run_id=r")  # broken lines
     return ST.latest_stage(readers.read_state_log(spark, path))
 
 
@@ -261,11 +261,9 @@ def write_manifest(spark, sf):
     at = F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double")
     one = F.array(F.struct(F.lit("x").alias("id"), F.lit("video").alias("type")))
     old = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("run_id")).agg(F.min(at).alias("created_at"), F.max(at).alias("updated_at"), F.any_value(F.lit("f")).alias("fingerprint"), F.any_value(F.lit(1)).alias("total_items"), F.any_value(F.lit("p")).alias("input_path")).withColumn("items", one)
-    none = spark.createDataFrame([], ST.MANIFEST)
-    sinks.write_manifest(none, old.select(*none.columns), path)
-    again = spark.read.parquet(path)
-    sinks.write_manifest(again, again.where("cast(run_id as long) % 2 = 0").withColumn("updated_at", F.lit(9e9)).withColumn("items", F.lit(None).cast("array<struct<id:string,type:string>>")), path)
-    return spark.read.parquet(path).select("run_id", "created_at", "updated_at", F.size("items").alias("n_items"))
+    again = sinks.write_manifest(old.select(*spark.createDataFrame([], ST.MANIFEST).columns), path)
+    new = sinks.write_manifest(again.where("cast(run_id as long) % 2 = 0").withColumn("updated_at", F.lit(9e9)).withColumn("items", F.lit(None).cast("array<struct<id:string,type:string>>")), path)
+    return new.select("run_id", "created_at", "updated_at", F.size("items").alias("n_items"))
 
 
 @query("result_files", """
@@ -301,3 +299,19 @@ def page_payloads(spark, sf):
     value = F.to_json(F.struct(F.lit(True).alias("ok"), F.col("source").alias("title"), F.col("n_chars").cast("string").alias("lengthSeconds")))
     table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), value.alias("value")).write.json(path)
     return readers.read_page_payloads(spark, path, "player").select("id", "title", F.col("lengthSeconds").alias("seconds"))
+
+
+@query("state_snapshots", """
+WITH o AS (SELECT 'r' || o_custkey % 3 AS run_id, o_orderkey::VARCHAR AS item_id, CASE WHEN o_orderstatus = 'F' THEN 'SUNK' WHEN o_orderstatus = 'O' THEN 'SCORED' ELSE 'EXTRACTED' END AS stage FROM orders)
+SELECT run_id, stage, count(*) AS n FROM o GROUP BY ALL
+""")
+def state_snapshots(spark, sf):
+    """Three runs' logs: of one all is folded, of one a part, of one nothing."""
+    root = f"{_folder(spark)}/runs"
+    o = table(spark, sf, "orders").select(F.concat(F.lit("r"), F.col("o_custkey") % 3).alias("run_id"), F.col("o_orderkey").cast("string").alias("item_id"), "o_orderstatus")
+    for seq, stage, some in ((1, "EXTRACTED", "true"), (2, "SCORED", "o_orderstatus <> 'P'"), (3, ST.DONE, "o_orderstatus = 'F'")):
+        rows = o.where(some).select("run_id", "item_id", F.lit(stage).alias("stage"), F.lit(1.0).alias("ts"), F.lit(seq).cast("long").alias("seq"), F.lit(None).cast("string").alias("error"))
+        state_log.append(rows, root)
+        for run in {1: ["r0", "r1"], 2: ["r0"], 3: ["r0"]}[seq]:
+            state_log.fold(spark, root, run)
+    return ST.latest_stage(state_log.states(spark, root), "run_id").groupBy("run_id", "stage").agg(F.count("*").alias("n"))

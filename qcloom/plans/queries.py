@@ -23,6 +23,7 @@ from ..operators import score as K
 from ..operators import state as ST
 from ..operators import validate as VA
 from ..operators import worklist as W
+from ..sources import snapshots
 from ..sources.readers import spread
 from ..streaming import stateful, streams
 
@@ -676,7 +677,9 @@ def cache_upsert(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("value").alias("response"), F.col("event_id").cast("double").alias("created_at"))
     old = R.keep_last(e.where("response <= 50"), "key", "created_at")
     late = R.keep_last(e, "key", "created_at")
-    return K.cache_upsert(old, late).select("key", "response")
+    path = f"{_folder(spark)}/cache"
+    snapshots.replace(old, path, ["key"])
+    return snapshots.upsert(late, path, ["key"], K.cache_upsert).select("key", "response")
 
 
 @query("cache_stats", f"WITH q AS ({SQL['cache_lookup']}) SELECT count(*) FILTER (hit IS NOT NULL) AS hits, count(*) FILTER (hit IS NULL) AS misses FROM q")
@@ -856,6 +859,15 @@ def qc_stream(spark, sf):
     return streams.compact(spark, f"{out}/rows", "doc_id")
 
 
+@query("upsert_stream", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def upsert_stream(spark, sf):
+    events, out = f"{sf}/events.parquet", _folder(spark)
+    rows = lambda b: b.select("user_id", "event_type", "event_id")
+    for _ in range(2):
+        streams.upsert_stream(streams.read_landing(spark, events, spark.read.parquet(events).schema), rows, f"{out}/table", "user_id", f"{out}/checkpoint", "event_id").awaitTermination()
+    return snapshots.read(spark, f"{out}/table")
+
+
 def _closed_log(spark, sf: str, stream, fold) -> tuple[str, DataFrame]:
     """Where the rows of a stream over `events` are, after one start over the log and one over the row of time that closes it."""
     events, out = f"{sf}/events.parquet", _folder(spark)

@@ -12,26 +12,21 @@ from ..functions.vocab import taxonomy
 from ..operators import report, state, worklist
 from ..operators.record import assemble
 from ..operators.validate import normalize
-from ..sources import readers, sinks
+from ..sources import readers, sinks, snapshots, state_log
 
 
 def open_run_state(spark: SparkSession, items: DataFrame, root: str, fresh: bool = False) -> tuple[str, str, str | None]:
     """(run id, fingerprint, a finished run of the same list). An unfinished run of this list is gone on with."""
     mark = worklist.fingerprint(items).first().fingerprint
-    manifests = readers_manifest(spark, root)
-    log = state_table(spark, root)
+    manifests = readers_manifest(spark, root).where(F.col("fingerprint") == mark)
+    log = state_log.states(spark, root, [r.run_id for r in manifests.select("run_id").collect()])  # the runs of one list
     again = None if fresh else state.find_resumable(manifests, log, mark)
     return again or time.strftime("%Y%m%d-%H%M%S-") + mark[:6], mark, state.find_completed(manifests, log, mark)
 
 
 def readers_manifest(spark: SparkSession, root: str) -> DataFrame:
     path = f"{root}/manifest"
-    return spark.read.parquet(path) if readers.exists(spark, path) else spark.createDataFrame([], state.MANIFEST)
-
-
-def state_table(spark: SparkSession, root: str) -> DataFrame:
-    path = f"{root}/state"
-    return readers.read_state_log(spark, path) if readers.exists(spark, path) else spark.createDataFrame([], state.STATE)
+    return sinks.read_manifest(spark, path) if snapshots.versions(spark, path) else spark.createDataFrame([], state.MANIFEST)
 
 
 def run_qc(items: DataFrame, extracts: DataFrame, scorer: Callable[[DataFrame], DataFrame], root: str, kind: str, sink_names: list[str] = ["qc"], fresh: bool = False, limit: int | None = None) -> dict:  # noqa: B006
@@ -42,13 +37,17 @@ def run_qc(items: DataFrame, extracts: DataFrame, scorer: Callable[[DataFrame],
     """
     spark = items.sparkSession
     run_id, mark, finished = open_run_state(spark, items, root, fresh)
-    todo = state.pending_items(items, state_table(spark, root).where(F.col("run_id") == run_id))
+    todo = state.pending_items(items, state_log.current(spark, root, run_id))
     if limit is not None:
         todo = worklist.limit_items(todo, limit)
-    listed = items.agg(F.collect_list(F.struct("id", "type")).alias("items"), F.count("*").cast("int").alias("total_items"))
     now = time.time()
-    row = listed.select(F.lit(run_id).alias("run_id"), F.lit(mark).alias("fingerprint"), "total_items", F.lit("").alias("input_path"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), "items")
-    sinks.write_manifest(readers_manifest(spark, root), row, f"{root}/manifest")
+    stored = f"{root}/items/{run_id}"  # the list, as a table: it may have any length
+    if not readers.exists(spark, f"{stored}/_SUCCESS"):
+        items.select("id", "type", "line_no", "pos").write.mode("overwrite").parquet(stored)
+    row = items.agg(F.count("*").cast("int").alias("total_items")).select(
+        F.lit(run_id).alias("run_id"), F.lit(mark).alias("fingerprint"), "total_items", F.lit("").alias("input_path"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.lit(None).cast("array<struct<id:string,type:string>>").alias("items"),
+    )
+    sinks.write_manifest(row, f"{root}/manifest")
 
     found = todo.select("id", "line_no", "pos").join(extracts, "id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
     raw = scorer(found.where("ok"))
@@ -60,16 +59,19 @@ def run_qc(items: DataFrame, extracts: DataFrame, scorer: Callable[[DataFrame],
     sinks.multi_sink(done, sink_names, f"{root}/{run_id}")
     new = done.join(todo.select("id"), "id", "left_semi")
     sinks.append_state(state.state_rows(new, run_id, state.DONE, now, F.lit(int(now * 1000)), F.nullif("error", F.lit(""))), f"{root}/state")
-    log = state_table(spark, root).where(F.col("run_id") == run_id)
+    log = state_log.fold(spark, root, run_id)
     n, total = state.done_count(log).first().done, items.count()
     return {"run_id": run_id, "done": n, "total": total, "remaining": max(total - n, 0), "complete": n >= total, "finished_before": finished}
 
 
 def resume_run(spark: SparkSession, root: str, run_id: str) -> DataFrame:
-    """What a run still has to do, from its own stored list."""
-    m = readers_manifest(spark, root).where(F.col("run_id") == run_id)
-    items = m.select(F.posexplode("items").alias("pos", "i")).select(F.col("i.id").alias("id"), F.col("i.type").alias("type"), F.lit(0).cast("long").alias("line_no"), "pos")
-    return state.pending_items(items, state_table(spark, root).where(F.col("run_id") == run_id))
+    """What a run still has to do, from its own stored list: the table beside the manifest, or the manifest's own list."""
+    if readers.exists(spark, f"{root}/items/{run_id}/_SUCCESS"):
+        items = spark.read.parquet(f"{root}/items/{run_id}")
+    else:
+        m = readers_manifest(spark, root).where(F.col("run_id") == run_id)
+        items = m.select(F.posexplode("items").alias("pos", "i")).select(F.col("i.id").alias("id"), F.col("i.type").alias("type"), F.lit(0).cast("long").alias("line_no"), "pos")
+    return state.pending_items(items, state_log.current(spark, root, run_id))
 
 
 def inspect_input(items: DataFrame, rejects: DataFrame, n: int = 5) -> dict[str, DataFrame]:
@@ -78,7 +80,8 @@ def inspect_input(items: DataFrame, rejects: DataFrame, n: int = 5) -> dict[str,
 
 
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
-    return state.list_runs(state.run_progress(readers_manifest(spark, root), state_table(spark, root)))
+    newest = state.list_runs(readers_manifest(spark, root))
+    return state.list_runs(state.run_progress(newest, state_log.states(spark, root, [r.run_id for r in newest.select("run_id").collect()])))
 
 
 def show_results(spark: SparkSession, run_dir: str, only: str | None = None) -> dict:

@@ -19,6 +19,27 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
 
 
+def settle(spark: SparkSession, path: str) -> None:
+    """Finish what a writer left that broke off while it put new files in the place of old ones: with `path` away, the new ones
+    if they are whole, else the old ones are put there. Old ones that are still there beside `path` go."""
+    P = spark._jvm.org.apache.hadoop.fs.Path
+    now = P(path)
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in fs.globStatus(P(f"{path}.*.old")) or ():
+        old = s.getPath()
+        new = P(old.toString()[: -len("old")] + "new")
+        if not fs.exists(now):
+            fs.rename(new if fs.exists(P(new, "_SUCCESS")) else old, now)
+        if fs.exists(old):
+            fs.delete(old, True)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of the sinks, all strings, an empty cell as the empty string."""
+    settle(spark, path)
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt out to all cores where its files have fewer splits than there are cores; else df as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -57,9 +78,9 @@ def read_extracts(spark: SparkSession, path: str, schema: str = X.PLAYER) -> tup
 
 
 def read_state_log(spark: SparkSession, path: str) -> DataFrame:
-    """State rows of JSON lines; broken lines and those without item or stage are skipped."""
+    """State rows of JSON lines, in one file or below run_id=<run>/; broken lines and those without item or stage are skipped."""
     df = spark.read.schema(STATE).option("mode", "DROPMALFORMED").json(path)
-    return df.where("item_id is not null and stage is not null")
+    return df.select(*T.StructType.fromDDL(STATE).names).where("item_id is not null and stage is not null")
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
@@ -75,8 +96,9 @@ def load_run_frame(spark: SparkSession, run_dir: str) -> tuple[DataFrame, str] |
     """(results, schema) of a run: the wide file before the twelve-column one."""
     for name, schema in (("results", "wide"), ("qc_output", "qc")):
         for path in (f"{run_dir}/{name}", f"{run_dir}/{name}.csv"):
+            settle(spark, path)
             if exists(spark, path):
-                return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").csv(path), schema
+                return read_csv(spark, path), schema
     return None, None
 
 

@@ -1,28 +1,38 @@
-"""Sinks. Rewrites go to a new folder first and replace the old one when they are whole."""
+"""Sinks. Files are written beside the old ones and put in their place when they are whole; tables are snapshots.py's."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocab import QC_COLUMNS
 from ..operators.record import flatten_record, keep_last, qc_row
 from ..operators.state import next_manifest
+from . import snapshots
+from .readers import read_csv, settle
+
+
+def _rename(fs, old, new) -> None:
+    if not fs.rename(old, new):
+        raise OSError(f"can't rename {old} to {new}")
 
 
 def _swap(df: DataFrame, path: str, write) -> None:
-    """Write beside path, then put it in path's place."""
+    """Write beside path, then put it in path's place. Of a writer that breaks off between the renames, the next reader
+    or writer finishes the work: see readers.settle."""
     spark = df.sparkSession
-    new, old = f"{path}.{uuid.uuid4().hex[:8]}.new", f"{path}.{uuid.uuid4().hex[:8]}.old"
-    write(df, new)
+    settle(spark, path)
+    own = uuid.uuid4().hex[:8]
     P = spark._jvm.org.apache.hadoop.fs.Path
-    fs = P(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(P(path)):
-        fs.rename(P(path), P(old))
-    fs.rename(P(new), P(path))
-    fs.delete(P(old), True)
+    now, new, old = P(path), P(f"{path}.{own}.new"), P(f"{path}.{own}.old")
+    write(df, new.toString())
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(now):
+        _rename(fs, now, old)
+    _rename(fs, new, now)
+    fs.delete(old, True)
 
 
 def _csv(df: DataFrame, path: str) -> None:
@@ -30,10 +40,10 @@ def _csv(df: DataFrame, path: str) -> None:
 
 
 def qc_output(rec: DataFrame, path: str, seq: str = "seq") -> DataFrame:
-    """The twelve columns, the last row of each Channel ID, as CSV. Returns what is written."""
+    """The twelve columns, the last row of each Channel ID, as CSV. Returns what was written, read back: all strings."""
     rows = keep_last(qc_row(rec, seq), "Channel ID", seq).select(*[F.col(f"`{c}`") for c in QC_COLUMNS])
     _swap(rows, path, _csv)
-    return rows
+    return read_csv(rec.sparkSession, path)
 
 
 def wide_results(rec: DataFrame, path: str, seq: str = "seq") -> DataFrame:
@@ -41,7 +51,7 @@ def wide_results(rec: DataFrame, path: str, seq: str = "seq") -> DataFrame:
     kinds = [f.name for f in rows.schema.fields if f.dataType.simpleString().startswith(("struct", "map", "array"))]
     rows = rows.withColumns({k: F.to_json(k) for k in kinds}) if kinds else rows
     _swap(rows, path, _csv)
-    return rows
+    return read_csv(rec.sparkSession, path)
 
 
 def record_checkpoint(rec: DataFrame, path: str) -> None:
@@ -50,16 +60,23 @@ def record_checkpoint(rec: DataFrame, path: str) -> None:
 
 
 def append_state(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+    rows.write.mode("append").partitionBy("run_id").json(path)
+
+
+def write_manifest(new: DataFrame, path: str) -> DataFrame:
+    """The manifest table with these runs' rows new or replaced; only their buckets are written. Returns it, read back."""
+
+    def merge(old: DataFrame, rows: DataFrame) -> DataFrame:
+        m = next_manifest(old, rows)
+        return old.join(m.select("run_id"), "run_id", "left_anti").unionByName(m.select(*old.columns))
+
+    if not snapshots.versions(new.sparkSession, path):
+        return snapshots.replace(next_manifest(new.limit(0), new).select(*new.columns), path, ["run_id"])
+    return snapshots.upsert(new, path, ["run_id"], merge)
 
 
-def write_manifest(old: DataFrame, new: DataFrame, path: str) -> DataFrame:
-    """The manifest table with these runs' rows new or replaced."""
-    m = next_manifest(old, new)
-    rest = old.join(m.select("run_id"), "run_id", "left_anti")
-    out = rest.unionByName(m.select(*rest.columns))
-    _swap(out, path, lambda d, p: d.write.parquet(p))
-    return out
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return snapshots.read(spark, path)
 
 
 def accuracy_report(metrics: DataFrame, path: str) -> None:

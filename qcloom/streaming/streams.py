@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.record import keep_last
+from ..sources import snapshots
 
 
 def read_landing(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -37,6 +38,23 @@ def compact(spark: SparkSession, out: str, key: str, seq: str | None = None) ->
     return keep_last(d, key, "_at").drop("_at", "batch")
 
 
+def upsert_stream(source: DataFrame, to_rows: Callable[[DataFrame], DataFrame], table: str, key: str, checkpoint: str, seq: str | None = None) -> StreamingQuery:
+    """The last row of each key in a snapshot table, of which each batch writes only the buckets that it touches. The batch's number
+    is committed with its rows, so that a batch that is run again after a loss does nothing."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        meta = snapshots.head(spark, table)
+        if meta and meta["extra"].get("batch", -1) >= n:
+            return
+        rows = to_rows(batch)
+        rows = keep_last(rows, key, seq) if seq else rows.groupBy(key).agg(*[F.last(c).alias(c) for c in rows.columns if c != key]).select(*rows.columns)
+        newer = (lambda old, new: keep_last(old.unionByName(new), key, seq)) if seq else None
+        snapshots.upsert(rows, table, [key], newer, extra={"batch": n})
+
+    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stress_level(events: DataFrame, ts: str, key: str | None = None, seconds: int = 300) -> DataFrame:
     """events with `level`: how many there were in the last `seconds`, both ends included.
 

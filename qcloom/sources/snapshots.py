@@ -78,6 +78,14 @@ def commit(spark: SparkSession, path: str, meta: dict) -> None:
         raise
 
 
+def _open(schema: T.StructType) -> dict:
+    """The schema as JSON with nulls allowed everywhere, as Parquet reads them."""
+    text = json.dumps(schema.jsonValue())
+    for k in ("nullable", "containsNull", "valueContainsNull"):
+        text = text.replace(f'"{k}": false', f'"{k}": true')
+    return json.loads(text)
+
+
 def bucket_of(key: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
@@ -104,7 +112,7 @@ def replace(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS, ex
     spark = df.sparkSession
     have = versions(spark, path)
     folders = _store(df, path, key, buckets, buckets)
-    commit(spark, path, {"version": have[-1] + 1 if have else 1, "schema": df.schema.jsonValue(), "key": key, "buckets": buckets, "folders": folders, "extra": extra or {}})
+    commit(spark, path, {"version": have[-1] + 1 if have else 1, "schema": _open(df.schema), "key": key, "buckets": buckets, "folders": folders, "extra": extra or {}})
     return read(spark, path)
 
 
@@ -120,7 +128,7 @@ def upsert(new: DataFrame, path: str, key: list[str], merge: Callable[[DataFrame
     try:
         touched = sorted(int(n.split("=")[1]) for n in names(spark, stage) if n.startswith("bucket="))
         for last in range(TRIES):
-            meta = head(spark, path) or {"version": 0, "schema": new.schema.jsonValue(), "key": key, "buckets": buckets, "folders": {}, "extra": {}}
+            meta = head(spark, path) or {"version": 0, "schema": _open(new.schema), "key": key, "buckets": buckets, "folders": {}, "extra": {}}
             schema = T.StructType.fromJson(meta["schema"])
             rows = spark.read.schema(T.StructType(list(new.schema.fields))).parquet(*[f"{stage}/bucket={b}" for b in touched]) if touched else new.limit(0)
             old = read(spark, path, buckets=touched) if meta["version"] else spark.createDataFrame([], schema)

@@ -13,7 +13,8 @@ from ..operators import score as K
 from ..operators import state as ST
 from ..operators import validate as VA
 from ..operators import worklist as W
-from ..sources import readers, sinks, state_log
+from ..sources import readers, sinks
+from ..sources import state_log as SL
 from . import runs
 from .queries import _WINDOWS_SQL, LEXICON, SQL, _folder, _spoken, lexicon_sql, query, table, texts
 
@@ -311,7 +312,7 @@ def state_snapshots(spark, sf):
     o = table(spark, sf, "orders").select(F.concat(F.lit("r"), F.col("o_custkey") % 3).alias("run_id"), F.col("o_orderkey").cast("string").alias("item_id"), "o_orderstatus")
     for seq, stage, some in ((1, "EXTRACTED", "true"), (2, "SCORED", "o_orderstatus <> 'P'"), (3, ST.DONE, "o_orderstatus = 'F'")):
         rows = o.where(some).select("run_id", "item_id", F.lit(stage).alias("stage"), F.lit(1.0).alias("ts"), F.lit(seq).cast("long").alias("seq"), F.lit(None).cast("string").alias("error"))
-        state_log.append(rows, root)
+        SL.append(rows, root)
         for run in {1: ["r0", "r1"], 2: ["r0"], 3: ["r0"]}[seq]:
-            state_log.fold(spark, root, run)
-    return ST.latest_stage(state_log.states(spark, root), "run_id").groupBy("run_id", "stage").agg(F.count("*").alias("n"))
+            SL.fold(spark, root, run)
+    return ST.latest_stage(SL.states(spark, root), "run_id").groupBy("run_id", "stage").agg(F.count("*").alias("n"))

@@ -71,7 +71,7 @@ def write_manifest(new: DataFrame, path: str) -> DataFrame:
         return old.join(m.select("run_id"), "run_id", "left_anti").unionByName(m.select(*old.columns))
 
     if not snapshots.versions(new.sparkSession, path):
-        return snapshots.replace(next_manifest(new.limit(0), new).select(*new.columns), path, ["run_id"])
+        return snapshots.replace(next_manifest(new.limit(0), new).select(*new.columns), path, ["run_id"], 16)
     return snapshots.upsert(new, path, ["run_id"], merge)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 64
+BUCKETS = 16  # of small tables; one of billions of keys takes thousands
 TRIES = 5  # times that an upsert starts again after another writer's commit
 NAME = "{:012d}.json"
 
@@ -100,10 +100,14 @@ def read(spark: SparkSession, path: str, version: int | None = None, buckets: li
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def _store(df: DataFrame, path: str, key: list[str], buckets: int, tasks: int) -> dict[str, str]:
-    """Write df by buckets: bucket -> data folder."""
+def _tasks(spark: SparkSession, buckets: int) -> int:
+    return min(buckets, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _store(df: DataFrame, path: str, key: list[str], buckets: int) -> dict[str, str]:
+    """Write df by buckets, each from one task: bucket -> data folder."""
     own = uuid.uuid4().hex
-    df.withColumn("bucket", bucket_of(key, buckets)).repartition(tasks, "bucket").write.partitionBy("bucket").parquet(f"{path}/data/{own}")
+    df.withColumn("bucket", bucket_of(key, buckets)).repartition(_tasks(df.sparkSession, buckets), "bucket").write.partitionBy("bucket").parquet(f"{path}/data/{own}")
     return {n.split("=")[1]: own for n in names(df.sparkSession, f"{path}/data/{own}") if n.startswith("bucket=")}
 
 
@@ -111,7 +115,7 @@ def replace(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS, ex
     """df becomes the table. Returns it as it is read back."""
     spark = df.sparkSession
     have = versions(spark, path)
-    folders = _store(df, path, key, buckets, buckets)
+    folders = _store(df, path, key, buckets)
     commit(spark, path, {"version": have[-1] + 1 if have else 1, "schema": _open(df.schema), "key": key, "buckets": buckets, "folders": folders, "extra": extra or {}})
     return read(spark, path)
 
@@ -124,7 +128,7 @@ def upsert(new: DataFrame, path: str, key: list[str], merge: Callable[[DataFrame
     meta = head(spark, path)
     if meta is not None:
         key, buckets = meta["key"], meta["buckets"]
-    new.withColumn("bucket", bucket_of(key, buckets)).write.partitionBy("bucket").parquet(stage)  # computed once, whatever is done again
+    new.withColumn("bucket", bucket_of(key, buckets)).repartition(_tasks(spark, buckets), "bucket").write.partitionBy("bucket").parquet(stage)  # computed once, whatever is done again
     try:
         touched = sorted(int(n.split("=")[1]) for n in names(spark, stage) if n.startswith("bucket="))
         for last in range(TRIES):
@@ -135,7 +139,7 @@ def upsert(new: DataFrame, path: str, key: list[str], merge: Callable[[DataFrame
             made = merge(old, rows) if merge else old.join(rows.select(*key), key, "left_anti").unionByName(rows)
             folders = {b: d for b, d in meta["folders"].items() if int(b) not in touched}
             if touched:
-                folders |= _store(made.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]), path, key, buckets, len(touched))
+                folders |= _store(made.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]), path, key, buckets)
             try:
                 commit(spark, path, meta | {"version": meta["version"] + 1, "folders": folders, "extra": meta["extra"] | (extra or {})})
                 break

@@ -159,6 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         one = known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(per_class).withColumn("w", F.lit(n / min(n, per_class)))
         part = one if part is None else part.union(one)
     sample = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(part), "i")  # 2 x per_class ids
+    # of an id with several texts one teaches, whichever way the table is cut: a row an id and task is what is shuffled
+    sample = sample.groupBy("i", "y", "w").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("m")).select("i", "y", "w", "m.t")
 
     def sparse(batches):
         make = _rows("t", ["i", "y", "w"], features)
@@ -176,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def one_task(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("i").drop_duplicates("i")
+        pdf = pdf.sort_values("i")
         x = np.zeros((len(pdf), SIZE), np.float16)
         for k, b in enumerate(pdf["x"]):
             n = len(b) // 4

@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 
 from qcloom.llm import quality as Q
+from qcloom.llm.common import flat
 from qcloom.llm.langid import held_out
 
 DOCS, LABELS = "doc_id long, text string", "doc_id long, quality int"
@@ -46,3 +48,27 @@ def test_edges(spark):
     ones = Q.fit(docs, labels.where("quality = 1"))
     assert ones.w is None and ones.score(np.zeros((1, Q.SIZE), np.float32))[0] > 0.9
     assert Q.fit(docs.limit(0), labels).w is None
+
+
+def test_repeated_ids(spark):
+    """Of an id with two texts the same one teaches, however the table is cut; so scores don't change."""
+    docs, labels = data(spark, 120)
+    both = docs.union(docs.selectExpr("doc_id", "concat('Other words for ', doc_id, ': ', reverse(text)) AS text"))
+    new = spark.createDataFrame([(1, "alpha beta GAMMA!!")], DOCS)
+    got = {Q.score(new, Q.fit(both.repartition(n), labels)).first().score for n in (1, 3, 8)}
+    assert len(got) == 1
+
+
+def test_whole_operator_against_brute_force(spark):
+    """All pairs of features in plain loops, with a model fitted on rows that were put together here."""
+    docs, labels = data(spark, 80)
+    x = {r.doc_id: Q.features(*flat(pa.array([r.text], pa.large_string())))[0] for r in docs.collect()}
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    ids = sorted(y)
+    m = Q.train(Q.Half(np.stack([x[i] for i in ids]).astype(np.float16)), np.array([y[i] for i in ids], np.float32), np.ones(len(ids), np.float32))
+    got = {r.doc_id: r.score for r in Q.score(docs, Q.fit(docs.repartition(5), labels)).collect()}
+    for i in ids[::9]:
+        at = np.flatnonzero(x[i])
+        z = float(m.bias) + sum(float(m.w[a]) * float(x[i][a]) for a in at)
+        z += sum(float(m.v[a] @ m.v[b]) * float(x[i][a]) * float(x[i][b]) for k, a in enumerate(at) for b in at[:k])
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-3

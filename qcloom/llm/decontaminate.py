@@ -10,7 +10,7 @@ can hold a match of two words or more, so that the automaton reads those runs al
 
 The automaton is built in a Spark task and broadcast. Its size is checked: item words are counted first, and more
 than `automaton_words` of them are dealt by the hash of item and text to several automata, built in a task each and
-kept as a table in the shared folder. Texts pass CHAIN of them in a narrow chain (no shuffle), then the rows are
+kept as a table in the shared folder. Texts pass CHAIN of them, or CHAIN_BYTES, in a narrow chain (no shuffle), then the rows are
 checkpointed and those broadcasts freed, so that memory doesn't grow with the benchmark. An item of more than a
 quarter of `automaton_words` goes in overlapping pieces. Hits and items are the same as with one automaton; the
 longest match is then the longest inside one piece.
@@ -37,7 +37,9 @@ from .common import LETTER_DIGIT, cut, flat, fresh, small_batches, steps, words,
 
 WINDOW = 10
 AUTOMATON_WORDS = 200_000
-CHAIN = 4  # automata that are broadcast at a time
+CHAIN = 4  # automata that are broadcast at a time, at most
+CHAIN_BYTES = 320_000_000  # and what several of them may take in a worker
+LOADED = 20  # an automaton's size in a worker over its pickled size, as measured: 160 MB of 8.4 MB
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
 
 
@@ -228,16 +230,17 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "te
     small_batches(docs.sparkSession)
     carry = list(dict.fromkeys([*keep, text_col]))
     df = docs.select(*carry)
-    done, waiting = False, []  # waiting: broadcasts that df still reads
+    done, waiting, held = False, [], 0  # waiting: broadcasts that df still reads, held: their bytes
     packed = _packed(items, item_col, item_text, window, automaton_words)
     blob = next(packed)
     while blob is not None:
         after = next(packed, None)
-        if len(waiting) == CHAIN:
+        if waiting and (len(waiting) == CHAIN or (held + len(blob)) * LOADED > CHAIN_BYTES):
             df = cut(df)
             for b in waiting:
                 b.destroy()
-            waiting = []
+            waiting, held = [], 0
+        held += len(blob)
         waiting.append(docs.sparkSession.sparkContext.broadcast(_Packed(blob)))
         out_cols = keep if after is None else carry
         out = T.StructType([docs.schema[c] for c in out_cols] + schema.fields[len(keep) :])

@@ -55,8 +55,10 @@ def test_against_brute_force(spark, limit, seed):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=repr) == brute(docs, items)
 
 
-def test_one_id_and_one_long_item_are_dealt_out(spark):
+@pytest.mark.parametrize("chain_bytes", [D.CHAIN_BYTES, 1])
+def test_one_id_and_one_long_item_are_dealt_out(spark, monkeypatch, chain_bytes):
     """Rows of a single id make several automata, and an item longer than one goes in pieces; nothing is lost."""
+    monkeypatch.setattr(D, "CHAIN_BYTES", chain_bytes)  # with 1, one automaton at a time
     r = random.Random(3)
     text = lambda n: " ".join(f"v{r.randrange(60)}" for _ in range(n))
     items = [(1, text(300)), (1, text(30)), (1, text(4)), (None, text(80))]

@@ -672,6 +672,18 @@ def cache_lookup(spark, sf):
     return K.cache_lookup(asked, cache, F.col("as_of"), K.ttl_of(kind), "value").select("key", "hit")
 
 
+@query("cache_from_snapshot", SQL["cache_lookup"].replace(" FROM e, a", " FROM e, a WHERE user_id % 10 = 3"))
+def cache_from_snapshot(spark, sf):
+    """A tenth of the users ask; the cache is a snapshot table of all."""
+    e = table(spark, sf, "events").withColumn("created_at", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double"))
+    keyed = e.withColumn("key", K.extract_key(F.col("user_id").cast("string"), F.col("event_type"), "v1"))
+    path = f"{_folder(spark)}/cache"
+    snapshots.replace(R.keep_last(keyed.select("key", "value", "created_at", "event_id"), "key", "event_id"), path, ["key"])
+    asked = keyed.where("user_id % 10 = 3").select("key", "event_type").distinct().crossJoin(F.broadcast(e.agg(F.max("created_at").alias("as_of"))))  # one row
+    kind = F.when(F.col("event_type") == "error", F.lit("channel")).otherwise(F.lit("video"))
+    return K.cache_lookup(asked, snapshots.lookup(asked, path), F.col("as_of"), K.ttl_of(kind), "value").select("key", "hit")
+
+
 @query("cache_upsert", "SELECT user_id AS key, arg_max(value, event_id) AS response FROM events GROUP BY user_id")
 def cache_upsert(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("value").alias("response"), F.col("event_id").cast("double").alias("created_at"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 16  # of small tables; one of billions of keys takes thousands
+FEW_KEYS = 500_000  # keys asked for, some 100 bytes each, that are broadcast
 TRIES = 5  # times that an upsert starts again after another writer's commit
 NAME = "{:012d}.json"
 
@@ -151,6 +152,19 @@ def upsert(new: DataFrame, path: str, key: list[str], merge: Callable[[DataFrame
     return read(spark, path)
 
 
+def lookup(asked: DataFrame, path: str, few: int = FEW_KEYS) -> DataFrame:
+    """The table's rows of the keys asked for. Only buckets that hold one are read; up to `few` keys (counted) are broadcast, so that
+    no row that isn't asked for is shuffled; more are joined."""
+    spark = asked.sparkSession
+    meta = head(spark, path)
+    if meta is None:
+        raise FileNotFoundError(f"no table in {path}")
+    keys = asked.select(*meta["key"]).dropna().distinct()
+    touched = [r.b for r in keys.select(bucket_of(meta["key"], meta["buckets"]).alias("b")).distinct().collect()]  # at most all buckets
+    rows = read(spark, path, meta["version"], touched)
+    return rows.join(F.broadcast(keys) if keys.limit(few + 1).count() <= few else keys, meta["key"], "left_semi")
+
+
 def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:
     """Delete the data folders that none of the last `keep` versions names, and older version files. Not while others write."""
     have = versions(spark, path)

@@ -149,3 +149,18 @@ def test_upsert_stream(spark, tmp_path):
     for _ in range(2):
         go(ck)
     assert pairs(snapshots.read(spark, table)) == [("a", 9), ("b", 4), ("c", 0)] and len(snapshots.versions(spark, table)) == 2
+
+
+def test_lookup_reads_and_shuffles_what_is_asked_for(spark, tmp_path):
+    path = str(tmp_path / "t")
+    snapshots.replace(frame(spark, [(f"k{i}", i) for i in range(400)]), path, ["k"], 16)
+    asked = spark.createDataFrame([("k3", 1), ("k77", 2), ("none", 3), (None, 4), ("k3", 5)], "k string, n int")
+    got = snapshots.lookup(asked, path)
+    assert pairs(got) == [("k3", 3), ("k77", 77)]
+    assert len({f.split("bucket=")[1].split("/")[0] for f in got.inputFiles()}) <= 3  # of 16 buckets
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+    side = plan[plan.index("LeftSemi") :].split("BroadcastExchange")[0]
+    assert "Exchange hashpartitioning" not in side  # the table's side isn't shuffled before it is filtered
+    assert pairs(snapshots.lookup(asked, path, 0)) == [("k3", 3), ("k77", 77)]
+    assert snapshots.lookup(asked.limit(0), path).count() == 0

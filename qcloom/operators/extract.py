@@ -65,8 +65,12 @@ def flatten_channel(payloads: DataFrame, col: str = "payload") -> DataFrame:
     )
 
 
+# Fixed value: the error of a channel page that shows nothing.
+NO_CHANNEL = "channel page extraction failed (not found / renamed?)"
+
+
 def channel_error(title: Column, tiles: Column) -> Column:
-    return F.when((title == "") & (F.size(tiles) == 0), F.lit("channel page extraction failed (not found / renamed?)"))
+    return F.when((title == "") & (F.size(tiles) == 0), F.lit(NO_CHANNEL))
 
 
 def tiles_of(*grids: Column) -> Column:

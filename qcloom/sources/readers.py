@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,16 +46,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _strings(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV as all strings with stripped, lower-cased names, and line_no in the order of the file."""
+def _strings(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
+    """A CSV as all strings with stripped, lower-cased names, and each row's file by the name given."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return df.toDF(*[c.strip().lower() for c in df.columns])
+    names = [c.strip().lower() for c in df.columns]
+    return df.select("*", F.col("_metadata.file_path")).toDF(*names, file) if file else df.toDF(*names)
 
 
 def read_worklist(spark: SparkSession, path: str, default_type: str | None = None) -> tuple[DataFrame, DataFrame, str]:
-    """(items, rejects, id column) of a work-list file. A column named id is taken as given."""
-    rows = _strings(spark, path).withColumn("line_no", F.monotonically_increasing_id())
-    names = [c for c in rows.columns if c != "line_no"]
+    """(items, rejects, id column) of a work-list file, or of a folder of them, in the order of their names. A column named id is
+    taken as given."""
+    rows = _strings(spark, path, "_file").withColumn("line_no", F.monotonically_increasing_id())
+    names = [c for c in rows.columns if c not in ("line_no", "_file")]
+    if len(rows.inputFiles()) > 1:
+        # Spark packs files by size: rows of a file are in order, files aren't. A row a file is broadcast.
+        order = rows.select("_file").distinct().withColumn("_k", F.row_number().over(Window.partitionBy().orderBy("_file")).cast("long"))
+        place = F.shiftleft("_k", 33).bitwiseOR(F.col("line_no").bitwiseAND(F.lit((1 << 33) - 1)))
+        rows = rows.join(F.broadcast(order), "_file").withColumn("line_no", place)
+    rows = rows.select(*names, "line_no")
     col = W.detect_id_column(rows, names)
     if col is None:
         raise ValueError(f"no column of {names} holds ids")

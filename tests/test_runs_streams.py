@@ -51,6 +51,11 @@ def test_readers(spark, tmp_path):
     (tmp_path / "w.csv").write_text(" ID , Type,Label\nUC0000000000000000000001,channel,a\n@x_y,,b\nraw thing,video,c\n")
     items, rejects, col = readers.read_worklist(spark, str(tmp_path / "w.csv"))
     assert col == "id" and {(r.id, r.type, r.label) for r in items.collect()} == {("UC0000000000000000000001", "channel", "a"), ("@x_y", "channel", "b"), ("raw thing", "video", "c")} and rejects.count() == 0
+    (tmp_path / "several").mkdir()
+    (tmp_path / "several" / "b.csv").write_text("id,label\n" + "".join(f"@name_{i},b{i}\n" for i in range(300)))
+    (tmp_path / "several" / "a.csv").write_text("id,label\n@name_7,a7\n@name_5,a5\n")
+    several = readers.read_worklist(spark, str(tmp_path / "several"))[0].orderBy("line_no", "pos").select("id", "label").collect()
+    assert [tuple(r) for r in several[:4]] == [("@name_7", "a7"), ("@name_5", "a5"), ("@name_0", "b0"), ("@name_1", "b1")] and len(several) == 300
     (tmp_path / "n.csv").write_text("name,notes\na,b\n")
     with pytest.raises(ValueError):
         readers.read_worklist(spark, str(tmp_path / "n.csv"))

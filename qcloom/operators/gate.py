@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import let, risk_name, risk_rank
 from ..functions.vocab import CATEGORIES, LEXICON, literal_map
 
+BROADCAST_TERMS = 200_000  # some 200 bytes each
 FOLDED_TERMS = 500  # more terms than this are better joined
 
 HIT = "array<struct<group:string,term:string,field:string,category:string,min_risk:string>>"
@@ -72,16 +73,17 @@ def scan(df: DataFrame, fields: dict[str, Column], lexicon: dict = LEXICON, into
     return df.withColumn(into, F.explode_outer(F.array(F.concat(*[F.when(c.isNotNull(), of(f, c)).otherwise(empty) for f, c in fields.items()]))))
 
 
-def scan_by_join(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+def scan_by_join(texts: DataFrame, lexicon: DataFrame, few: int = BROADCAST_TERMS) -> DataFrame:
     """(id, field, group, term, category, min_risk) for texts (id, field, text) and a lexicon table of any length.
 
     A text's distinct words are equi-joined with the terms' first words; only the few texts and terms that meet there
-    are looked at again, and longer terms are checked on the text itself.
+    are looked at again, and longer terms are checked on the text itself. Up to `few` terms (counted) are broadcast, so that the
+    words of texts aren't shuffled; with more, both sides are.
     """
     split = lambda c: F.filter(F.split(F.lower(c), r"(?U)[^\w]+"), lambda w: w != "")
     lex = lexicon.withColumn("words", split(F.col("term"))).withColumn("key", F.get("words", F.lit(0)))
     seen = texts.select("id", "field", F.explode(F.array_distinct(split(F.col("text")))).alias("key"))
-    met = seen.join(lex, "key").drop("key")
+    met = seen.join(F.broadcast(lex) if lex.limit(few + 1).count() <= few else lex, "key").drop("key")
     longer = met.where(F.size("words") > 1).join(texts, ["id", "field"])
     longer = longer.where(F.regexp_like("text", F.concat(F.lit(r"(?iU)(?<!\w)\Q"), "term", F.lit(r"\E(?!\w)")))).select(met.columns)
     hit = met.where(F.size("words") == 1).union(longer)

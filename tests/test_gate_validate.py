@@ -36,6 +36,8 @@ def test_scan_by_join_agrees(spark):
     a = {(r.id, h.group, h.term) for r in G.scan(d, {"t": F.col("text")}).collect() for h in r.hits}
     b = {(r.id, r.group, r.term) for r in G.scan_by_join(d.withColumn("field", F.lit("t")), V.lexicon(spark)).collect()}
     assert a == b and len(a) == 4
+    c = {(r.id, r.group, r.term) for r in G.scan_by_join(d.withColumn("field", F.lit("t")), V.lexicon(spark), 0).collect()}
+    assert c == a
 
 
 @pytest.mark.parametrize("risk,cats,text,out", [("low", ["Gambling"], "casino", "medium"), ("none", [], "casino", "low"), ("high", ["Alcohol"], "wine", "high"), ("none", [], "wine", "none"), ("none", ["Alcohol"], "wine", "low"), ("odd", [], "x", "odd")])

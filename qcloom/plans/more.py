@@ -13,7 +13,7 @@ from ..operators import score as K
 from ..operators import state as ST
 from ..operators import validate as VA
 from ..operators import worklist as W
-from ..sources import readers, sinks
+from ..sources import readers, sinks, snapshots
 from ..sources import state_log as SL
 from . import runs
 from .queries import _WINDOWS_SQL, LEXICON, SQL, _folder, _spoken, lexicon_sql, query, table, texts
@@ -344,3 +344,24 @@ def run_qc(spark, sf):
     qc = readers.read_csv(spark, f"{root}/{done['run_id']}/qc_output")
     names = {"Channel ID": "id", "Title": "title", "Subscribers": "subscribers", "Channel Country": "country", "Brand Safety Status": "status", "Brand Safety Risk Level": "risk", "Tier 1": "tier_1", "Language": "language", "Shorts": "shorts"}
     return qc.select(*[F.col(f"`{a}`").alias(b) for a, b in names.items()])
+
+
+@query("read_manifests", """
+WITH n AS (SELECT c_nationkey AS k, count(*)::INT AS n FROM customer GROUP BY 1)
+SELECT 'run ' || k AS run_id, substr(sha1(k::VARCHAR), 1, 16) AS fingerprint, n AS total_items FROM n WHERE k % 5 <> 4
+""")
+def read_manifests(spark, sf):
+    """A run folder for each nation with its customers as the list, some of which broke off while they were written."""
+    root = f"{_folder(spark)}/runs"
+    c = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").cast("int").alias("total_items"), F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("id"), F.lit("channel").alias("type"))).alias("items"))
+    body = F.to_json(F.struct(F.substring(F.sha1(F.col("c_nationkey").cast("string")), 1, 16).alias("fingerprint"), "total_items", "items"))
+    body = F.when(F.col("c_nationkey") % 5 == 4, F.left(body, F.length(body) - 9)).otherwise(body)
+    c.select(F.col("c_nationkey").alias("run"), body.alias("value")).repartition("run").write.partitionBy("run").text(root)
+    fs, _ = snapshots._fs(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for n in snapshots.names(spark, root):  # a nation each
+        if n.startswith("run="):
+            run = f"{root}/run {n[4:]}"
+            fs.mkdirs(path(run))
+            fs.rename(path(f"{root}/{n}"), path(f"{run}/manifest.json"))
+    return readers.read_manifests(spark, root).select("run_id", "fingerprint", "total_items")

@@ -91,13 +91,18 @@ def read_state_log(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*T.StructType.fromDDL(STATE).names).where("item_id is not null and stage is not null")
 
 
-def read_manifests(spark: SparkSession, root: str) -> DataFrame:
-    """Manifests of all runs under root; the folder names the run. Unreadable ones are ignored."""
-    pattern = f"{root}/*/manifest.json"
-    if not exists(spark, pattern):
+def read_manifests(spark: SparkSession, root: str, run_ids: list[str] | None = None) -> DataFrame:
+    """Manifests of all runs under root, or of some, whose files alone are opened; the folder names the run. Unreadable ones are
+    ignored, as are runs without one."""
+    if run_ids is None:
+        paths = [f"{root}/*/manifest.json"]
+    else:
+        paths = [f"{root}/{r}/manifest.json" for r in dict.fromkeys(run_ids)]
+    paths = [p for p in paths if exists(spark, p)]
+    if not paths:
         return spark.createDataFrame([], MANIFEST)
-    df = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "DROPMALFORMED").json(pattern).select("*", F.col("_metadata.file_path").alias("_path"))
-    return df.where("fingerprint is not null").withColumn("run_id", F.regexp_extract("_path", r"([^/]+)/manifest\.json$", 1)).drop("_path")
+    df = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "DROPMALFORMED").json(paths).select("*", F.col("_metadata.file_path").alias("_path"))
+    return df.where("fingerprint is not null").withColumn("run_id", F.url_decode(F.replace(F.regexp_extract("_path", r"([^/]+)/manifest\.json(?:/[^/]+)?$", 1), F.lit("+"), F.lit("%2B")))).drop("_path")
 
 
 def load_run_frame(spark: SparkSession, run_dir: str) -> tuple[DataFrame, str] | tuple[None, None]:

@@ -67,6 +67,11 @@ def test_readers(spark, tmp_path):
         (tmp_path / "runs" / run).mkdir(parents=True)
         (tmp_path / "runs" / run / "manifest.json").write_text(body)
     assert [(r.run_id, r.total_items) for r in readers.read_manifests(spark, str(tmp_path / "runs")).collect()] == [("r1", 3)]
+    (tmp_path / "runs" / "r 3+4").mkdir()
+    (tmp_path / "runs" / "r 3+4" / "manifest.json").write_text(json.dumps({"fingerprint": "g", "total_items": 4}, indent=1))
+    some = readers.read_manifests(spark, str(tmp_path / "runs"), ["r 3+4", "r2", "none"])
+    assert [(r.run_id, r.total_items) for r in some.collect()] == [("r 3+4", 4)] and len(some.inputFiles()) == 2
+    assert readers.read_manifests(spark, str(tmp_path / "runs"), []).count() == 0
     (tmp_path / "e.jsonl").write_text('{"title": "t", "ok": true}\nnot json\n')
     ok, bad = readers.read_extracts(spark, str(tmp_path / "e.jsonl"))
     assert ok.first().title == "t" and bad.count() == 1

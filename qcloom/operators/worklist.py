@@ -206,14 +206,16 @@ def fingerprint(items: DataFrame, *by: str) -> DataFrame:
                 out = []
         if sha is not None:
             out.append((*group, sha.hexdigest()[:16], n))
-        elif not names:
-            out.append((hashlib.sha1(b"").hexdigest()[:16], 0))  # an empty list has a name too
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=to_names)
 
     schema = T.StructType([keys.schema[n] for n in names]).add("fingerprint", "string").add("total_items", "long")
     kinds, to_names = [f.type for f in to_arrow_schema(schema)], schema.names
-    return ordered.mapInArrow(digest, schema).withColumnsRenamed(dict(zip(names, by)))
+    marks = ordered.mapInArrow(digest, schema)
+    if by:
+        return marks.withColumnsRenamed(dict(zip(names, by)))
+    empty = hashlib.sha1(b"").hexdigest()[:16]  # an empty list has a name too
+    return marks.agg(F.coalesce(F.max("fingerprint"), F.lit(empty)).alias("fingerprint"), F.coalesce(F.max("total_items"), F.lit(0)).cast("long").alias("total_items"))
 
 
 def plan_estimate(items: DataFrame, lanes: int = 1, video_s: float = 16.0, channel_s: float = 50.0, *by: str) -> DataFrame:

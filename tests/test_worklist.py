@@ -69,3 +69,17 @@ def test_repartition_changes_nothing(spark):
     lines = W.read_lines(spark.createDataFrame([(text,)], "text string"))
     a, b = (sorted(map(tuple, W.parse_items(x)[0].collect())) for x in (lines, lines.repartition(7)))
     assert a == b
+
+
+def test_fingerprint_streams_through_the_digest(spark):
+    import hashlib
+
+    d = spark.range(20_000).selectExpr("concat('i', id % 15000) AS id", "CASE WHEN id % 3 = 0 THEN 'video' ELSE 'channel' END AS type", "id % 4 AS g").repartition(7)
+    rows = {(r.g, f"{r.type}:{r.id}") for r in d.collect()}
+    mark = lambda keys: hashlib.sha1("\n".join(sorted(keys)).encode()).hexdigest()[:16]
+    all_keys = {k for _, k in rows}
+    got = W.fingerprint(d).collect()
+    assert [(r.fingerprint, r.total_items) for r in got] == [(mark(all_keys), len(all_keys))]
+    by = {r.g: (r.fingerprint, r.total_items) for r in W.fingerprint(d, "g").collect()}
+    assert by == {g: (mark(k for h, k in rows if h == g), sum(h == g for h, _ in rows)) for g in range(4)}
+    assert W.fingerprint(d.limit(0)).first().fingerprint == hashlib.sha1(b"").hexdigest()[:16] and W.fingerprint(d.limit(0), "g").count() == 0

@@ -39,7 +39,7 @@ RUN = 3
 TOP = 2000
 COVERED = 50  # per cent of a candidate's occurrences within one longer candidate
 FLUSH = 500_000  # words whose runs are counted at a time
-PART_MASS = 16_000_000  # occurrences in a hash partition, about: 80 MB of summaries that arrive, 20 MB that are kept
+PART_MASS = 4_000_000  # occurrences in a hash partition, about: 20 MB of summaries that arrive, 5 MB that are kept
 BITS = 12  # of a partition's filter for each survivor
 FILTER_BYTES = 1 << 26  # of all filters together; beyond that they have fewer bits a survivor
 
@@ -209,10 +209,14 @@ def survivors(docs: DataFrame, parts: int, run: int = RUN, least: int = LEAST, f
             key, n = _keys(np.concatenate([h for h, _ in found]), parts), np.concatenate([n for _, n in found])
             order = np.argsort(key)
             key, n = key[order], n[order]
-            p = key >> np.int64(32)
+            times = (n + 254) // 255  # a counter is a byte; larger ones are several entries
+            key, last = np.repeat(key, times), np.cumsum(times) - 1
+            over = np.full(len(key), 255, np.int64)
+            over[last] = n - 255 * (times - 1)
+            n, p = over, key >> np.int64(32)
             at = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
             ends = np.append(at[1:], len(p))
-            low, n = (key & np.int64(0xFFFFFFFF)).astype(np.uint32), n.astype(np.uint32)
+            low, n = (key & np.int64(0xFFFFFFFF)).astype(np.uint32), n.astype(np.uint8)
             for a in range(0, len(at), 64):
                 b = range(a, min(a + 64, len(at)))
                 yield pa.RecordBatch.from_arrays(
@@ -220,7 +224,7 @@ def survivors(docs: DataFrame, parts: int, run: int = RUN, least: int = LEAST, f
                 )
 
     def united(t: pa.Table) -> pa.Table:
-        counts = [np.frombuffer(x.as_py(), np.uint32) for x in t["n"]]
+        counts = [np.frombuffer(x.as_py(), np.uint8) for x in t["n"]]
         mass = sum(int(x.sum(dtype=np.int64)) for x in counts)
         given = ((np.frombuffer(x.as_py(), np.uint32), y.astype(np.int64)) for x, y in zip(t["h"], counts))
         h, n, off = merge(given, mass // least + 1)

@@ -118,7 +118,21 @@ class Stress(_Held):
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.ring = handle.getMapState("ring", "second long", "n long, told boolean")
+        # counts of seconds in order; those before `told` have been written
+        self.ring = handle.getValueState("ring", "seconds array<long>, counts array<long>, told long")
+
+    def held(self) -> tuple[dict[int, int], int]:
+        if not self.ring.exists():
+            return {}, -(1 << 63)
+        seconds, counts, told = self.ring.get()
+        return dict(zip(seconds, counts)), told
+
+    def hold(self, ring: dict[int, int], told: int) -> None:
+        if ring:
+            seconds = sorted(ring)
+            self.ring.update((seconds, [ring[s] for s in seconds], told))
+        else:
+            self.ring.clear()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         counts: dict[int, int] = {}
@@ -129,9 +143,10 @@ class Stress(_Held):
                 counts[r.second] = counts.get(r.second, 0) + 1
         if not counts:
             return iter(())
+        ring, told = self.held()
         for second, n in counts.items():
-            old = self.ring.getValue((second,)) if self.ring.containsKey((second,)) else (0, False)
-            self.ring.updateValue((second,), (old[0] + n, False))
+            ring[second] = ring.get(second, 0) + n
+        self.hold(ring, told)
         first = (min(counts) + 1) * 1000
         if self.timer.exists():
             first = min(first, self.timer.get()[0])
@@ -142,25 +157,23 @@ class Stress(_Held):
         self.fired()
         watermark = timerValues.getCurrentWatermarkInMs()
         over = watermark // 1000  # all events of the seconds before this one have come
-        ring = sorted((s[0], n, told) for s, (n, told) in self.ring.iterator())
+        ring, told = self.held()
         out, begin, level, due = [], 0, 0, None
-        for second, n, told in ring:
+        seconds = sorted(ring)
+        for second in seconds:
             if second >= over:
                 due = (second + 1) * 1000
                 break
-            level += n
-            while ring[begin][0] < second - self.seconds:
-                level -= ring[begin][1]
+            level += ring[second]
+            while seconds[begin] < second - self.seconds:
+                level -= ring[seconds[begin]]
                 begin += 1
-            if not told:
-                out.append(Row(key=key[0], second=second, n=n, level=level))
-                self.ring.updateValue((second,), (n, True))
-        for second, _, _ in ring:
-            if second < over - self.seconds:
-                self.ring.removeKey((second,))
-        keep = [s for s, _, _ in ring if over - self.seconds <= s < over]
+            if second >= told:
+                out.append(Row(key=key[0], second=second, n=ring[second], level=level))
+        keep = {s: n for s, n in ring.items() if s >= over - self.seconds}
+        self.hold(keep, over)
         if due is None and keep:
-            due = (keep[-1] + self.seconds + 2) * 1000
+            due = (max(keep) + self.seconds + 2) * 1000
         self.wake(due, watermark)
         return iter(out)
 

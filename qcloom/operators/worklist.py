@@ -6,6 +6,7 @@ Row order is explicit: `line_no` of the line and `pos` inside it. Items have id,
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -194,13 +195,16 @@ def fingerprint(items: DataFrame, *by: str) -> DataFrame:
         out = []
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            for row in zip(*cols):
-                if sha is None or row[:-1] != group:
+            runs = ((g, [row[-1] for row in rows]) for g, rows in groupby(zip(*cols), key=lambda row: row[:-1])) if by else [((), cols[-1])]
+            for own, lines in runs:
+                if not lines:
+                    continue
+                if sha is None or own != group:
                     if sha is not None:
                         out.append((*group, sha.hexdigest()[:16], n))
-                    group, sha, n = row[:-1], hashlib.sha1(), 0
-                sha.update(("\n" if n else "").encode() + row[-1].encode())
-                n += 1
+                    group, sha, n = own, hashlib.sha1(), 0
+                sha.update((("\n" if n else "") + "\n".join(lines)).encode())
+                n += len(lines)
             if len(out) > 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=to_names)
                 out = []

@@ -327,7 +327,7 @@ SELECT 'UC' || lpad(k::VARCHAR, 22, '0') AS id, CASE WHEN ok THEN c_name END AS
 def run_qc(spark, sf):
     """A run over all customers as channels that breaks off behind the first hundred, and is gone on with; some have no extract."""
     root = f"{_folder(spark)}/runs"
-    c = table(spark, sf, "customer").withColumn("id", F.concat(F.lit("UC"), F.lpad(F.col("c_custkey").cast("string"), 22, "0")))
+    c = texts(spark, sf, "customer").withColumn("id", F.concat(F.lit("UC"), F.lpad(F.col("c_custkey").cast("string"), 22, "0")))
     items = W.parse_items(c.select(F.col("c_custkey").cast("long").alias("line_no"), F.col("id").alias("line")))[0]
     found = c.where("c_custkey % 7 <> 0").select(
         "id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), F.col("c_name").alias("name"), (F.col("c_custkey") * 1000).cast("long").alias("subscribers"), F.col("c_mktsegment").alias("country"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,27 +30,44 @@ def readers_manifest(spark: SparkSession, root: str) -> DataFrame:
     return sinks.read_manifest(spark, path) if snapshots.versions(spark, path) else spark.createDataFrame([], state.MANIFEST)
 
 
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    """df written, and read back."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_qc(items: DataFrame, extracts: DataFrame, scorer: Callable[[DataFrame], DataFrame], root: str, kind: str, sink_names: list[str] = ["qc"], fresh: bool = False, limit: int | None = None) -> dict:  # noqa: B006
     """Run the items that aren't done: extracts (id, ok, error, name, hits, …) through the scorer and the validator to
     records, sinks and the state log. scorer: extract rows -> raw output rows with id (validate.RAW), vision_ok, judge_invoked.
 
-    Items without an extract row become ERROR records. Returns run id, counts and whether the list is complete.
+    Items without an extract row become ERROR records. Returns run id, counts and whether the list is complete. The list and
+    what is to be done of it are written first, so that the text that they come from is parsed once, however often they are read.
     """
+    spark = items.sparkSession
+    own = f"{root}/stage-{uuid.uuid4().hex}"
+    try:
+        return _run(_kept(items.select("id", "type", "line_no", "pos"), f"{own}/items"), extracts, scorer, root, own, kind, sink_names, fresh, limit)
+    finally:
+        snapshots.delete(spark, own)
+
+
+def _run(items: DataFrame, extracts: DataFrame, scorer: Callable[[DataFrame], DataFrame], root: str, own: str, kind: str, sink_names: list[str], fresh: bool, limit: int | None) -> dict:
     spark = items.sparkSession
     run_id, mark, finished = open_run_state(spark, items, root, fresh)
     todo = state.pending_items(items, state_log.current(spark, root, run_id))
     if limit is not None:
         todo = worklist.limit_items(todo, limit)
+    todo = _kept(todo.select("id", "line_no", "pos"), f"{own}/todo")
     now = time.time()
     stored = f"{root}/items/{run_id}"  # the list, as a table: it may have any length
     if not readers.exists(spark, f"{stored}/_SUCCESS"):
-        items.select("id", "type", "line_no", "pos").write.mode("overwrite").parquet(stored)
+        items.write.mode("overwrite").parquet(stored)
     row = items.agg(F.count("*").cast("int").alias("total_items")).select(
         F.lit(run_id).alias("run_id"), F.lit(mark).alias("fingerprint"), "total_items", F.lit("").alias("input_path"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.lit(None).cast("array<struct<id:string,type:string>>").alias("items"),
     )
     sinks.write_manifest(row, f"{root}/manifest")
 
-    found = todo.select("id", "line_no", "pos").join(extracts, "id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    found = todo.join(extracts, "id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
     raw = scorer(found.where("ok"))
     valid, rejected = normalize(raw)
     found = found.join(rejected.select("id", F.col("error").alias("validation_error")), "id", "left")

@@ -97,11 +97,13 @@ def build_sinks(names: list[str]) -> list[str]:
 
 
 def multi_sink(rec: DataFrame, names: list[str], folder: str, seq: str = "seq") -> None:
-    """Every record to every sink named; computed once."""
+    """Every record to every sink named; computed once. One sink alone reads its columns only, and nothing is held for it."""
     build_sinks(names)
-    rec = rec.persist()
+    several = len(names) > 1
+    rec = rec.persist() if several else rec
     try:
         for n in names:
             SINKS[n](rec, f"{folder}/{NAMES[n]}", seq)
     finally:
-        rec.unpersist()
+        if several:
+            rec.unpersist()

@@ -47,6 +47,23 @@ def test_run_interrupt_resume(spark, tmp_path):
     assert runs.show_taxonomy(spark).count() > 60 and runs.inspect_input(items, items.limit(0).select("line_no", F.col("id").alias("line")))["report"].first().channels == 6
 
 
+def test_run_parses_its_list_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    lines = spark.createDataFrame([(i, f"UC{i:022d}") for i in range(6)], "line_no long, line string")
+    items = W.parse_items(lines.mapInArrow(count, lines.schema))[0]
+    a = runs.run_qc(items, extracts(spark, 6, skip=(1,)), scorer, str(tmp_path), "channel", limit=2)
+    assert made.value == 6 and a["done"] == 2 and a["total"] == 6
+    b = runs.run_qc(items, extracts(spark, 6, skip=(1,)), scorer, str(tmp_path), "channel", sink_names=["qc", "csv"])
+    assert made.value == 12 and b["run_id"] == a["run_id"] and b["complete"]
+    assert not list(tmp_path.glob("stage-*"))
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "w.csv").write_text(" ID , Type,Label\nUC0000000000000000000001,channel,a\n@x_y,,b\nraw thing,video,c\n")
     items, rejects, col = readers.read_worklist(spark, str(tmp_path / "w.csv"))

@@ -32,13 +32,16 @@ class _Held(StatefulProcessor):
         self.handle = handle
         self.timer = handle.getValueState("timer", "at long")
 
-    def wake(self, at: int | None, watermark: int) -> None:
-        """Have handleExpiredTimer called when the watermark is beyond `at` (milliseconds)."""
-        now = self.timer.get()[0] if self.timer.exists() else None
+    def set_for(self) -> int | None:
+        return self.timer.get()[0] if self.timer.exists() else None
+
+    def wake(self, at: int | None, watermark: int, now: int | None = None) -> None:
+        """Have handleExpiredTimer called when the watermark is beyond `at` (milliseconds). now: what the timer is set for; None if it has
+        fired or there is none. Each call of the state is a message to the JVM, so that what is known isn't asked for."""
         if at is not None:
             at = max(at, watermark + 1)
-        if now == at:
-            return
+            if now == at:
+                return
         if now is not None:
             self.handle.deleteTimer(now)
         if at is None:
@@ -47,9 +50,6 @@ class _Held(StatefulProcessor):
             self.handle.registerTimer(at)
             self.timer.update((at,))
 
-    def fired(self) -> None:
-        self.timer.clear()
-
     def close(self) -> None:
         pass
 
@@ -76,13 +76,13 @@ class Reuse(_Held):
             first = least if first is None else min(first, least)
         if first is None:
             return iter(())
-        if self.timer.exists():
-            first = min(first, self.timer.get()[0] * 1000)
-        self.wake(first // 1000 + 1, timerValues.getCurrentWatermarkInMs())
+        now = self.set_for()
+        if now is not None:
+            first = min(first, now * 1000)
+        self.wake(first // 1000 + 1, watermark, now)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.fired()
         watermark = timerValues.getCurrentWatermarkInMs()
         held = sorted((tuple(x) for x in self.waiting.get()), key=lambda x: (x[0], x[1]))
         k = sum(x[0] < watermark * 1000 for x in held)
@@ -122,8 +122,7 @@ class Stress(_Held):
         self.ring = handle.getValueState("ring", "seconds array<long>, counts array<long>, told long")
 
     def held(self) -> tuple[dict[int, int], int]:
-        if not self.ring.exists():
-            return {}, -(1 << 63)
+        """What is kept; a key has a timer as long as it has something, so that one that has fired needs no test."""
         seconds, counts, told = self.ring.get()
         return dict(zip(seconds, counts)), told
 
@@ -143,18 +142,17 @@ class Stress(_Held):
                 counts[r.second] = counts.get(r.second, 0) + 1
         if not counts:
             return iter(())
-        ring, told = self.held()
+        known = self.ring.exists()
+        ring, told = self.held() if known else ({}, -(1 << 63))
         for second, n in counts.items():
             ring[second] = ring.get(second, 0) + n
         self.hold(ring, told)
+        now = self.set_for() if known else None
         first = (min(counts) + 1) * 1000
-        if self.timer.exists():
-            first = min(first, self.timer.get()[0])
-        self.wake(first, timerValues.getCurrentWatermarkInMs())
+        self.wake(first if now is None else min(first, now), watermark, now)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.fired()
         watermark = timerValues.getCurrentWatermarkInMs()
         over = watermark // 1000  # all events of the seconds before this one have come
         ring, told = self.held()
@@ -178,6 +176,13 @@ class Stress(_Held):
         return iter(out)
 
 
+def _counting(events: DataFrame, ts: str, *needed: Column) -> DataFrame:
+    """Only the events that have all that is needed: the others, which have moved the watermark, would all be one key's, the null
+    one, and so one task's. The condition is one call over the time too, as the optimizer pushes those without the time below
+    the watermark."""
+    return events.where(~F.array_contains(F.array(*[c.isNull() for c in (F.col(ts), *needed)]), True))
+
+
 def _stateful(rows: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
     return rows.groupBy("key").transformWithState(processor, schema, "append", "eventtime")
 
@@ -188,14 +193,13 @@ def ttl_state(events: DataFrame, key: Column, payload: Column, ttl_seconds: Colu
     Rows without a key or an id only move the watermark. Ties of time go by event_id. An extract is kept for `longest` seconds; no
     time to live may be more.
     """
-    rows = events.withWatermark(ts, late).select(key.cast("string").alias("key"), F.col(event_id).cast("long").alias("event_id"), F.unix_micros(ts).alias("at"), (F.least(ttl_seconds, F.lit(longest)) * 1_000_000).cast("long").alias("ttl"), payload.cast("string").alias("payload"))
-    # rows that don't count are left out by the processor: a filter would be pushed below the watermark, which needs their times
+    rows = _counting(events.withWatermark(ts, late), ts, key, F.col(event_id)).select(key.cast("string").alias("key"), F.col(event_id).cast("long").alias("event_id"), F.unix_micros(ts).alias("at"), (F.least(ttl_seconds, F.lit(longest)) * 1_000_000).cast("long").alias("ttl"), payload.cast("string").alias("payload"))
     return _stateful(rows, Reuse(int(longest * 1_000_000)), REUSED)
 
 
 def stress_state(events: DataFrame, key: Column, seconds: int = 300, ts: str = "ts", late: str = "0 seconds") -> DataFrame:
     """One row per key and second with events, in append mode: key, second, n (events), level (events of the last `seconds`)."""
-    rows = events.withWatermark(ts, late).select(key.cast("string").alias("key"), F.unix_seconds(ts).alias("second"))
+    rows = _counting(events.withWatermark(ts, late), ts, key).select(key.cast("string").alias("key"), F.unix_seconds(ts).alias("second"))
     return _stateful(rows, Stress(seconds), LEVELS)
 
 

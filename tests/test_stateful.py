@@ -86,3 +86,14 @@ def test_stress_state(spark, tmp_path, late):
         if u is not None:
             want[str(u), int(s)] = sum(v == u and s - 300 <= t <= s for _, v, t, _, _ in rows)
     assert {(r.key, r.second): r.level for r in got} == want and len(got) == len(want)
+
+
+def test_events_without_a_key_only_move_the_watermark(spark, tmp_path, monkeypatch):
+    rows = [(1, 1, 100.0, 60, "a"), (2, 1, 160.0, 60, "b"), *[(k, None, float(k), 60, "c") for k in range(3, 500)]]
+    stream = lambda e: S.stress_state(e, F.col("user_id"), 300)
+    got = run(spark, tmp_path / "levels", stream, halves(rows), end="1970-01-01 01:30:00")
+    assert sorted(tuple(r) for r in got) == [("1", 100, 1, 1), ("1", 160, 1, 2)]
+    monkeypatch.setattr(S, "_stateful", lambda rows, processor, schema: rows)  # what comes to the state: one task has all of the null key
+    assert sorted(tuple(r) for r in run(spark, tmp_path / "seen", stream, halves(rows))) == [("1", 100), ("1", 160)]
+    both = lambda e: S.ttl_state(e, F.col("user_id"), F.col("props"), F.lit(None).cast("long"))
+    assert sorted(r.event_id for r in run(spark, tmp_path / "ttl", both, halves(rows))) == [1, 2]  # a time to live may be null: the longest

@@ -13,10 +13,12 @@ a filter of its own, and a pair must pass them all before it is verified:
 
 Identical sets are one class from the start. A group isn't expanded into pairs: links only matter across parts that
 aren't connected yet, so that each member outside the group's largest part is compared with its candidates in other
-parts, which is all that can change the components. A group of more than GROUP_ROWS classes, or of more than GROUP_SHINGLES
-shared shingles, is never brought into one task: its members stay dealt out, and blocks of query members, broadcast, pass
-over all of them, first some to find the large part, then every member outside it; the links found are the same. A block
-is bounded in members and in shingles.
+parts, which is all that can change the components. For a candidate it isn't enough to share a prefix shingle: behind the
+first one that both have, both must have as many left as sets of these two sizes need. Most members of a large group are
+copies of one text with so many changes that they link with nothing, and they end there. A group of more than GROUP_ROWS
+classes, or of more than GROUP_SHINGLES shared shingles, is never brought into one task: its members are dealt into parts
+by hash, each two parts meet in a task, and any two members meet in one of them at least; the components are the same. A
+part is bounded in members and in shingles, about.
 
 Shingle hashes have 64 bits. They travel as packed arrays, one row per task and bucket, instead of a row each. In the
 first filter, shingles that a task sees in several sets are known to be shared: they are counted for their sets there, and
@@ -48,7 +50,8 @@ NGRAM, PERCENT = 5, 75
 GROUP_ROWS = 20_000
 GROUP_SHINGLES = 8_000_000  # at 12 bytes each
 FLUSH = 500_000  # shingles that a task holds before it passes them on
-QUERIES, QUERY_SHINGLES = 1024, 2_000_000  # members of a large group, and their shingles, that are broadcast at a time
+QUERIES, QUERY_SHINGLES = GROUP_ROWS // 2, GROUP_SHINGLES // 2  # members of a large group, and their shingles, that are one part
+CHUNK = 256  # candidates that are compared at a time
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int = NGRAM) -> list[np.ndarray]:
@@ -267,51 +270,67 @@ def prefix(tok: np.ndarray, freq: np.ndarray, n: int, percent: int) -> np.ndarra
     return tok[np.lexsort((tok, freq))[: len(tok) - least(n, percent) + 1]]
 
 
+def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The numbers a[0] .. b[0] - 1, a[1] .. b[1] - 1 and so on, end to end."""
+    size = b - a
+    return np.arange(size.sum()) + np.repeat(a - np.cumsum(size) + size, size)
+
+
 class Group:
-    """Sets of one group, and candidates under the three rare-first orders."""
+    """Sets of one group, and candidates under the three rare-first orders.
+
+    A prefix of shingles has the places for partners of any size; for a given partner fewer count: where a shingle is the
+    first that two sets share, neither has more to share than what stands behind it."""
 
     def __init__(self, n, tok: list[np.ndarray], freq: list[np.ndarray], percent: int) -> None:
         self.n, self.percent = np.asarray(n, np.int64), percent
         size = np.array([len(t) for t in tok])
         self.at = np.concatenate([[0], np.cumsum(size)])
-        self.vocab, ids = np.unique(np.concatenate(tok), return_inverse=True)
+        vocab, ids = np.unique(np.concatenate(tok), return_inverse=True)
         self.ids = ids.reshape(-1).astype(np.int32)
+        self.mark = np.zeros(len(vocab), np.int8)
+        self.wide = int(self.n.max()) + 1  # over all sizes, so that shingle and size are one sorted number
         keep = [len(t) - least(int(m), percent) + 1 for t, m in zip(tok, self.n)]
         self.orders = []
         for make in (lambda t, f: np.lexsort((t, f)), lambda t, f: np.arange(len(t)), lambda t, f: np.arange(len(t))[::-1]):
             pre = [self.ids[a + make(t, f)[:k]] for a, t, f, k in zip(self.at[:-1], tok, freq, keep)]
-            flat, owner = np.concatenate(pre), np.repeat(np.arange(len(tok)), [len(p) for p in pre])
-            order = np.argsort(flat, kind="stable")
-            self.orders.append((pre, owner[order], np.searchsorted(flat[order], np.arange(len(self.vocab) + 1))))
-
-    def prefixes(self, p: int) -> list[np.ndarray]:
-        return [o[0][p] for o in self.orders]
-
-    def links(self, n: int, ids: np.ndarray, prefixes: list[np.ndarray], open_: np.ndarray) -> np.ndarray:
-        """Members among open_ (a mask) that link with a set of n shingles, given as this group's ids."""
-        lo, hi = least(n, self.percent), 100 * n // self.percent
-        ok = open_ & (self.n >= lo) & (self.n <= hi)
-        for pre, (_, owner, start) in zip(prefixes, self.orders):
-            if not ok.any():
-                break
-            hit = np.zeros(len(self.n), bool)
-            for t in pre.tolist():
-                hit[owner[start[t] : start[t + 1]]] = True
-            ok &= hit
-        cand = np.flatnonzero(ok)
-        if not len(cand):
-            return cand
-        mark = np.zeros(len(self.vocab), np.int64)
-        mark[ids] = 1
-        both = np.array([mark[self.ids[self.at[c] : self.at[c + 1]]].sum() for c in cand])
-        return cand[100 * both >= self.percent * (n + self.n[cand] - both)]
-
-    def own(self, p: int) -> tuple:
-        return int(self.n[p]), self.ids[self.at[p] : self.at[p + 1]], self.prefixes(p)
+            long = np.array([len(x) for x in pre])
+            owner = np.repeat(np.arange(len(tok)), long)
+            rest = np.repeat(size, long) - _ranges(np.zeros(len(tok), np.int64), long)  # from this shingle on; those that no other set has stand before all
+            key = np.concatenate(pre).astype(np.int64) * self.wide + self.n[owner]
+            order = np.argsort(key, kind="stable")
+            self.orders.append((pre, key[order], owner[order], rest[order]))
+
+    def candidates(self, p: int, open_: np.ndarray) -> np.ndarray:
+        """Members among open_ (a mask) that may link with member p."""
+        n, size, q = int(self.n[p]), int(self.at[p + 1] - self.at[p]), self.percent
+        lo, ok = least(n, q), open_
+        for pre, key, owner, rest in self.orders:
+            first = pre[p].astype(np.int64) * self.wide
+            most = np.minimum((100 + q) * (size - np.arange(len(first))) // q - n, 100 * n // q)  # a partner's size, given what is left here
+            a = np.searchsorted(key, first + lo)
+            b = np.maximum(a, np.searchsorted(key, first + np.clip(most, -1, self.wide - 1), "right"))
+            at = _ranges(a, b)
+            who = owner[at]
+            who = who[ok[who] & ((100 + q) * rest[at] >= q * (n + self.n[who]))]
+            if not len(who):
+                return who
+            ok = np.zeros(len(self.n), bool)
+            ok[who] = True
+        return np.flatnonzero(ok)
+
+    def links(self, p: int, cand: np.ndarray) -> np.ndarray:
+        """Those among cand that link with member p."""
+        own, a, b = self.ids[self.at[p] : self.at[p + 1]], self.at[cand], self.at[cand + 1]
+        self.mark[own] = 1
+        both = np.add.reduceat(self.mark[self.ids[_ranges(a, b)]], np.cumsum(b - a) - (b - a), dtype=np.int64)
+        self.mark[own] = 0
+        return cand[100 * both >= self.percent * (self.n[p] + self.n[cand] - both)]
 
 
 def connect(g: Group) -> list[tuple[int, int]]:
-    """Edges that connect all members which links connect."""
+    """Edges that connect all members which links connect. A member that was asked needs no more answers, and one
+    that is connected already isn't compared again."""
     m, f, done, start = len(g.n), Forest(len(g.n)), np.zeros(len(g.n), bool), 0
     while True:
         roots = f.roots()
@@ -322,8 +341,12 @@ def connect(g: Group) -> list[tuple[int, int]]:
             return f.edges
         for p in todo[: max(4, start)].tolist():
             done[p] = True
-            got = g.links(*g.own(p), f.roots() != f.find(p))
-            f.join(np.full(len(got), p), got)
+            cand = g.candidates(p, ~done & (f.roots() != f.find(p)))
+            while len(cand):
+                got = g.links(p, cand[:CHUNK])
+                f.join(np.full(len(got), p), got)
+                cand = cand[CHUNK:]
+                cand = cand[f.roots()[cand] != f.find(p)] if len(cand) else cand
         start = max(4, 2 * start)
 
 
@@ -337,48 +360,17 @@ def _verify(percent: int):
     return run
 
 
-def _verify_large(sets: DataFrame, percent: int, queries: int, shingles: int) -> DataFrame | None:
+def _verify_large(sets: DataFrame, size: DataFrame, percent: int, queries: int, shingles: int) -> DataFrame:
     """Links inside groups too large for one task, enough to connect what they connect.
 
-    sets: group, rep, n, tok, freq. Blocks of `queries` members at most, of `shingles` shingles at most (or
-    of one member), meet all members, which stay where they are.
+    sets: group, rep, n, tok, freq; size: group, count, shingles. A group's members are dealt into parts of about `queries`
+    members and `shingles` shingles at most, and each two parts are a task.
     """
-    sets = cut(sets.repartition(shuffle_parts(sets.sparkSession), "rep"))
-    spark, edges = sets.sparkSession, None
-    asked = spark.createDataFrame([], "rep long")
-    for turn in range(1 << 30):
-        todo = sets.select("group", "rep").join(asked, "rep", "left_anti")
-        if edges is not None:
-            root = sets.select("group", "rep").join(components(edges), F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
-            size = root.groupBy("group", "root").count()
-            big = size.groupBy("group").agg(F.max(F.struct("count", "root")).alias("m")).select(F.col("m.root").alias("root"))
-            todo = todo.join(root.join(big, "root", "left_anti").select("rep"), "rep", "left_semi")
-        turns = todo.join(sets.select("rep", F.octet_length("tok").alias("bytes")), "rep").orderBy(F.xxhash64("rep"), "rep").limit(queries if turn else min(64, queries)).collect()
-        if not turns:
-            return edges
-        size = np.cumsum([r.bytes // 8 for r in turns])
-        turns = [r.rep for r in turns[: max(1, int(np.searchsorted(size, shingles, "right")))]]
-        block = sets.join(F.broadcast(spark.createDataFrame([(r,) for r in turns], "rep long")), "rep").select("rep", "n", "tok", "freq").collect()
-        asked = cut(asked.union(spark.createDataFrame([(r.rep,) for r in block], "rep long")))
-        shared = spark.sparkContext.broadcast([(r.rep, r.n, bytes(r.tok), bytes(r.freq)) for r in block])
-
-        def against(batches):
-            ask = shared.value
-            reps = np.array([a[0] for a in ask])
-            g = Group([a[1] for a in ask], [np.frombuffer(a[2], np.uint64) for a in ask], [np.frombuffer(a[3], np.int32) for a in ask], percent)
-            for b in batches:
-                out = []
-                for rep, n, tok, freq in zip(*(b.column(k).to_pylist() for k in range(4))):
-                    tok, freq = np.frombuffer(tok, np.uint64), np.frombuffer(freq, np.int32)
-                    k = len(tok) - least(n, percent) + 1
-                    pre = [g.vocab.searchsorted(t[np.isin(t, g.vocab)]).astype(np.int32) for t in (tok[np.lexsort((tok, freq))[:k]], tok[:k], tok[::-1][:k])]
-                    got = g.links(n, g.vocab.searchsorted(tok[np.isin(tok, g.vocab)]), pre, reps != rep)
-                    out += [(rep, r) for r in reps[got].tolist()]
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
-
-        new = sets.select("rep", "n", "tok", "freq").mapInArrow(against, "a long, b long")
-        edges = cut(new if edges is None else edges.union(new))
-    return edges
+    parts = F.greatest(F.lit(2), F.ceil(F.col("count") / queries), F.ceil(F.col("shingles") / shingles)).cast("int")
+    dealt = sets.join(size.select("group", parts.alias("parts")), "group").withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("own <> other")
+    cells = met.select("group", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "n", "tok", "freq")
+    return cells.repartition("group", "x", "y").groupBy("group", "x", "y").applyInPandas(_verify(percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, group_rows: int = GROUP_ROWS, queries: int = QUERIES, group_shingles: int = GROUP_SHINGLES, query_shingles: int = QUERY_SHINGLES) -> DataFrame:
@@ -411,8 +403,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small = grouped.join(size.where(fits).select("group"), "group", "left_semi")
     edges = small.groupBy("group").applyInPandas(_verify(percent), "a long, b long")
     if not (large := size.where(~fits)).isEmpty():
-        more = _verify_large(grouped.join(large.select("group"), "group", "left_semi"), percent, queries, query_shingles)
-        edges = edges if more is None else edges.union(more)
+        edges = edges.union(_verify_large(grouped, large, percent, queries, query_shingles))
     linked = components(edges)
 
     of_class = classes.join(linked, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("root"))

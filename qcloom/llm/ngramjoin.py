@@ -23,7 +23,8 @@ part is bounded in members and in shingles, about.
 Shingle hashes have 64 bits. They travel as packed arrays, one row per task and bucket, instead of a row each. In the
 first filter, shingles that a task sees in several sets are known to be shared: they are counted for their sets there, and
 one mark goes to the shingle's bucket, so that a shingle of a third of all documents is no hot bucket. Sets that occur in
-several tasks may be counted too high by that, which only lets more of them through to the next filter.
+several tasks may be counted too high by that, which only lets more of them through to the next filter. The same pass over
+the texts gives every document's size and digest, which go along with the packed arrays.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing; fewer than five words are one
 shingle; very long texts are read whole; a null doc_id keeps its n_shingles and has no component; rows that repeat a
@@ -49,7 +50,8 @@ from .vectors import Forest
 NGRAM, PERCENT = 5, 75
 GROUP_ROWS = 20_000
 GROUP_SHINGLES = 8_000_000  # at 12 bytes each
-FLUSH = 500_000  # shingles that a task holds before it passes them on
+FEW_MEMBERS = 20  # groups of so many classes at most share calls
+FLUSH, FLUSH_DOCS = 500_000, 100_000  # shingles, and documents, that a task holds before it passes them on
 QUERIES, QUERY_SHINGLES = GROUP_ROWS // 2, GROUP_SHINGLES // 2  # members of a large group, and their shingles, that are one part
 CHUNK = 256  # candidates that are compared at a time
 
@@ -92,16 +94,6 @@ def _each(batch, col: str = "text"):
             yield i + k, x
 
 
-def _classes(batches):
-    """doc_id, number of shingles, 16-byte digest of the set (null if empty)."""
-    for b in batches:
-        n, key = [], []
-        for _, x in _each(b):
-            n.append(len(x))
-            key.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary())], names=["doc_id", "n", "key"])
-
-
 def _packed(names: list[str], arrays: list[np.ndarray], deal: np.ndarray, buckets: int):
     """One row per bucket that has entries: bucket, and each array's part as bytes."""
     order = np.argsort(deal, kind="stable")
@@ -119,10 +111,17 @@ def _first_prefixes(batches, buckets: int, percent: int):
     """Prefixes in the order of hashes, packed by shingle: the shingles' low 32 bits, and for each set in turn how many
     of them are its own, its short digest and its size (0: a mark that several sets have them). Shingles of a bucket that
     agree in 32 bits by chance only let a few more sets through. Counts of shingles shared inside the task go on by set, in
-    buckets from `buckets` on."""
-    held, total = [], 0
+    buckets from `buckets` on. What is to be known of every document goes along, a row of many documents, in buckets
+    from 2 * `buckets` on: ids as cnt, 16-byte digests of the sets as key, sizes as n (~size: the id is null)."""
+    held, docs, total = [], [], 0
 
     def flush():
+        ids, keys, sizes = zip(*docs)
+        whole = [np.array(ids, np.int64).tobytes(), b"".join(keys), np.array(sizes, np.int64).tobytes(), b""]
+        to = 2 * buckets + xxhash.xxh3_64_intdigest(whole[0] + whole[1]) % buckets
+        yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), *(pa.array([x], pa.binary()) for x in whole)], names=["bucket", "cnt", "key", "n", "tok"])
+        if not held:
+            return
         size = [len(t) for t, _, _ in held]
         tok, key, n = np.concatenate([t for t, _, _ in held]), np.repeat(np.array([k for _, k, _ in held], np.uint64), size), np.repeat(np.array([m for _, _, m in held], np.int32), size)
         order = np.lexsort((key, tok))
@@ -148,15 +147,18 @@ def _first_prefixes(batches, buckets: int, percent: int):
         yield pa.RecordBatch.from_arrays([*runs.columns, toks.column(1)], names=[*runs.schema.names, "tok"])
 
     for b in batches:
-        for _, x in _each(b):
-            if n := len(x):
+        ids = b.column(0).to_pylist()
+        for i, x in _each(b):
+            n, key = len(x), xxhash.xxh3_128_digest(x.tobytes())
+            docs.append((ids[i] or 0, key, ~n if ids[i] is None else n))
+            if n and ids[i] is not None:
                 k = n - least(n, percent) + few(n)
-                held.append((x[:k], int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "big"), n))
+                held.append((x[:k], int.from_bytes(key[:8], "big"), n))
                 total += min(k, n)
-            if total >= FLUSH:
+            if total >= FLUSH or len(docs) >= FLUSH_DOCS:
                 yield from flush()
-                held, total = [], 0
-    if held:
+                held, docs, total = [], [], 0
+    if docs:
         yield from flush()
 
 
@@ -179,9 +181,11 @@ def _pairs(tok: np.ndarray, key: np.ndarray, *more: np.ndarray):
 
 
 def _repeated(buckets: int):
-    """For each set with shingles that others have: how many, packed by set; known 1: counted inside a task before."""
+    """For each set with shingles that others have: how many, packed by set; known 1: counted inside a task before; 2: documents, as they came."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if int(pdf.bucket.iloc[0]) >= 2 * buckets:
+            return pdf[["bucket", "key", "cnt", "n"]].assign(known=2)
         cnt, key, n = _read(pdf, cnt=np.uint32, key=np.uint64, n=np.int32)
         known = int(pdf.bucket.iloc[0]) >= buckets
         if not known:
@@ -202,7 +206,14 @@ def _repeated(buckets: int):
 
 
 def _survivors(percent: int):
+    """A row for each set that is left, its short digest; a row for each document: doc_id, n, 16-byte digest of the set (null if empty)."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if int(pdf.known.iloc[0]) == 2:
+            ids, n = _read(pdf, cnt=np.int64, n=np.int64)
+            keys, lost = b"".join(pdf.key), n < 0
+            n = np.where(lost, ~n, n)
+            return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(ids.copy(), lost), "n": n, "key": [keys[16 * k : 16 * k + 16] if m else None for k, m in enumerate(n.tolist())], "short": pd.array([None] * len(n), "Int64")})
         parts = [(*_read(pdf[pdf.known == k], key=np.uint64, cnt=np.int32, n=np.int32), k) for k in (0, 1)]
         key, at, back = np.unique(np.concatenate([x[0] for x in parts]), return_index=True, return_inverse=True)
         n = np.concatenate([x[2] for x in parts])[at]
@@ -210,7 +221,8 @@ def _survivors(percent: int):
         total, known = np.bincount(back[:m], parts[0][1], len(key)), np.zeros(len(key))
         np.maximum.at(known, back[m:], parts[1][1])  # each task that has the set says how many of all
         need = np.array([few(least(int(x), percent)) for x in n])
-        return pd.DataFrame({"short": key[total + known >= need].astype(np.int64)})
+        short = key[total + known >= need].astype(np.int64)
+        return pd.DataFrame({"doc_id": pd.array([None] * len(short), "Int64"), "n": pd.array([None] * len(short), "Int64"), "key": None, "short": short})
 
     return run
 
@@ -379,12 +391,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = shuffle_parts(spark)
     buckets = max(64, 2 * parts)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    slim = cut(d.mapInArrow(_classes, "doc_id long, n long, key binary"))
-    classes = slim.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
 
-    dealt = d.where("doc_id is not null").mapInArrow(partial(_first_prefixes, buckets=buckets, percent=percent), "bucket int, cnt binary, key binary, n binary, tok binary")
+    dealt = d.mapInArrow(partial(_first_prefixes, buckets=buckets, percent=percent), "bucket int, cnt binary, key binary, n binary, tok binary")
     counts = dealt.groupBy("bucket").applyInPandas(_repeated(buckets), "bucket int, key binary, cnt binary, n binary, known int")
-    left = counts.groupBy("bucket").applyInPandas(_survivors(percent), "short long")
+    read = cut(counts.groupBy("bucket").applyInPandas(_survivors(percent), "doc_id long, n long, key binary, short long"))
+    slim, left = read.where("n is not null").select("doc_id", "n", "key"), read.where("short is not null").select("short")
+
+    classes = slim.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     # the first eight bytes of a digest name a set in the packed arrays
     named = classes.withColumn("short", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long"))
     left = cut(named.join(left, "short", "left_semi").select("rep", "key"))
@@ -400,8 +413,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grouped = sets.drop("first").join(loose, F.col("rep") == F.col("node")).withColumnRenamed("root", "group").drop("node")
     size = cut(grouped.groupBy("group").agg(F.count("*").alias("count"), F.sum(F.octet_length("tok") / 8).alias("shingles")))
     fits = (F.col("count") <= group_rows) & (F.col("shingles") <= group_shingles)
-    small = grouped.join(size.where(fits).select("group"), "group", "left_semi")
-    edges = small.groupBy("group").applyInPandas(_verify(percent), "a long, b long")
+    together = F.col("count") <= FEW_MEMBERS
+    small = grouped.join(size.where(fits).select("group", together.alias("few"), F.when(together, F.pmod(F.xxhash64("group"), F.lit(buckets))).otherwise(F.col("group")).alias("call")), "group")
+    edges = small.select("few", "call", "rep", "n", "tok", "freq").groupBy("few", "call").applyInPandas(_verify(percent), "a long, b long")
     if not (large := size.where(~fits)).isEmpty():
         edges = edges.union(_verify_large(grouped, large, percent, queries, query_shingles))
     linked = components(edges)

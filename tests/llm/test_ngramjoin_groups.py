@@ -67,3 +67,19 @@ def test_jobs_do_not_grow_with_a_large_group(spark):
     (a, k), (b, m) = (jobs(spark, rows, group_rows=6, queries=3) for rows in (few, many))
     assert a == brute(few) and b == brute(many)
     assert m <= k + 5
+
+
+def test_all_texts_are_read_once(spark):
+    """Only the texts of sets that are left are read again."""
+    rows = variants(20, [1, 3]) + [(50, None), (None, "a b c d e f"), (51, ""), *((k, f"only {k} has these {k} words {k}") for k in range(60, 90))]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    d = spark.createDataFrame(rows, SCHEMA).repartition(3).mapInArrow(counted, SCHEMA)
+    got = {r.doc_id: tuple(r) for r in N.jaccard_components(d).collect()}
+    assert got == {None: (None, 2, None)} | {r[0]: r for r in brute([r for r in rows if r[0] is not None])}
+    assert read.value <= 2 * len(rows)
